@@ -19,7 +19,7 @@ def parse_dayfirst(s) -> Column:
     """`dd-MM-yyyy` first, ISO `yyyy-MM-dd` as fallback, bad text -> NULL.
     `try_to_date` keeps ANSI mode from raising on junk."""
     s = _c(s)
-    return F.coalesce(F.try_to_date(s, F.lit("dd-MM-yyyy")), F.try_to_date(s, F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(s, "dd-MM-yyyy"), F.try_to_date(s, "yyyy-MM-dd"))
 
 
 def format_dayfirst(d) -> Column:

@@ -25,7 +25,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return round(v, 9) + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
     if hasattr(v, "isoformat"):
