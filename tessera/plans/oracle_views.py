@@ -62,7 +62,15 @@ SELECT site_id, scene_ts, round(avg(CAST((qa & 8) <> 0 AS INT))*100, 6) AS cloud
 FROM v_pixel GROUP BY site_id, scene_ts""",
 }
 
-DEPS = {"v_scenecat": ["v_pixel"]}
+VIEWS["v_sub"] = """
+SELECT s.sample_id, b.m AS run, s.ta*b.w + CAST(s.sample_id*b.k % 1000 AS DOUBLE)/10 AS ta,
+       s.ec*b.w + CAST(s.sample_id*b.k % 500 AS DOUBLE)/10 AS ec,
+       s.drp*b.w + CAST(s.sample_id*b.k % 300 AS DOUBLE)/10 AS drp
+FROM v_sample s
+CROSS JOIN (VALUES ('m1', CAST(0.8 AS DOUBLE), 7919), ('m2', CAST(0.7 AS DOUBLE), 104729),
+                   ('m3', CAST(0.9 AS DOUBLE), 1299709)) AS b(m, w, k)"""
+
+DEPS = {"v_scenecat": ["v_pixel"], "v_sub": ["v_sample"]}
 
 
 def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:

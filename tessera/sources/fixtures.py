@@ -156,3 +156,22 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn(
         "platform", F.when(F.col("site_id") % 2 == 0, F.lit("landsat-8")).otherwise(F.lit("landsat-9"))
     )
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction files of three runs for all three targets (long by run):
+    the target times the run's scale plus a run-specific deterministic
+    error, the same construction as `predictions` for each target."""
+    s = samples(spark, sf_dir).select("sample_id", "ta", "ec", "drp")
+    runs = F.array(*[
+        F.struct(F.lit(m).alias("m"), F.lit(w).alias("w"), F.lit(k).alias("k"))
+        for m, w, k in PRED_MODELS
+    ])
+    j = s.select("sample_id", "ta", "ec", "drp", F.explode(runs).alias("b"))
+    noise = F.col("sample_id") * F.col("b.k")
+    return j.select(
+        "sample_id", F.col("b.m").alias("run"),
+        (F.col("ta") * F.col("b.w") + _dbl(noise % 1000) / 10).alias("ta"),
+        (F.col("ec") * F.col("b.w") + _dbl(noise % 500) / 10).alias("ec"),
+        (F.col("drp") * F.col("b.w") + _dbl(noise % 300) / 10).alias("drp"),
+    )
