@@ -164,7 +164,8 @@ def param_search(df: DataFrame, label: str, fold: str, trials: int = 4, seed: in
                      gbt.maxIter: max(2, int(rng.choice([20, 40, 60]) * scale)),
                      gbt.subsamplingRate: rng.choice([0.7, 0.8, 1.0])})
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold,
+    k = df.select(fold).distinct().count()
+    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold, numFolds=k,
                         parallelism=parallelism, seed=seed)
     model = cv.fit(df.withColumn(fold, F.col(fold).cast("int")))
     rows = [(i, int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), int(pm[gbt.maxIter]),
