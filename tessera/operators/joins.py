@@ -24,9 +24,10 @@ def join_by_index(left: DataFrame, right: DataFrame, key: str = "sample_id", how
 def unique_on(df: DataFrame, keys, what: str = "join key") -> DataFrame:
     """Raise at run time if `keys` repeat in `df` (one row per key expected)."""
     w = Window.partitionBy(*keys)
+    # a filter (not a dropped column) so column pruning cannot remove the check
     return (df.withColumn("_dup", F.count(F.lit(1)).over(w))
-              .withColumn("_ok", F.assert_true(F.col("_dup") == 1, F.lit(f"duplicate {what}")))
-              .drop("_dup", "_ok"))
+              .where(F.assert_true(F.col("_dup") == 1, F.lit(f"duplicate {what}")).isNull())
+              .drop("_dup"))
 
 
 def join_keys_left(left: DataFrame, right: DataFrame, keys, suffix: str = "_old",

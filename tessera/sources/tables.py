@@ -27,8 +27,8 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
 
 def source_exists(spark: SparkSession, path_or_table: str) -> bool:
     """Does the optional source exist (catalog table or file path)?"""
-    if spark.catalog.tableExists(path_or_table):
-        return True
+    if "/" not in path_or_table and ":" not in path_or_table:
+        return bool(spark.catalog.tableExists(path_or_table))
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path_or_table)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
