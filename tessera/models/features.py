@@ -1,9 +1,10 @@
 """The wide training table: samples + merged optics + climate + engineered
 features (lifecycle B, then F1-F12), and its MLlib-ready form.
 
-One plan: two left joins on `sample_id` (shuffle on the id, or none when
-the inputs are already partitioned by it), one equi-join on the grid
-cell + month, then projections. MLlib trees reject NULL/NaN, so missing
+One plan: both optical sources left-joined onto the samples by
+`sample_id` (the joins share one hash partitioning of the id, so each
+input is shuffled once), one equi-join on the grid cell + month, then
+projections. MLlib trees reject NULL/NaN, so missing
 values get a sentinel plus the existing missing flags (there is no native
 missing-value routing in MLlib).
 """
@@ -43,20 +44,20 @@ FEATURE_SETS = {
 
 
 def merged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lifecycle B: samples ⋈ coalesced optics ⋈ offsets ⋈ climate (by cell+month)."""
-    s = fx.samples(spark, sf_dir)
-    api = fx.api_optics(spark, sf_dir)
-    optics = jn.coalesce_sources(api.drop("days_offset"), fx.official_optics(spark, sf_dir))
-    cells = s.select("sample_id",
-                     F.floor((F.col("lat") + 35.0) / 0.5).cast("int").alias("cell_i"),
-                     F.floor((F.col("lon") - 15.0) / 0.5).cast("int").alias("cell_j"),
-                     F.trunc("sample_ts", "month").alias("month"))
+    """Lifecycle B: samples ⋈ coalesced optics (by id) ⋈ climate (by cell+month).
+
+    The grid cell and month are computed on the sample rows themselves, so
+    the climate join is one equi-join on (cell, month) — no second pass over
+    the samples and no join back by id.
+    """
+    s = fx.samples(spark, sf_dir).withColumns({
+        "cell_i": F.floor((F.col("lat") + 35.0) / 0.5).cast("int"),
+        "cell_j": F.floor((F.col("lon") - 15.0) / 0.5).cast("int"),
+        "month": F.trunc("sample_ts", "month")})
+    m = jn.coalesce_sources(fx.api_optics(spark, sf_dir), fx.official_optics(spark, sf_dir), spine=s,
+                            api_keep=("days_offset",), official_keep=("nir",))
     grid = fx.climate(spark, sf_dir).select("cell_i", "cell_j", "month", "ppt", "pet", "tmax", "tmin", "q")
-    clim = jn.month_bucket_join(cells, grid, ["cell_i", "cell_j", "month"], suffix="").drop("cell_i", "cell_j", "month")
-    return (s.join(optics, "sample_id", "left")
-             .join(fx.official_optics(spark, sf_dir).select("sample_id", "nir"), "sample_id", "left")
-             .join(api.select("sample_id", "days_offset"), "sample_id", "left")
-             .join(clim, "sample_id", "left"))
+    return jn.month_bucket_join(m, grid, ["cell_i", "cell_j", "month"], suffix="").drop("cell_i", "cell_j", "month")
 
 
 def add_features(df: DataFrame) -> DataFrame:

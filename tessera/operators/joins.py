@@ -74,13 +74,25 @@ def alignment_check(a: DataFrame, b: DataFrame, key: str, cols, tol: float = 1e-
     return out.withColumn("aligned", ok.cast("int"))
 
 
-def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id") -> DataFrame:
+def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id",
+                     api_keep=(), official_keep=(), spine: DataFrame | None = None) -> DataFrame:
     """API first; the official source fills a row only where the API
     *green* band is missing (then all its bands are taken together); blue
     and red have no fallback; NDMI / MNDWI always come from the official
-    bands. Adds `optical_source` in {'api', 'official', 'none'}."""
+    bands. Adds `optical_source` in {'api', 'official', 'none'}.
+    `api_keep` / `official_keep` pass further columns through unchanged
+    (official ones under their own names), so callers need no second join.
+    With a `spine` (one row per key) both sources are left-joined onto it
+    and the spine's columns lead the output: every join is on the same key,
+    so the spine is shuffled once and the joins share its partitioning
+    (a full outer join's coalesced key would force another shuffle)."""
     o = official.select(key, *[F.col(c).alias(f"off_{c}") for c in official.columns if c != key])
-    j = api.join(o, key, "full")
+    if spine is None:
+        j = api.join(o, key, "full")
+        lead = [key]
+    else:
+        j = spine.join(api, key, "left").join(o, key, "left")
+        lead = spine.columns
     use_off = F.col("green").isNull()
 
     def pick(api_col: str, off_col: str) -> Column:
@@ -88,7 +100,7 @@ def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id"
 
     n, g, s = F.col("off_nir"), F.col("off_green"), F.col("off_swir16")
     return j.select(
-        key,
+        *lead,
         F.col("blue"), F.col("red"),
         pick("green", "off_green").alias("green"),
         pick("nir08", "off_nir").alias("nir08"),
@@ -98,6 +110,8 @@ def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id"
         ((g - s) / (g + s + F.lit(LEGACY_EPS))).alias("MNDWI"),
         F.when(~use_off, F.lit("api")).when(F.col("off_green").isNotNull(), F.lit("official"))
          .otherwise(F.lit("none")).alias("optical_source"),
+        *[F.col(c) for c in api_keep],
+        *[F.col(f"off_{c}").alias(c) for c in official_keep],
     )
 
 
