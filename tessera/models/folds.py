@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MODULUS = 2147483647
 MULTIPLIER = 48271
 
@@ -46,7 +48,9 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
     past `max_balanced_groups` the assignment switches to hashing the
     group key, which needs no global order at all.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    # the group table is small (one row per group) and is used twice: cut it
+    # once so the row-level input is aggregated a single time
+    sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     if sizes.count() > max_balanced_groups:
         fold = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
         return df.withColumn(out, fold)

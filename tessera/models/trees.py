@@ -11,6 +11,8 @@ in Spark (`transform`) — nothing is collected except metric rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -65,22 +67,33 @@ def prob_high(df: DataFrame, col: str = "probability", out: str = "p_high") -> D
     return df.withColumn(out, vector_to_array(F.col(col))[1])
 
 
-def prepare(df: DataFrame, features, label: str | None = None) -> DataFrame:
-    """Assemble features and cut lineage once before repeated fits."""
+def prepare(df: DataFrame, features, label: str | None = None, key: str = "sample_id") -> DataFrame:
+    """Assemble features, spread the rows over all cores (hash of the key, so
+    a retried task rebuilds the same partition) and cut lineage once before
+    repeated fits. Without the repartition AQE may have coalesced a small
+    training table into a single partition, serialising every tree job."""
     d = df if label is None else df.where(F.col(label).isNotNull())
-    return cut_lineage(assemble(d, features))
+    n = 2 * d.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(assemble(d, features).repartition(n, key))
+
+
+def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 4) -> dict:
+    """One model per held-out fold, trained on the other folds. The k fits
+    are independent jobs submitted from `parallelism` driver threads (as
+    `CrossValidator(parallelism=...)` does), so small jobs overlap."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k small
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        models = list(pool.map(lambda f: learner.copy().fit(df.where(F.col(fold) != f)), folds))
+    return dict(zip(folds, models))
 
 
 def oof_predictions(df: DataFrame, learner, fold: str, key: str = "sample_id",
-                    out: str = "prediction", name: str | None = None) -> DataFrame:
+                    out: str = "prediction", name: str | None = None, parallelism: int = 4) -> DataFrame:
     """M9: for each fold f fit on the other folds and predict fold f; the
     k predicted slices are unioned (each row predicted exactly once)."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())  # k small
-    parts = []
-    for f in folds:
-        model = learner.fit(df.where(F.col(fold) != f))
-        pred = model.transform(df.where(F.col(fold) == f)).select(key, fold, F.col("prediction").alias(out))
-        parts.append(pred)
+    models = fit_folds(df, learner, fold, parallelism)
+    parts = [m.transform(df.where(F.col(fold) == f)).select(key, fold, F.col("prediction").alias(out))
+             for f, m in models.items()]
     res = union_rows(parts)
     return res if name is None else res.withColumn("model", F.lit(name))
 

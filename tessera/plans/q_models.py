@@ -107,7 +107,7 @@ def ridge_gram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("i", "j", r6(F.col("value")).alias("value"))
 
 
-@query("ridge_fit")
+@query("ridge")
 def ridge_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8: the solved coefficients (k×k solve on the driver)."""
     coef = li.ridge_fit(_gram_input_spark(spark, sf_dir), GRAM_X, "ta", "w", alpha=1.0)

@@ -83,3 +83,14 @@ def test_streaming_extract_exactly_once(spark, tmpdir_path):
     start_extract_stream(spark, src, schema, "sample_id", out, ck, ext).awaitTermination()
     res = spark.read.parquet(out)
     assert res.count() == 50 and res.select("sample_id").distinct().count() == 50
+
+
+def test_write_metrics_appends(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "metrics")
+    m = spark.createDataFrame([("ta", 0.41, 57.1)], "Parameter string, CV_R2 double, CV_RMSE double")
+    tb.write_metrics(m, path)
+    tb.write_metrics(m, path)
+    assert spark.read.parquet(path).count() == 2
+    out = os.path.join(tmpdir_path, "single")
+    tb.write_single_file(m.union(m), out, ["Parameter"])
+    assert len([f for f in os.listdir(out) if f.endswith(".csv")]) == 1
