@@ -7,9 +7,11 @@ Statistics that feed a second pass (quantiles, medians, min/max) come
 back to the driver as a single row and re-enter the plan as literals —
 the only driver traffic is that row.
 
-Exact quantiles (`percentile`, DuckDB's `quantile_cont`) keep a
-value->count map per group; for columns with a huge number of distinct
-values pass `exact=False` to use `percentile_approx` instead.
+Exact quantiles use distributed rank selection (`quantiles.exact_quantiles`:
+bucket counts, then a bounded final ranking) rather than Spark's exact
+`percentile`, whose single value->count map per group would put a whole
+column into one task for a global quantile. `exact=False` switches to
+`percentile_approx`.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def _pct(x: Column, qs, exact: bool) -> Column:
     if exact:
@@ -37,18 +41,20 @@ def missing_report(df: DataFrame, cols) -> DataFrame:
 
 def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per column.
-    (`DataFrame.summary()` uses approximate quartiles; this is exact.)"""
+    (`DataFrame.summary()` uses approximate quartiles; this is exact.) One
+    aggregate for the moments, rank selection for the quartiles."""
     aggs = []
     for c in cols:
         x = F.col(c)
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).cast("double").alias(f"{c}__min"),
-                 _pct(x, (0.25, 0.5, 0.75), exact).alias(f"{c}__q"), F.max(x).cast("double").alias(f"{c}__max")]
+                 F.max(x).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs)
+    qs = {c: quantiles(df, c, (0.25, 0.5, 0.75), exact) for c in cols}
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
-                     F.col(f"{c}__min").alias("min"), F.col(f"{c}__q")[0].alias("p25"),
-                     F.col(f"{c}__q")[1].alias("p50"), F.col(f"{c}__q")[2].alias("p75"),
+                     F.col(f"{c}__min").alias("min"), F.lit(qs[c][0]).cast("double").alias("p25"),
+                     F.lit(qs[c][1]).cast("double").alias("p50"), F.lit(qs[c][2]).cast("double").alias("p75"),
                      F.col(f"{c}__max").alias("max")) for c in cols]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
@@ -71,7 +77,9 @@ def distinct_count(df: DataFrame, cols, exact: bool = True) -> Column:
 
 
 def quantiles(df: DataFrame, col: str, qs, exact: bool = True) -> list[float]:
-    """One-row statistic: the listed quantiles of one column."""
+    """The listed quantiles of one column (linear interpolation)."""
+    if exact:
+        return exact_quantiles(df, col, qs).get((), [None] * len(qs))
     row = df.agg(_pct(F.col(col), qs, exact).alias("q")).first()
     return list(row["q"]) if row["q"] is not None else [None] * len(qs)
 
@@ -87,9 +95,8 @@ def quantile_clip(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0
 
 
 def medians(df: DataFrame, cols, exact: bool = True) -> dict[str, float]:
-    """One-row statistic: the median of each column."""
-    row = df.agg(*[(F.median(c) if exact else F.percentile_approx(c, 0.5, 100000)).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    """The median of each column."""
+    return {c: quantiles(df, c, (0.5,), exact)[0] for c in cols}
 
 
 def median_impute(df: DataFrame, cols, exact: bool = True) -> DataFrame:
@@ -102,14 +109,17 @@ def fold_median_impute(df: DataFrame, cols, fold: str, folds) -> DataFrame:
     """For rows of fold f, fill with the medians of the *other* folds
     (the fold's training part), so no held-out value leaks into its own fill.
 
-    Each row is copied to the k-1 folds it trains (k is small and fixed),
-    then one group-by per held-out fold computes all medians at once; the
+    Each row is copied to the k-1 folds it trains (k is small and fixed) and
+    the medians per held-out fold come from grouped rank selection; the
     k-row result joins back on the fold.
     """
     fl = [int(f) for f in folds]
     train = df.select(*cols, F.explode(F.array(*[F.lit(f) for f in fl])).alias("_held"), F.col(fold).alias("_f"))
     train = train.where(F.col("_held") != F.col("_f"))
-    meds = train.groupBy("_held").agg(*[F.median(c).alias(f"_med_{c}") for c in cols])
+    per = {c: exact_quantiles(train, c, (0.5,), by=["_held"]) for c in cols}
+    rows = [(f, *[per[c].get((f,), [None])[0] for c in cols]) for f in fl]
+    schema = ", ".join(["_held int"] + [f"`_med_{c}` double" for c in cols])
+    meds = df.sparkSession.createDataFrame(rows, schema)  # k rows
     j = df.join(meds, df[fold] == meds["_held"], "left").drop("_held")
     return j.withColumns({c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in cols}).drop(
         *[f"_med_{c}" for c in cols])

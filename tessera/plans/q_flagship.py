@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import spatial_bin
 from ..functions.spectral import norm_diff, qa_clear
+from ..operators.quantiles import exact_quantiles
 from ..operators.spatiotemporal import nearest_scene
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .oracle_views import day_offset_sql, with_views
 from .registry import query
@@ -41,12 +43,20 @@ def clear_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flagship_ndvi_by_lat", FLAGSHIP_SQL)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest-scene table (one row per sample) is materialised once;
+    the moments come from one aggregate and the per-bin median of `ta` from
+    rank selection, so no latitude bin — however many samples it holds —
+    is ever gathered into a single task's value map."""
     s = fx.samples(spark, sf_dir).select("sample_id", "site_id", "sample_ts", "lat", "ta")
     near = nearest_scene(s, clear_scenes(spark, sf_dir), key="site_id", sample_id="sample_id",
                          sample_ts="sample_ts", scene_ts="scene_ts", days=30, how="left")
-    return (near.withColumn("lat_bin", spatial_bin("lat", "lon")["lat_bin"])
-            .groupBy("lat_bin").agg(
-                F.count(F.lit(1)).alias("n"), F.count("green").alias("n_hit"),
-                F.round(F.avg(norm_diff("nir08", "red")), 6).alias("ndvi"),
-                F.round(F.avg("days_offset"), 6).alias("off"),
-                F.round(F.median("ta"), 6).alias("ta")))
+    near = cut_lineage(near.select(spatial_bin("lat", "lon")["lat_bin"].alias("lat_bin"), "ta", "green",
+                                   "nir08", "red", "days_offset"))
+    agg = near.groupBy("lat_bin").agg(
+        F.count(F.lit(1)).alias("n"), F.count("green").alias("n_hit"),
+        F.round(F.avg(norm_diff("nir08", "red")), 6).alias("ndvi"),
+        F.round(F.avg("days_offset"), 6).alias("off"))
+    med = exact_quantiles(near, "ta", (0.5,), by=["lat_bin"])
+    med_df = spark.createDataFrame([(g[0], v[0]) for g, v in med.items()], "lat_bin double, ta double")
+    return (agg.join(med_df, "lat_bin", "left")
+            .select("lat_bin", "n", "n_hit", "ndvi", "off", F.round("ta", 6).alias("ta")))
