@@ -134,14 +134,16 @@ def target_chain(df: DataFrame, features, learner_for, fold: str, key: str = "sa
 
 
 def regime_blend(df: DataFrame, features, label: str, threshold: float, fold: str,
-                 key: str = "sample_id", scale: float = 1.0, min_rows: int = 5) -> DataFrame:
+                 key: str = "sample_id", scale: float = 1.0, min_rows: int = 5,
+                 parallelism: int = 4) -> DataFrame:
     """(1-p)·low + p·high with p = P(y >= threshold) out of fold; the
     low / high regressors train on their side of the threshold within the
-    training folds; a side with <= min_rows rows predicts its mean."""
+    training folds; a side with <= min_rows rows predicts its mean. Folds
+    are fitted concurrently from `parallelism` driver threads."""
     d = prepare(df.withColumn("_hi", (F.col(label) >= threshold).cast("int")), features, label)
     folds = sorted(r[0] for r in d.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
+
+    def one_fold(f):
         train, test = d.where(F.col(fold) != f), d.where(F.col(fold) == f)
         clf = regime_classifier("_hi", scale).fit(train)
         pred = prob_high(clf.transform(test)).select(key, fold, label, "p_high", "features")
@@ -156,9 +158,12 @@ def regime_blend(df: DataFrame, features, label: str, threshold: float, fold: st
                 col = f"_pred_{side}"
                 pred = reg.transform(pred).withColumnRenamed("prediction", col)
                 sides[side] = F.col(col)
-        parts.append(pred.select(key, fold, label, "p_high",
-                                 ((F.lit(1.0) - F.col("p_high")) * sides["low"] + F.col("p_high") * sides["high"])
-                                 .alias("prediction")))
+        return pred.select(key, fold, label, "p_high",
+                           ((F.lit(1.0) - F.col("p_high")) * sides["low"] + F.col("p_high") * sides["high"])
+                           .alias("prediction"))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
+        parts = list(pool.map(one_fold, folds))
     return union_rows(parts)
 
 

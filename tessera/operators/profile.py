@@ -50,7 +50,7 @@ def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
                  F.stddev_samp(x).alias(f"{c}__std"), F.min(x).cast("double").alias(f"{c}__min"),
                  F.max(x).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs)
-    qs = {c: quantiles(df, c, (0.25, 0.5, 0.75), exact) for c in cols}
+    qs = multi_quantiles(df, cols, (0.25, 0.5, 0.75), exact)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
                      F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                      F.col(f"{c}__min").alias("min"), F.lit(qs[c][0]).cast("double").alias("p25"),
@@ -94,9 +94,20 @@ def quantile_clip(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0
     return df.withColumn(out or col, F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi))))
 
 
+def multi_quantiles(df: DataFrame, cols, qs, exact: bool = True) -> dict[str, list[float]]:
+    """Quantiles of several columns in one selection: the columns are
+    unpivoted to (column, value) and the column name becomes the group."""
+    if not exact or len(cols) == 1:
+        return {c: quantiles(df, c, qs, exact) for c in cols}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        [], list(cols), "_col", "_v")
+    res = exact_quantiles(long, "_v", qs, by=["_col"])
+    return {c: res.get((c,), [None] * len(qs)) for c in cols}
+
+
 def medians(df: DataFrame, cols, exact: bool = True) -> dict[str, float]:
-    """The median of each column."""
-    return {c: quantiles(df, c, (0.5,), exact)[0] for c in cols}
+    """The median of each column (one selection for all columns)."""
+    return {c: v[0] for c, v in multi_quantiles(df, cols, (0.5,), exact).items()}
 
 
 def median_impute(df: DataFrame, cols, exact: bool = True) -> DataFrame:
@@ -116,8 +127,10 @@ def fold_median_impute(df: DataFrame, cols, fold: str, folds) -> DataFrame:
     fl = [int(f) for f in folds]
     train = df.select(*cols, F.explode(F.array(*[F.lit(f) for f in fl])).alias("_held"), F.col(fold).alias("_f"))
     train = train.where(F.col("_held") != F.col("_f"))
-    per = {c: exact_quantiles(train, c, (0.5,), by=["_held"]) for c in cols}
-    rows = [(f, *[per[c].get((f,), [None])[0] for c in cols]) for f in fl]
+    long = train.select("_held", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        ["_held"], list(cols), "_col", "_v")
+    per = exact_quantiles(long, "_v", (0.5,), by=["_held", "_col"])
+    rows = [(f, *[per.get((f, c), [None])[0] for c in cols]) for f in fl]
     schema = ", ".join(["_held int"] + [f"`_med_{c}` double" for c in cols])
     meds = df.sparkSession.createDataFrame(rows, schema)  # k rows
     j = df.join(meds, df[fold] == meds["_held"], "left").drop("_held")
