@@ -41,9 +41,7 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2))
 
     from tessera.models import features as ft
-    from tessera.models import folds as fo
     from tessera.models import trees as tr
-    from tessera.operators import profile as pf
     from tessera.plans import registry
 
     registry.load_all()
@@ -74,7 +72,8 @@ def main() -> None:
     timed("blend_scan", lambda: run(q["blend_scan"](spark, sf_dir)), 3 * n_orders)
 
     def grouped_gbt():
-        t = fo.group_kfold(ft.training_table(spark, sf_dir), "spatial_group", 5)
+        from tessera.plans.q_models import spatial_folds
+        t = ft.training_table(spark, sf_dir).join(spatial_folds(spark, sf_dir), "spatial_group", "left")
         d = tr.prepare(t, ft.FEATURES, "ta")
         learner = tr.learner_family("ta", scale=0.25)["gbt_wide"]
         run(tr.oof_predictions(d, learner, "fold"))

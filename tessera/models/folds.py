@@ -38,9 +38,9 @@ def random_kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str =
     return df.withColumn(out, F.pmod(int_hash(key, seed), F.lit(k)).cast("int"))
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
-                max_balanced_groups: int = 5_000_000) -> DataFrame:
-    """M2: spatially grouped folds — a group never spans two folds.
+def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
+                    max_balanced_groups: int = 5_000_000) -> DataFrame:
+    """M2 (assignment table): one row per group with its fold.
 
     Balanced mode: groups ranked by size (desc, then key) and dealt in a
     snake order (0..k-1, k-1..0, ...), so fold sizes stay close. The rank
@@ -52,10 +52,15 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
     # once so the row-level input is aggregated a single time
     sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     if sizes.count() > max_balanced_groups:
-        fold = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
-        return df.withColumn(out, fold)
+        return sizes.select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias(out))
     r = F.row_number().over(Window.orderBy(F.col("_n").desc(), F.col(group))) - 1
     pos = F.pmod(r, F.lit(2 * k))
     snake = F.when(pos < k, pos).otherwise(F.lit(2 * k - 1) - pos).cast("int")
-    assign = sizes.select(group, snake.alias(out))
-    return df.join(assign, group, "left")
+    return sizes.select(group, snake.alias(out))
+
+
+def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
+                max_balanced_groups: int = 5_000_000) -> DataFrame:
+    """M2: spatially grouped folds — a group never spans two folds. The
+    assignment table joins back on the group key (one row per group)."""
+    return df.join(fold_assignment(df, group, k, out, max_balanced_groups), group, "left")

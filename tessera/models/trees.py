@@ -73,11 +73,11 @@ def prepare(df: DataFrame, features, label: str | None = None, key: str = "sampl
     repeated fits. Without the repartition AQE may have coalesced a small
     training table into a single partition, serialising every tree job."""
     d = df if label is None else df.where(F.col(label).isNotNull())
-    n = 2 * d.sparkSession.sparkContext.defaultParallelism
+    n = d.sparkSession.sparkContext.defaultParallelism
     return cut_lineage(assemble(d, features).repartition(n, key))
 
 
-def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 4) -> dict:
+def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 8) -> dict:
     """One model per held-out fold, trained on the other folds. The k fits
     are independent jobs submitted from `parallelism` driver threads (as
     `CrossValidator(parallelism=...)` does), so small jobs overlap."""
@@ -88,7 +88,7 @@ def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 4) -> dict:
 
 
 def oof_predictions(df: DataFrame, learner, fold: str, key: str = "sample_id",
-                    out: str = "prediction", name: str | None = None, parallelism: int = 4) -> DataFrame:
+                    out: str = "prediction", name: str | None = None, parallelism: int = 8) -> DataFrame:
     """M9: for each fold f fit on the other folds and predict fold f; the
     k predicted slices are unioned (each row predicted exactly once)."""
     models = fit_folds(df, learner, fold, parallelism)
@@ -135,7 +135,7 @@ def target_chain(df: DataFrame, features, learner_for, fold: str, key: str = "sa
 
 def regime_blend(df: DataFrame, features, label: str, threshold: float, fold: str,
                  key: str = "sample_id", scale: float = 1.0, min_rows: int = 5,
-                 parallelism: int = 4) -> DataFrame:
+                 parallelism: int = 8) -> DataFrame:
     """(1-p)·low + p·high with p = P(y >= threshold) out of fold; the
     low / high regressors train on their side of the threshold within the
     training folds; a side with <= min_rows rows predicts its mean. Folds

@@ -115,10 +115,16 @@ def ridge_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ fitted models (rows-only)
+def spatial_folds(spark, sf_dir) -> DataFrame:
+    """Group -> fold table computed from the sample points alone (the group
+    key needs only lat/lon), so the wide table is not built twice."""
+    s = fx.samples(spark, sf_dir).select(qf.spatial_bin()["spatial_group"].alias("spatial_group"))
+    return fo.fold_assignment(s, "spatial_group", K)
+
+
 def _train(spark, sf_dir) -> DataFrame:
     """Training table with spatial group folds and a hash train/test split."""
-    t = ft.training_table(spark, sf_dir)
-    t = fo.group_kfold(t, "spatial_group", K)
+    t = ft.training_table(spark, sf_dir).join(spatial_folds(spark, sf_dir), "spatial_group", "left")
     return fo.train_test_split(t, "sample_id", 70, 42)
 
 
