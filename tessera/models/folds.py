@@ -39,7 +39,7 @@ def random_kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str =
 
 
 def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
-                    max_balanced_groups: int = 5_000_000) -> DataFrame:
+                    max_balanced_groups: int = 1_000_000) -> DataFrame:
     """M2 (assignment table): one row per group with its fold.
 
     Balanced mode: groups ranked by size (desc, then key) and dealt in a
@@ -60,7 +60,7 @@ def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
-                max_balanced_groups: int = 5_000_000) -> DataFrame:
+                max_balanced_groups: int = 1_000_000) -> DataFrame:
     """M2: spatially grouped folds — a group never spans two folds. The
     assignment table joins back on the group key (one row per group)."""
     return df.join(fold_assignment(df, group, k, out, max_balanced_groups), group, "left")
