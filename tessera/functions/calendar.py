@@ -53,10 +53,20 @@ def calendar_parts(d) -> dict[str, Column]:
     }
 
 
+def _micros_of_day(ts: Column) -> Column:
+    return (F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+            + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long"))
+
+
 def micros_between(start, end) -> Column:
-    """end - start in microseconds; works for TIMESTAMP and TIMESTAMP_NTZ
-    (`unix_micros` rejects NTZ)."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end))
+    """end - start in microseconds of wall-clock time, built from the day
+    difference and the time of day. For TIMESTAMP_NTZ (what the tables hold)
+    this never consults the session time zone, so a DST switch cannot shift
+    an offset by an hour (`timestamp_diff` would cast NTZ to the session
+    zone first; `unix_micros` rejects NTZ)."""
+    a, b = _c(start), _c(end)
+    return (F.datediff(b.cast("date"), a.cast("date")).cast("long") * MICROS_PER_DAY
+            + _micros_of_day(b) - _micros_of_day(a))
 
 
 def abs_day_offset(scene_ts, sample_ts) -> Column:

@@ -75,3 +75,16 @@ def test_sample_weight(spark):
                                "api_optical_complete int, old_optical_available int, days_offset_filled double")
     got = [round(r[0], 6) for r in df.select(qf.sample_weight()).collect()]
     assert got == [1.0, round(0.92 * 0.82, 6), round(0.85 * (1 - 0.5 * 0.18), 6)]
+
+
+def test_day_offset_ignores_session_time_zone(spark):
+    rows = [(dt.datetime(2014, 3, 1, 0, 0), dt.datetime(2014, 3, 31, 0, 0)),   # spans the US DST switch
+            (dt.datetime(2014, 3, 9, 12, 0), dt.datetime(2014, 3, 8, 23, 59))]
+    df = spark.createDataFrame(rows, "sample_ts timestamp_ntz, scene_ts timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [r[0] for r in df.select(cal.abs_day_offset("scene_ts", "sample_ts")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [30, 1]
