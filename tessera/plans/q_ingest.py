@@ -123,7 +123,7 @@ WHERE lat BETWEEN -34.0 AND -30.0 AND lon BETWEEN 20.0 AND 25.0
   AND month BETWEEN DATE '1996-01-01' AND DATE '1997-12-01'""", "v_climate"))
 def grid_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crop the grid to a box and a period, only the wanted variables."""
-    g = fx.climate(spark, sf_dir)
+    g = fx.climate(spark, sf_dir, months=("1996-01-01", "1997-12-01"))
     return (g.where(F.col("lat").between(-34.0, -30.0) & F.col("lon").between(20.0, 25.0)
                     & F.col("month").between(F.lit("1996-01-01").cast("date"), F.lit("1997-12-01").cast("date")))
             .select("cell_i", "cell_j", cal.month_key("month").alias("month"), "ppt", "pet"))

@@ -92,9 +92,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse monthly 0.5° grid: one cell per supplier slot, one slice per month."""
+def climate(spark: SparkSession, sf_dir: str, months: tuple[str, str] | None = None) -> DataFrame:
+    """Sparse monthly 0.5° grid: one cell per supplier slot, one slice per month.
+
+    `months` = (first, last) month start ('yyyy-MM-dd') restricts the grid to
+    those slices; the bound is stated on the raw timestamp so it reaches the
+    parquet scan as a pushed filter (row groups outside it are skipped).
+    """
     li = table(spark, sf_dir, "lineitem")
+    if months is not None:
+        lo = F.lit(months[0]).cast("timestamp_ntz")
+        hi = F.add_months(F.lit(months[1]).cast("date"), 1).cast("timestamp_ntz")
+        li = li.where((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi))
     s = F.col("l_suppkey")
     keyed = li.select(
         (s % 27).cast("int").alias("cell_i"),
