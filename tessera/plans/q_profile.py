@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..models import folds as fo
 from ..operators import profile as pf
 from ..sources import fixtures as fx
 from .oracle_views import with_views
@@ -104,13 +105,12 @@ FOLDS = range(5)
 SELECT t.sample_id, t.fold, coalesce(t.blue, m.blue) AS blue, coalesce(t.swir22, m.swir22) AS swir22
 FROM t JOIN (SELECT f.fold AS held, median(t.blue) AS blue, median(t.swir22) AS swir22
              FROM t JOIN (SELECT DISTINCT fold FROM t) f ON t.fold <> f.fold GROUP BY f.fold) m
-  ON t.fold = m.held""", "v_api", "v_sample", extra=[("t", """
-SELECT a.sample_id, CAST(s.site_id % 5 AS INT) AS fold, a.blue, a.swir22
-FROM v_api a JOIN v_sample s ON a.sample_id = s.sample_id""")]))
+  ON t.fold = m.held""", "v_api", extra=[("t", f"""
+SELECT a.sample_id, CAST({fo.int_hash_sql('a.sample_id', 7)} % 5 AS INT) AS fold, a.blue, a.swir22
+FROM v_api a""")]))
 def fold_median_impute_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = fx.api_optics(spark, sf_dir).select("sample_id", "blue", "swir22")
-    s = fx.samples(spark, sf_dir).select("sample_id", (F.col("site_id") % 5).cast("int").alias("fold"))
-    t = a.join(s, "sample_id")
+    t = fo.random_kfold(a, "sample_id", 5, 7)
     return pf.fold_median_impute(t, ["blue", "swir22"], "fold", FOLDS).select("sample_id", "fold", "blue", "swir22")
 
 
@@ -172,8 +172,8 @@ def area_mean_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select(cal.month_key("month").alias("month"), "ppt", "tmax", "n_cells")
 
 
-@query("extract_coverage", with_views("""
-SELECT CASE WHEN s.site_id % 5 = 0 THEN 'validation' ELSE 'train' END AS dataset,
+@query("extract_coverage", with_views(f"""
+SELECT CASE WHEN {fo.int_hash_sql('s.sample_id', 42)} % 100 < 70 THEN 'train' ELSE 'validation' END AS dataset,
        count(*) AS n_rows, count_if(c.ppt IS NOT NULL AND c.pet IS NOT NULL) AS n_complete,
        min(c.ppt) AS ppt_min, max(c.ppt) AS ppt_max, count_if(c.ppt IS NULL) AS ppt_missing,
        min(c.pet) AS pet_min, max(c.pet) AS pet_max, count_if(c.pet IS NULL) AS pet_missing
@@ -185,5 +185,6 @@ def extract_coverage_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = fx.samples(spark, sf_dir).select("sample_id", "site_id")
     g = fx.climate(spark, sf_dir).select("cell_i", "cell_j", "month", "ppt", "pet")
     d = (cells.join(site, "sample_id").join(g, ["cell_i", "cell_j", "month"], "left")
-         .withColumn("dataset", F.when(F.col("site_id") % 5 == 0, F.lit("validation")).otherwise(F.lit("train"))))
+         .withColumn("dataset", F.when(F.pmod(fo.int_hash("sample_id", 42), F.lit(100)) < 70, F.lit("train"))
+                     .otherwise(F.lit("validation"))))
     return pf.extract_coverage(d, "dataset", ["ppt", "pet"])
