@@ -17,8 +17,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,14 +104,15 @@ def score(df: DataFrame, y: str, p: str, by=()) -> DataFrame:
 
 
 def stack_insample(oof_wide: DataFrame, label: str, base_cols, weight: str | None = None,
-                   reg: float = 1.0) -> tuple[DataFrame, object]:
-    """Ridge meta-model on all OOF rows, scored on the same rows
-    (optimistic by construction; M13 is the honest version)."""
-    d = assemble(oof_wide.where(F.col(label).isNotNull()), base_cols, "meta_features")
-    lr = LinearRegression(featuresCol="meta_features", labelCol=label, regParam=reg / max(1, d.count()),
-                          elasticNetParam=0.0, standardization=False, weightCol=weight)
-    m = lr.fit(d)
-    return m.transform(d), m
+                   alpha: float = 1.0) -> tuple[DataFrame, dict]:
+    """Weighted ridge meta-model (α on the coefficients, free
+    intercept; one Gram aggregate + a k×k solve) on all OOF rows, scored on
+    the same rows — optimistic by construction; M13 is the honest version."""
+    from .linear import ridge_fit, ridge_predict
+
+    d = oof_wide.where(F.col(label).isNotNull())
+    coef = ridge_fit(d, list(base_cols), label, weight, alpha=alpha)
+    return ridge_predict(d, coef), coef
 
 
 def target_chain(df: DataFrame, features, learner_for, fold: str, key: str = "sample_id",
