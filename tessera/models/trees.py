@@ -87,6 +87,21 @@ def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 8) -> dict:
     return dict(zip(folds, models))
 
 
+def oof_many(df: DataFrame, learners: dict, fold: str, key: str = "sample_id", parallelism: int = 8) -> dict:
+    """M9 for several learners at once: every (learner, fold) fit is an
+    independent job, all submitted to one pool. Returns name -> OOF frame
+    with a `pred_<name>` column."""
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    jobs = [(n, f) for n in learners for f in folds]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
+        models = list(pool.map(lambda nf: learners[nf[0]].copy().fit(df.where(F.col(fold) != nf[1])), jobs))
+    out = {}
+    for (n, f), m in zip(jobs, models):
+        part = m.transform(df.where(F.col(fold) == f)).select(key, fold, F.col("prediction").alias(f"pred_{n}"))
+        out[n] = part if n not in out else out[n].unionByName(part)
+    return out
+
+
 def oof_predictions(df: DataFrame, learner, fold: str, key: str = "sample_id",
                     out: str = "prediction", name: str | None = None, parallelism: int = 8) -> DataFrame:
     """M9: for each fold f fit on the other folds and predict fold f; the

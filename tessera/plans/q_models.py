@@ -164,8 +164,7 @@ def _base_oof(spark, sf_dir, target="ta") -> DataFrame:
     """Three learners' OOF predictions as columns (M11 on fitted models)."""
     d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, target)
     wide = d.select("sample_id", "fold", target, "sample_weight")
-    for name, learner in tr.learner_family(target, scale=SCALE).items():
-        o = tr.oof_predictions(d, learner, "fold", out=f"pred_{name}")
+    for name, o in tr.oof_many(d, tr.learner_family(target, scale=SCALE), "fold").items():
         wide = wide.join(o.select("sample_id", f"pred_{name}"), "sample_id")
     return wide
 
