@@ -328,7 +328,7 @@ def climate_interactions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cyclic_month", with_views("""
 SELECT sample_id, round(sin(month(sample_ts) * 0.5235987755982988), 6) AS month_sin,
-       round(cos(month(sample_ts) * 0.5235987755982988), 6) AS month_cos, quarter(sample_ts) AS quarter
+       round(cos(month(sample_ts) * 0.5235987755982988), 6) AS month_cos, CAST(quarter(sample_ts) AS INTEGER) AS quarter
 FROM v_sample""", "v_sample"))
 def cyclic_month_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.samples(spark, sf_dir)
@@ -338,8 +338,8 @@ def cyclic_month_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("calendar_parts", with_views("""
-SELECT sample_id, year(sample_ts) AS year, month(sample_ts) AS month, day(sample_ts) AS day,
-       dayofyear(sample_ts) AS dayofyear, CAST((month(sample_ts) % 12) // 3 AS INT) AS season
+SELECT sample_id, CAST(year(sample_ts) AS INTEGER) AS year, CAST(month(sample_ts) AS INTEGER) AS month,
+       CAST(day(sample_ts) AS INTEGER) AS day, CAST(dayofyear(sample_ts) AS INTEGER) AS dayofyear, CAST((month(sample_ts) % 12) // 3 AS INT) AS season
 FROM v_sample""", "v_sample"))
 def calendar_parts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.samples(spark, sf_dir)

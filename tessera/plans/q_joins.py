@@ -106,10 +106,10 @@ def join_month_bucket_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("alignment_check", with_views("""
 SELECT count(a.sample_id) AS n_left, count(b.sample_id) AS n_right,
-       count_if(a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL) AS n_matched,
+       count(*) FILTER (WHERE a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL) AS n_matched,
        round(max(abs(a.lat - b.lat)), 6) AS max_dlat, round(max(abs(a.lon - b.lon)), 6) AS max_dlon,
        CAST(count(a.sample_id) = count(b.sample_id)
-            AND count_if(a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL) = count(a.sample_id)
+            AND count(*) FILTER (WHERE a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL) = count(a.sample_id)
             AND coalesce(max(abs(a.lat - b.lat)), 0) <= 1e-4 AND coalesce(max(abs(a.lon - b.lon)), 0) <= 1e-4 AS INT)
          AS aligned
 FROM v_sample a FULL JOIN (SELECT sample_id, round(lat, 4) AS lat, round(lon, 4) AS lon FROM v_sample) b
@@ -150,10 +150,10 @@ def coalesce_sources_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("coverage_by_source", with_views("""
-SELECT count(*) AS n_rows, count_if(optical_source = 'api') AS n_api,
-       count_if(optical_source = 'official') AS n_recovered, count_if(optical_source = 'none') AS n_unrecoverable,
-       round(count_if(optical_source <> 'api') / count(*) * 100, 6) AS pct_api_missing,
-       round(count_if(optical_source = 'none') / count(*) * 100, 6) AS pct_unrecoverable
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE optical_source = 'api') AS n_api,
+       count(*) FILTER (WHERE optical_source = 'official') AS n_recovered, count(*) FILTER (WHERE optical_source = 'none') AS n_unrecoverable,
+       round(count(*) FILTER (WHERE optical_source <> 'api') / count(*) * 100, 6) AS pct_api_missing,
+       round(count(*) FILTER (WHERE optical_source = 'none') / count(*) * 100, 6) AS pct_unrecoverable
 FROM m""", "v_api", "v_official", extra=[("m", COALESCE_SQL)]))
 def coverage_by_source_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jn.coverage_by_source(_merged_optics(spark, sf_dir))

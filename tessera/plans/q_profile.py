@@ -27,8 +27,8 @@ def _merged(spark, sf_dir) -> DataFrame:
 
 
 @query("missing_report", with_views(" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count_if({c} IS NULL) AS n_missing, "
-    f"round(count_if({c} IS NULL) / count(*) * 100, 6) AS pct_missing FROM m" for c in MERGED_COLS),
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_missing, "
+    f"round(count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100, 6) AS pct_missing FROM m" for c in MERGED_COLS),
     "v_api", "v_official", extra=[("m", MERGED_SQL)]))
 def missing_report_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pf.missing_report(_merged(spark, sf_dir), MERGED_COLS)
@@ -140,7 +140,7 @@ SELECT '{col}' AS variable, round(q.q1, 6) AS q1, round(q.q2, 6) AS median, roun
        round(q.q3 - q.q1, 6) AS iqr,
        round(min(CASE WHEN {col} >= q.q1 - 1.5 * (q.q3 - q.q1) THEN {col} END), 6) AS whisker_low,
        round(max(CASE WHEN {col} <= q.q3 + 1.5 * (q.q3 - q.q1) THEN {col} END), 6) AS whisker_high,
-       count_if({col} < q.q1 - 1.5 * (q.q3 - q.q1) OR {col} > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers
+       count(*) FILTER (WHERE {col} < q.q1 - 1.5 * (q.q3 - q.q1) OR {col} > q.q3 + 1.5 * (q.q3 - q.q1)) AS n_outliers
 FROM v_sample, (SELECT quantile_cont({col}, 0.25) AS q1, quantile_cont({col}, 0.5) AS q2,
                        quantile_cont({col}, 0.75) AS q3 FROM v_sample) q
 GROUP BY q.q1, q.q2, q.q3"""
@@ -174,9 +174,9 @@ def area_mean_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extract_coverage", with_views(f"""
 SELECT CASE WHEN {fo.int_hash_sql('s.sample_id', 42)} % 100 < 70 THEN 'train' ELSE 'validation' END AS dataset,
-       count(*) AS n_rows, count_if(c.ppt IS NOT NULL AND c.pet IS NOT NULL) AS n_complete,
-       min(c.ppt) AS ppt_min, max(c.ppt) AS ppt_max, count_if(c.ppt IS NULL) AS ppt_missing,
-       min(c.pet) AS pet_min, max(c.pet) AS pet_max, count_if(c.pet IS NULL) AS pet_missing
+       count(*) AS n_rows, count(*) FILTER (WHERE c.ppt IS NOT NULL AND c.pet IS NOT NULL) AS n_complete,
+       min(c.ppt) AS ppt_min, max(c.ppt) AS ppt_max, count(*) FILTER (WHERE c.ppt IS NULL) AS ppt_missing,
+       min(c.pet) AS pet_min, max(c.pet) AS pet_max, count(*) FILTER (WHERE c.pet IS NULL) AS pet_missing
 FROM sc JOIN v_sample s ON sc.sample_id = s.sample_id
 LEFT JOIN v_climate c ON sc.cell_i = c.cell_i AND sc.cell_j = c.cell_j AND sc.month = c.month
 GROUP BY 1""", "v_sample", "v_climate", extra=[("sc", SAMPLE_CELLS_SQL)]))

@@ -127,7 +127,7 @@ def candidate_distance_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IDW_SQL = """SELECT candidate,
-   CASE WHEN count_if(max_abs_diff = 0) > 0 THEN min_by(public_score, CASE WHEN max_abs_diff = 0 THEN anchor END)
+   CASE WHEN count(*) FILTER (WHERE max_abs_diff = 0) > 0 THEN min_by(public_score, CASE WHEN max_abs_diff = 0 THEN anchor END)
         ELSE sum((1.0 / (distance + 1e-6)) * public_score) / sum(1.0 / (distance + 1e-6)) END AS submission_estimate
    FROM dist JOIN prof ON dist.anchor = prof.run GROUP BY candidate"""
 

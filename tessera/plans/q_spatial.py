@@ -41,7 +41,7 @@ SELECT site_id, scene_ts,
        median(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END) AS red_median,
        quantile_cont(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END, 0.75) AS red_p75,
        stddev_pop(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END) AS red_std,
-       avg(CAST((qa & 26) = 0 AS INT)) AS clear_fraction, count(*) AS n_pixels, count_if((qa & 26) = 0) AS n_clear
+       avg(CAST((qa & 26) = 0 AS INT)) AS clear_fraction, count(*) AS n_pixels, count(*) FILTER (WHERE (qa & 26) = 0) AS n_clear
 FROM v_pixel GROUP BY site_id, scene_ts"""
 
 BANDS3 = ["green", "nir08", "red"]
@@ -85,7 +85,8 @@ def nearest_scene_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ J9
 @query("first_clear_of_top3", with_views(f"""
-SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, scene_rank, green_median
+SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, CAST(scene_rank AS INTEGER) AS scene_rank,
+       green_median
 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY scene_rank) AS r
       FROM (SELECT s.sample_id, c.scene_ts, c.n_clear, c.green_median, {OFF} AS days_offset,
                    row_number() OVER (PARTITION BY s.sample_id ORDER BY {OFF}, c.scene_ts) AS scene_rank
@@ -103,7 +104,7 @@ def first_clear_of_top3_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ J10
 @query("topk_scenes", with_views(f"""
-SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, scene_rank
+SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, CAST(scene_rank AS INTEGER) AS scene_rank
 FROM (SELECT s.sample_id, c.scene_ts, c.n_clear, {OFF} AS days_offset,
              row_number() OVER (PARTITION BY s.sample_id ORDER BY {OFF}, c.scene_ts) AS scene_rank
       FROM v_sample s JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 30)}) x
