@@ -19,6 +19,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from tessera.session import TABLES, build_session  # noqa: E402
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -54,15 +58,22 @@ def check(spark, con, name, builder, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return dict(name=name, status="rows-only", rows=len(srows), spark_s=round(t1 - t0, 2))
-    cur = con.execute(sql)
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = con.sql(sql)
+    dcols = list(rel.columns)
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    drows = rel.fetchall()
     ok_cols = sorted(scols) == sorted(dcols)
     res = dict(name=name, rows=len(srows), oracle_rows=len(drows), cols_ok=ok_cols,
                spark_s=round(t1 - t0, 2))
     if not ok_cols:
         res["status"] = f"COLS {sorted(scols)} vs {sorted(dcols)}"
         return res
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    bad_types = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    if bad_types:
+        res["status"] = f"TYPES {bad_types}"
+        return res
     a, b = _rows(scols, srows), _rows(dcols, drows)
     if a == b:
         res["status"] = "ok"
