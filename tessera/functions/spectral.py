@@ -82,6 +82,13 @@ def legacy_indices(nir="nir", green="green", swir16="swir16", with_eps: bool = T
     return {"NDMI": F.try_divide(n - s, n + s), "MNDWI": F.try_divide(g - s, g + s)}
 
 
+def with_legacy_indices(df, nir="nir", green="green", swir16="swir16", with_eps: bool = True):
+    """add NDMI / MNDWI only where the frame does not already carry them
+    (a source that ships its own indices keeps them)."""
+    cols = {k: v for k, v in legacy_indices(nir, green, swir16, with_eps).items() if k not in df.columns}
+    return df.withColumns(cols) if cols else df
+
+
 def qa_clear(qa="qa", bad_bits: int = QA_BAD_BITS) -> Column:
     """pixel is clear when none of the bad QA bits is set."""
     return _c(qa).bitwiseAND(F.lit(bad_bits)) == 0

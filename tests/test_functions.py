@@ -88,3 +88,23 @@ def test_day_offset_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [30, 1]
+
+
+def test_legacy_indices_only_when_absent(spark):
+    df = spark.createDataFrame([(3.0, 2.0, 1.0, 0.7)], "nir double, green double, swir16 double, NDMI double")
+    out = sp.with_legacy_indices(df).first()
+    assert out.NDMI == 0.7 and abs(out.MNDWI - (2.0 - 1.0) / (3.0 + 1e-10)) < 1e-12
+
+
+def test_metrics_after_expm1(spark):
+    import math
+
+    from tessera.operators.metrics import r2_rmse_mae
+
+    rows = [(math.log1p(y), math.log1p(p)) for y, p in ((10.0, 12.0), (20.0, 18.0), (30.0, 33.0))]
+    df = spark.createDataFrame(rows, "y double, p double")
+    r = r2_rmse_mae(df, "y", "p", unlog=True).first()
+    ys, ps = [10.0, 20.0, 30.0], [12.0, 18.0, 33.0]
+    mean = sum(ys) / 3
+    want = 1 - sum((a - b) ** 2 for a, b in zip(ys, ps)) / sum((a - mean) ** 2 for a in ys)
+    assert abs(r.r2 - want) < 1e-9 and abs(r.mae - 7 / 3) < 1e-9
