@@ -58,16 +58,29 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), buckets: int = 1024,
     # open state: (group, rank) -> (range lo, range hi, rank within range)
     state: dict[tuple, tuple[float, float, int]] = {}
     groups = {}
+    small = []  # groups already small enough to rank directly
     for r in stats:
         g = tuple(r[b] for b in by)
         groups[g] = r["n"]
         for lo_rank, hi_rank, _ in _rank_targets(r["n"], probs):
-            for k in (lo_rank, hi_rank):
+            for k in {lo_rank, hi_rank}:
                 if r["lo"] == r["hi"]:
                     found[(g, k)] = r["lo"]
+                elif r["n"] <= final_rows:
+                    small.append((*g, k, r["lo"], r["hi"], k))
                 else:
                     state[(g, k)] = (r["lo"], r["hi"], k)
     rid_cols = [*by, "_rank"]
+
+    def rank_within(rows):
+        jf = _attach(spark, base, by, rows)
+        wr = Window.partitionBy(*rid_cols).orderBy("_x")
+        picked = jf.withColumn("_rn", F.row_number().over(wr) - 1).where(F.col("_rn") == F.col("_k")).collect()
+        for r in picked:
+            found[(tuple(r[b] for b in by), r["_rank"])] = r["_x"]
+
+    if small:
+        rank_within(small)
     while state:
         keys = list(state)
         rows = [(*g, k, a, b, kk) for (g, k), (a, b, kk) in ((key, state[key]) for key in keys)]
@@ -91,11 +104,7 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=(), buckets: int = 1024,
             else:
                 state[(g, r["_rank"])] = (r["_bmin"], r["_bmax"], k_in)
         if final:
-            jf = _attach(spark, base, by, final)
-            wr = Window.partitionBy(*rid_cols).orderBy("_x")
-            picked = jf.withColumn("_rn", F.row_number().over(wr) - 1).where(F.col("_rn") == F.col("_k")).collect()
-            for r in picked:
-                found[(tuple(r[b] for b in by), r["_rank"])] = r["_x"]
+            rank_within(final)
     out = {}
     for g, n in groups.items():
         vals = []
