@@ -24,8 +24,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from tessera.session import build_session, table  # noqa: E402
 
 

@@ -4,8 +4,9 @@ Joins are stated declaratively and the planner picks the strategy (AQE
 turns a sort-merge join into a broadcast join at run time only when the
 measured side is under the broadcast threshold, so nothing here
 broadcasts a side whose size is not known). A fan-out guard is evaluated
-lazily on the executors (`assert_true`), sharing the join's partitioning,
-so it costs neither an extra action nor an extra shuffle.
+lazily on the executors (`assert_true` over a map-side-combined count),
+sharing the join's partitioning, so it costs neither an extra action nor an
+extra shuffle.
 """
 
 from __future__ import annotations
@@ -22,12 +23,23 @@ def join_by_index(left: DataFrame, right: DataFrame, key: str = "sample_id", how
 
 
 def unique_on(df: DataFrame, keys, what: str = "join key") -> DataFrame:
-    """Raise at run time if `keys` repeat in `df` (one row per key expected)."""
-    w = Window.partitionBy(*keys)
-    # a filter (not a dropped column) so column pruning cannot remove the check
-    return (df.withColumn("_dup", F.count(F.lit(1)).over(w))
-              .where(F.assert_true(F.col("_dup") == 1, F.lit(f"duplicate {what}")).isNull())
-              .drop("_dup"))
+    """Raise at run time if `keys` repeat in `df` (one row per key expected).
+
+    An aggregate rather than a window: the count (and `first` of the other
+    columns, exact when the count is 1) is combined map-side, so a key that
+    holds a third of all rows is never gathered into one task. Rows with a
+    NULL key cannot match an equi-join and are dropped before the check.
+    The check is a filter, so column pruning cannot remove it, and it is
+    grouped on the join keys, so the join reuses its partitioning.
+    """
+    keys = list(keys)
+    others = [c for c in df.columns if c not in keys]
+    present = df
+    for k in keys:
+        present = present.where(F.col(k).isNotNull())
+    agg = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_dup"), *[F.first(c).alias(c) for c in others])
+    return (agg.where(F.assert_true(F.col("_dup") == 1, F.lit(f"duplicate {what}")).isNull())
+               .select(*df.columns))
 
 
 def join_keys_left(left: DataFrame, right: DataFrame, keys, suffix: str = "_old",

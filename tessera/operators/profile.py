@@ -16,8 +16,6 @@ column into one task for a global quantile. `exact=False` switches to
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +192,3 @@ def extract_coverage(df: DataFrame, dataset: str, cols) -> DataFrame:
     for c in cols:
         aggs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count_if(F.col(c).isNull()).alias(f"{c}_missing")]
     return df.groupBy(dataset).agg(*aggs)
-
-
-def nan_safe(x: float | None) -> float | None:
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x

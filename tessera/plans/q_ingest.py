@@ -25,10 +25,6 @@ def r6(c):
     return F.round(c, R6)
 
 
-def _rounded(cols: dict) -> dict:
-    return {k: r6(v) for k, v in cols.items()}
-
-
 # ------------------------------------------------------------------ S1
 ORDERS_SCHEMA = T.StructType([
     T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()),

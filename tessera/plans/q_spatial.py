@@ -285,3 +285,38 @@ def window_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ra.window_summary(spine, rows, sample_id="sample_id", group_cols=["win"], value_cols=SUMMARY_KEYS)
     return out.select("sample_id", "win", "key", "scene_count", r6(F.col("mean")).alias("mean"),
                       r6(F.col("median")).alias("median"), r6(F.col("max")).alias("max"))
+
+
+# ------------------------------------------------------------------ J7 (boxes)
+BOX_SCALES = (0.1, 0.5)
+
+
+def _site_lat(c):
+    return F.lit(-35.18) + (F.col(c) * 37 % 1346) / F.lit(100.0)
+
+
+def _site_lon(c):
+    return F.lit(14.97) + (F.col(c) * 101 % 1782) / F.lit(100.0)
+
+
+@query("bbox_window_join", with_views(f"""
+SELECT s.sample_id, b.scale, c.site_id AS scene_site, strftime(c.scene_ts, '%Y-%m-%d') AS scene_day,
+       {OFF} AS days_offset
+FROM v_sample s CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
+JOIN (SELECT site_id, scene_ts, -35.18 + (site_id*37 % 1346)/CAST(100 AS DOUBLE) AS lat,
+             14.97 + (site_id*101 % 1782)/CAST(100 AS DOUBLE) AS lon FROM v_scenecat) c
+  ON c.lat BETWEEN s.lat - b.scale AND s.lat + b.scale
+ AND abs(c.lat - s.lat) <= b.scale / 2 AND abs(c.lon - s.lon) <= b.scale / 2
+ AND {_win_sql('c.scene_ts', 's.sample_ts', 30)}""", "v_sample", "v_scenecat"))
+def bbox_window_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 at two box scales: scenes of any site inside the sample's box."""
+    s = fx.samples(spark, sf_dir).select("sample_id", "sample_ts", "lat", "lon")
+    cat = fx.scenes(spark, sf_dir).select(F.col("site_id").alias("scene_site"), "scene_ts",
+                                          _site_lat("site_id").alias("c_lat"), _site_lon("site_id").alias("c_lon"))
+    parts = []
+    for scale in BOX_SCALES:
+        j = st.bbox_window_join(s, cat, lat="lat", lon="lon", sample_ts="sample_ts", scene_lat="c_lat",
+                                scene_lon="c_lon", scene_ts="scene_ts", size=scale, days=30)
+        parts.append(j.select("sample_id", F.lit(scale).alias("scale"), "scene_site",
+                              cal.iso_day("scene_ts").alias("scene_day"), "days_offset"))
+    return parts[0].unionByName(parts[1])
