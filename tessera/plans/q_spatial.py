@@ -320,3 +320,63 @@ def bbox_window_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(j.select("sample_id", F.lit(scale).alias("scale"), "scene_site",
                               cal.iso_day("scene_ts").alias("scene_day"), "days_offset"))
     return parts[0].unionByName(parts[1])
+
+
+# ------------------------------------------------------------------ A4 at both box scales
+BOX_SUMMARY_SQL = f"""
+cand AS (SELECT s.sample_id, b.scale, w.win, c.n_clear, c.green_median,
+                (c.nir08_median - c.red_median) / (c.nir08_median + c.red_median + 1e-8) AS NDVI,
+                CAST({OFF} AS DOUBLE) AS days_offset,
+                row_number() OVER (PARTITION BY s.sample_id, b.scale, w.win ORDER BY {OFF}, c.scene_ts, c.site_id) AS rk
+         FROM v_sample s CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
+         CROSS JOIN (VALUES (15), (30), (60)) w(win)
+         JOIN scl c ON c.lat BETWEEN s.lat - b.scale AND s.lat + b.scale
+          AND abs(c.lat - s.lat) <= b.scale / 2 AND abs(c.lon - s.lon) <= b.scale / 2
+          AND {_win_sql('c.scene_ts', 's.sample_ts', 'w.win')}),
+kept AS (SELECT * FROM cand WHERE rk <= 4 AND n_clear >= 1),
+long AS (SELECT sample_id, scale, win, 'NDVI' AS key, NDVI AS value FROM kept
+         UNION ALL SELECT sample_id, scale, win, 'green_median', green_median FROM kept
+         UNION ALL SELECT sample_id, scale, win, 'days_offset', days_offset FROM kept),
+stats AS (SELECT sample_id, scale, win, key, count(*) AS scene_count, avg(value) AS mean, median(value) AS median,
+                 max(value) AS max FROM long GROUP BY 1, 2, 3, 4),
+spine AS (SELECT s.sample_id, b.scale, w.win, k.key FROM v_sample s
+          CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
+          CROSS JOIN (VALUES (15), (30), (60)) w(win)
+          CROSS JOIN (VALUES ('NDVI'), ('green_median'), ('days_offset')) k(key))
+SELECT p.sample_id, p.scale, p.win, p.key, coalesce(t.scene_count, 0) AS scene_count,
+       round(t.mean, 6) AS mean, round(t.median, 6) AS median, round(t.max, 6) AS max
+FROM spine p LEFT JOIN stats t ON p.sample_id = t.sample_id AND p.scale = t.scale AND p.win = t.win AND p.key = t.key"""
+
+
+def _box_summary_sql() -> str:
+    base = with_views("SELECT 1", "v_sample", "v_pixel", extra=[("sc", SCENE_STATS_SQL), ("scl", """
+SELECT sc.*, -35.18 + (site_id*37 % 1346)/CAST(100 AS DOUBLE) AS lat,
+       14.97 + (site_id*101 % 1782)/CAST(100 AS DOUBLE) AS lon FROM sc""")])
+    return base[: base.rindex("SELECT 1")].rstrip() + ",\n" + BOX_SUMMARY_SQL
+
+
+@query("window_summary_box", _box_summary_sql())
+def window_summary_box_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 as the reference lays it out: per sample, box scale and window —
+    the 4 nearest scenes of any site inside the box (cloud-free ones kept
+    after the cut), summarised; an empty (sample, scale, window) has count 0."""
+    sc = (ra.scene_derived(scene_stats(spark, sf_dir))
+          .select(F.col("site_id").alias("scene_site"), "scene_ts", "n_clear", "green_median", "NDVI",
+                  _site_lat("site_id").alias("c_lat"), _site_lon("site_id").alias("c_lon")))
+    s = fx.samples(spark, sf_dir).select("sample_id", "sample_ts", "lat", "lon")
+    rows = None
+    for scale in BOX_SCALES:
+        j = st.bbox_window_join(s, sc, lat="lat", lon="lon", sample_ts="sample_ts", scene_lat="c_lat",
+                                scene_lon="c_lon", scene_ts="scene_ts", size=scale, days=max(WINDOWS))
+        j = j.withColumn("win", F.explode(F.array(*[F.lit(w) for w in WINDOWS]))).where(
+            (F.col("scene_ts") >= F.col("sample_ts") - F.make_interval(days=F.col("win")))
+            & (F.col("scene_ts") <= F.col("sample_ts") + F.make_interval(days=F.col("win"))))
+        top = st.top_k(j, ["sample_id", "win"], ["days_offset", "scene_ts", "scene_site"], 4, "scene_rank")
+        part = top.where(F.col("n_clear") >= 1).withColumn("scale", F.lit(scale))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("days_offset", F.col("days_offset").cast("double"))
+    spine = s.select("sample_id", F.explode(F.array(*[F.lit(x) for x in BOX_SCALES])).alias("scale")).select(
+        "sample_id", "scale", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("win"))
+    out = ra.window_summary(spine, rows, sample_id="sample_id", group_cols=["scale", "win"], value_cols=SUMMARY_KEYS)
+    return out.select("sample_id", "scale", "win", "key", "scene_count", r6(F.col("mean")).alias("mean"),
+                      r6(F.col("median")).alias("median"), r6(F.col("max")).alias("max"))
