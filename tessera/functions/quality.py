@@ -11,6 +11,12 @@ from .spectral import EPS
 OFFSET_FILL = 61          # days_offset when no scene was found; also the clip ceiling
 API_PREFERRED_MAX_OFFSET = 10
 API_BANDS = ("blue", "green", "red", "nir08", "swir16", "swir22")
+SOURCE_WEIGHTS = (1.0, 0.92, 0.85)           # complete API optics / official only / neither
+OFFSET_PENALTY = 0.18                        # weight lost at the largest offset
+CLIMATE_MISSING_WEIGHT = 0.95
+VARIANT_SOURCE_WEIGHTS = (1.0, 0.9, 0.8)     # the variant weighting
+VARIANT_OFFSET_PENALTY = 0.15
+SPATIAL_BIN_DEGREES = 0.1
 
 
 def _c(x) -> Column:
@@ -72,20 +78,22 @@ def missing_flags(cols) -> dict[str, Column]:
 def sample_weight(complete="api_optical_complete", official="old_optical_available",
                   offset="days_offset_filled", climate_ok=None) -> Column:
     """(1 | .92 | .85) * (1 - offset/61 * .18) * (1 | .95)."""
-    src = (F.when(_c(complete) == 1, F.lit(1.0))
-           .when(_c(official) == 1, F.lit(0.92)).otherwise(F.lit(0.85)))
-    w = src * (F.lit(1.0) - _c(offset) / F.lit(float(OFFSET_FILL)) * F.lit(0.18))
+    full, official_only, neither = SOURCE_WEIGHTS
+    src = (F.when(_c(complete) == 1, F.lit(full))
+           .when(_c(official) == 1, F.lit(official_only)).otherwise(F.lit(neither)))
+    w = src * (F.lit(1.0) - _c(offset) / F.lit(float(OFFSET_FILL)) * F.lit(OFFSET_PENALTY))
     if climate_ok is not None:
-        w = w * F.when(_c(climate_ok) == 1, F.lit(1.0)).otherwise(F.lit(0.95))
+        w = w * F.when(_c(climate_ok) == 1, F.lit(1.0)).otherwise(F.lit(CLIMATE_MISSING_WEIGHT))
     return w
 
 
 def sample_weight_variant(complete="api_optical_complete", official="old_optical_available",
                           offset="days_offset_filled") -> Column:
     """F11 (variant): (1 | .9 | .8) * (1 - offset/61 * .15)."""
-    src = (F.when(_c(complete) == 1, F.lit(1.0))
-           .when(_c(official) == 1, F.lit(0.9)).otherwise(F.lit(0.8)))
-    return src * (F.lit(1.0) - _c(offset) / F.lit(float(OFFSET_FILL)) * F.lit(0.15))
+    full, official_only, neither = VARIANT_SOURCE_WEIGHTS
+    src = (F.when(_c(complete) == 1, F.lit(full))
+           .when(_c(official) == 1, F.lit(official_only)).otherwise(F.lit(neither)))
+    return src * (F.lit(1.0) - _c(offset) / F.lit(float(OFFSET_FILL)) * F.lit(VARIANT_OFFSET_PENALTY))
 
 
 def round_half_even(x, digits: int = 1) -> Column:
@@ -96,8 +104,9 @@ def round_half_even(x, digits: int = 1) -> Column:
 
 def spatial_bin(lat="lat", lon="lon") -> dict[str, Column]:
     """0.1° bins, half-even, `-0.0` normalised, text key `lat_lon`."""
-    la = F.rint(_c(lat) * 10) / 10 + F.lit(0.0)
-    lo = F.rint(_c(lon) * 10) / 10 + F.lit(0.0)
+    per = round(1 / SPATIAL_BIN_DEGREES)
+    la = F.rint(_c(lat) * per) / per + F.lit(0.0)
+    lo = F.rint(_c(lon) * per) / per + F.lit(0.0)
     return {"lat_bin": la, "lon_bin": lo,
             "spatial_group": F.concat_ws("_", la.cast("string"), lo.cast("string"))}
 
