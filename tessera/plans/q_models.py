@@ -17,6 +17,7 @@ from ..models import folds as fo
 from ..models import linear as li
 from ..models import trees as tr
 from ..operators.setops import union_rows
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from .oracle_views import with_views
 from .registry import query
@@ -128,16 +129,29 @@ def _train(spark, sf_dir) -> DataFrame:
     return fo.train_test_split(t, "sample_id", 70, 42)
 
 
+_PREPARED: dict = {}
+
+
+def _prepared(spark, sf_dir, label: str) -> DataFrame:
+    """The assembled, checkpointed training table for `label`, built once per
+    session and input folder (the inputs are read-only) and shared by the
+    fitted-model queries."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), label)
+    if key not in _PREPARED:
+        _PREPARED[key] = tr.prepare(_train(spark, sf_dir), ft.FEATURES, label)
+    return _PREPARED[key]
+
+
 @query("rf_regressor")
 def rf_regressor_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
+    d = _prepared(spark, sf_dir, "ta")
     model = tr.rf_regressor("ta", num_trees=20, max_depth=6).fit(d.where(F.col("split") == "train"))
     return model.transform(d.where(F.col("split") == "test")).select("sample_id", "ta", "prediction")
 
 
 @query("gbt_regressor")
 def gbt_regressor_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
+    d = _prepared(spark, sf_dir, "ta")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     parts = []
     for name, learner in tr.learner_family("ta", weight="sample_weight", scale=SCALE).items():
@@ -155,18 +169,23 @@ def regime_classifier_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("oof_predictions")
 def oof_predictions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
+    d = _prepared(spark, sf_dir, "ta")
     learner = tr.learner_family("ta", scale=SCALE)["gbt_wide"]
     return tr.oof_predictions(d, learner, "fold", name="gbt_wide").join(d.select("sample_id", "ta"), "sample_id")
 
 
 def _base_oof(spark, sf_dir, target="ta") -> DataFrame:
-    """Three learners' OOF predictions as columns (M11 on fitted models)."""
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, target)
+    """Three learners' OOF predictions as columns (M11 on fitted models);
+    fitted once per session and input folder, shared by M12 and M13."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "oof", target)
+    if key in _PREPARED:
+        return _PREPARED[key]
+    d = _prepared(spark, sf_dir, target)
     wide = d.select("sample_id", "fold", target, "sample_weight")
     for name, o in tr.oof_many(d, tr.learner_family(target, scale=SCALE), "fold").items():
         wide = wide.join(o.select("sample_id", f"pred_{name}"), "sample_id")
-    return wide
+    _PREPARED[key] = cut_lineage(wide)
+    return _PREPARED[key]
 
 
 BASES = ["pred_gbt_deep", "pred_gbt_wide", "pred_rf"]
@@ -200,7 +219,7 @@ def regime_blend_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("param_search")
 def param_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
+    d = _prepared(spark, sf_dir, "ta")
     return tr.param_search(d, "ta", "fold", trials=3, scale=SCALE)
 
 
