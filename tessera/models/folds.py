@@ -8,8 +8,9 @@ Mersenne prime 2^31-1; it is written the same way in SQL for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
 
@@ -44,19 +45,25 @@ def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
 
     Balanced mode: groups ranked by size (desc, then key) and dealt in a
     snake order (0..k-1, k-1..0, ...), so fold sizes stay close. The rank
-    runs over the *group* table (one row per group, far fewer than rows);
-    past `max_balanced_groups` the assignment switches to hashing the
-    group key, which needs no global order at all.
+    runs over the *group* table (one row per group, far fewer than rows)
+    as a range-partitioned sort followed by `zipWithIndex` (one small job
+    counts each sorted partition, then every partition numbers its own
+    rows), so no single task sees the whole table. Past
+    `max_balanced_groups` the assignment switches to hashing the group key,
+    which needs no global order at all.
     """
     # the group table is small (one row per group) and is used twice: cut it
     # once so the row-level input is aggregated a single time
     sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     if sizes.count() > max_balanced_groups:
         return sizes.select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias(out))
-    r = F.row_number().over(Window.orderBy(F.col("_n").desc(), F.col(group))) - 1
-    pos = F.pmod(r, F.lit(2 * k))
+    # (size desc, key) is a total order, so the ranks are deterministic
+    ordered = sizes.orderBy(F.col("_n").desc(), F.col(group)).select(group)
+    schema = StructType([ordered.schema[group], StructField("_r", LongType(), False)])
+    ranked = df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda t: (t[0][0], t[1])), schema)
+    pos = F.pmod(F.col("_r"), F.lit(2 * k))
     snake = F.when(pos < k, pos).otherwise(F.lit(2 * k - 1) - pos).cast("int")
-    return sizes.select(group, snake.alias(out))
+    return cut_lineage(ranked.select(group, snake.alias(out)))
 
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",

@@ -19,6 +19,23 @@ def test_group_kfold_groups_intact_and_balanced(spark):
     assert sizes[0] >= 150  # the 300-row group fills one fold; the rest spread
 
 
+def test_fold_assignment_matches_brute_force_snake_order(spark):
+    # many groups over several sorted partitions: the global rank must carry
+    # across partitions exactly like one sorted list
+    rows = [(i, (i * 7919) % 173 + (i % 5)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g long").repartition(6)
+    got = {r.g: r.fold for r in fo.fold_assignment(df, "g", 5).collect()}
+    sizes = {}
+    for _, g in rows:
+        sizes[g] = sizes.get(g, 0) + 1
+    order = sorted(sizes, key=lambda g: (-sizes[g], g))
+    want = {}
+    for r, g in enumerate(order):
+        pos = r % 10
+        want[g] = pos if pos < 5 else 9 - pos
+    assert got == want
+
+
 def test_fewer_groups_than_folds(spark):
     df = spark.createDataFrame([(i, f"g{i % 3}") for i in range(30)], "id long, g string")
     folds = {r.fold for r in fo.group_kfold(df, "g", 5).collect()}
