@@ -36,6 +36,17 @@ def test_fold_assignment_matches_brute_force_snake_order(spark):
     assert got == want
 
 
+def test_fold_assignment_hash_mode_past_group_limit(spark):
+    # past max_balanced_groups the fold is a hash of the group key: every
+    # group still gets exactly one fold in range, with no global ordering
+    df = spark.createDataFrame([(i, i % 50) for i in range(500)], "id long, g long")
+    out = fo.group_kfold(df, "g", 5, max_balanced_groups=10)
+    assert out.count() == 500
+    assert out.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n != 1").count() == 0
+    folds = {r.fold for r in out.select("fold").distinct().collect()}
+    assert folds <= {0, 1, 2, 3, 4} and len(folds) > 1
+
+
 def test_fewer_groups_than_folds(spark):
     df = spark.createDataFrame([(i, f"g{i % 3}") for i in range(30)], "id long, g string")
     folds = {r.fold for r in fo.group_kfold(df, "g", 5).collect()}
