@@ -114,3 +114,42 @@ def per_text(found: DataFrame) -> DataFrame:
 
 def positions(found) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(found), np.int32)) if found else np.empty(0, np.int32)
+
+
+def reduced_batch(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray,
+                  buckets: int) -> pa.RecordBatch:
+    """One entry per name leaves the batch; names that the batch holds several times are found here."""
+    order, group = groups(name)
+    size = np.bincount(group)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
+    keep = np.sort(order[first])
+    here = np.sort(order[size[group] > 1])
+    bucket = (name[keep] % np.uint64(buckets)).astype(np.int64)
+    rows = [(b, False, pack(ids, subs, doc[keep[part]], pos[keep[part]], name[keep[part]]))
+            for b, part in by_bucket(bucket)]
+    if len(here):
+        rows.append((int(bucket[0]), True, pack(ids, subs, doc[here], pos[here])))
+    return packed_batch(rows)
+
+
+def payloads(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
+    """Packed entries of a bucket, and what mappers found alone."""
+    local, payload = table.column("local").to_pylist(), table.column("payload").to_pylist()
+    return [p for p, x in zip(payload, local) if not x], [p for p, x in zip(payload, local) if x]
+
+
+def with_local(ids: np.ndarray, subs: np.ndarray, pos: np.ndarray, local: list[bytes]) -> pa.Table:
+    parts = [(ids, subs, pos), *(unpack(p) for p in local)]
+    return found_table(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def shared_positions(table: pa.Table) -> pa.Table:
+    """Positions of a bucket whose name is there twice or more."""
+    packed, local = payloads(table)
+    none = np.empty(0, np.int64)
+    if not packed:
+        return with_local(none, none, none, local)
+    ids, subs, pos, name = unpack_all(packed, np.uint64)
+    order, group = groups(name)
+    hit = order[np.bincount(group)[group] > 1]
+    return with_local(ids[hit], subs[hit], pos[hit], local)

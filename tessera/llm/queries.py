@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -32,3 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8(spark, sf_dir):
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

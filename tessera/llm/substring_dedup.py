@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     copies = copied_texts(docs)
 
     anchors = texts.mapInArrow(_anchor_mapper(window, buckets), ex.PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, ex.FOUND)
+    shared = anchors.groupBy("bucket").applyInArrow(ex.shared_positions, ex.FOUND)
     candidates = texts.join(_marks(shared, copies), ["id", "sub"], "left")
     windows = candidates.mapInArrow(_window_mapper(window, buckets), ex.PACKED)
     removal = windows.groupBy("bucket").applyInArrow(_later_windows, ex.FOUND)
@@ -97,51 +97,10 @@ def _anchor_mapper(window: int, buckets: int):
                     names.append(name[at])
                 doc, pos, name = (np.concatenate(x) for x in (docs, poss, names))
                 if len(name):
-                    yield _reduced(ids[a:b], subs[a:b], doc, pos, name, buckets)
+                    yield ex.reduced_batch(ids[a:b], subs[a:b], doc, pos, name, buckets)
     return run
 
 
-def _reduced(ids, subs, doc, pos, name, buckets) -> pa.RecordBatch:
-    """One entry per name and batch, told whether it stands for several; the others are found here."""
-    order, group = ex.groups(name)
-    size = np.bincount(group)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
-    keep = np.sort(order[first])
-    many = np.zeros(len(name), np.uint8)
-    many[order[first]] = size > 1
-    rest = np.ones(len(name), bool)
-    rest[keep] = False
-    rows = []
-    bucket = (name[keep] % np.uint64(buckets)).astype(np.int64)
-    for b, part in ex.by_bucket(bucket):
-        e = keep[part]
-        rows.append((b, False, ex.pack(ids, subs, doc[e], pos[e], name[e], many[e])))
-    if rest.any():
-        rows.append((int(bucket[0]), True, ex.pack(ids, subs, doc[rest], pos[rest])))
-    return ex.packed_batch(rows)
-
-
-def _payloads(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
-    local, payload = table.column("local").to_pylist(), table.column("payload").to_pylist()
-    return [p for p, x in zip(payload, local) if not x], [p for p, x in zip(payload, local) if x]
-
-
-def _with_local(ids, subs, pos, local: list[bytes]) -> pa.Table:
-    parts = [(ids, subs, pos), *(ex.unpack(p) for p in local)]
-    return ex.found_table(*(np.concatenate(x) for x in zip(*parts)))
-
-
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    packed, local = _payloads(table)
-    none = np.empty(0, np.int64)
-    if not packed:
-        return _with_local(none, none, none, local)
-    ids, subs, pos, name, many = ex.unpack_all(packed, np.uint64, np.uint8)
-    order, group = ex.groups(name)
-    hit = order[(np.bincount(group)[group] > 1) | (many[order] > 0)]
-    return _with_local(ids[hit], subs[hit], pos[hit], local)
-
-
 def _window_mapper(window: int, buckets: int):
     def run(batches):
         for batch in batches:
@@ -203,17 +162,17 @@ def _first_here(ids, subs, doc, pos, name, check, buckets) -> pa.RecordBatch:
 
 
 def _later_windows(table: pa.Table) -> pa.Table:
-    packed, local = _payloads(table)
+    packed, local = ex.payloads(table)
     none = np.empty(0, np.int64)
     if not packed:
-        return _with_local(none, none, none, local)
+        return ex.with_local(none, none, none, local)
     ids, subs, pos, name, check = ex.unpack_all(packed, np.uint64, np.uint32)
     order = np.lexsort((pos, subs, ids, check, name))
     new = np.ones(len(order), bool)
     new[1:] = (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])
     head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     later = order[(ids[order] != ids[head]) | (subs[order] != subs[head]) | (pos[order] != pos[head])]
-    return _with_local(ids[later], subs[later], pos[later], local)
+    return ex.with_local(ids[later], subs[later], pos[later], local)
 
 
 def _remover(window: int):

@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2, _M3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
