@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import substring_dedup, suffix_dedup
+from . import near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,9 @@ def op8(spark, sf_dir):
 def op5(spark, sf_dir):
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark, sf_dir):
+    return (near_dedup.classes(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+            .select("doc_id", "class_id", "class_size", "kept"))

@@ -1,4 +1,4 @@
-"""Operator 8: substring dedup by difference-cover anchors.
+r"""Operator 8: substring dedup by difference-cover anchors.
 
 A window is `window` consecutive words of one document. Every word covered by
 a window whose word sequence also starts earlier (smaller document, or the

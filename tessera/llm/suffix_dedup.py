@@ -1,4 +1,4 @@
-"""Operator 5: repeated byte strings, by bucket-pointer refinement.
+r"""Operator 5: repeated byte strings, by bucket-pointer refinement.
 
 Every byte covered by a `length`-byte string that starts twice or more
 anywhere in the corpus is removed; strings are judged on the input.

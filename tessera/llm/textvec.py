@@ -1,4 +1,4 @@
-"""Vectorised helpers for whole texts inside a task: words, byte and word hashes.
+r"""Vectorised helpers for whole texts inside a task: words, byte and word hashes.
 
 The texts of one Arrow batch are joined (with a line feed between them) into
 one byte array, so that splitting and hashing are a few numpy passes and no
