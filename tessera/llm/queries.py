@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near_dedup, substring_dedup, suffix_dedup
+from . import decontam, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,11 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     return (near_dedup.classes(table(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
             .select("doc_id", "class_id", "class_size", "kept"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark, sf_dir):
+    found = decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
