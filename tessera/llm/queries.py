@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, near_dedup, substring_dedup, suffix_dedup
+from . import decontam, near_dedup, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,18 @@ def op7(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    known = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
+                                                                     s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), count("random"),
+                        F.sha2(listed(known), 256).alias("base_sha256"), listed("spans").alias("spans"))
