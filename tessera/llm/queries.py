@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, near_dedup, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, near_dedup, quality_ledger, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,39 @@ def op10(spark, sf_dir):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("row.doc_id", count("assign"), count("access"), count("hex"), count("random"),
                         F.sha2(listed(known), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+g AS (SELECT doc_id, i, words[i] || chr(10) || words[i + 1] || chr(10) || words[i + 2] AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+          SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) AS BIGINT) AS n_lines,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+             length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper,
+             length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS n_letters,
+             length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaim
+      FROM w LEFT JOIN r ON w.doc_id IS NOT DISTINCT FROM r.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_upper > n_letters OR 10 * n_letters < 6 * word_chars
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
+            OR 4 * n_exclaim > n_words) AS kept
+FROM b
+"""
+
+
+@query("op4_quality_ledger", OP4_SQL)
+def op4(spark, sf_dir):
+    book = quality_ledger.apply_policy(quality_ledger.ledger(table(spark, sf_dir, "documents")), "v2")
+    base = F.lit(quality_ledger.mask(["short", "repeats"])).cast("long")
+    return book.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept")
