@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, near_dedup, quality_ledger, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, mixing, near_dedup, quality_ledger, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,9 @@ def op4(spark, sf_dir):
     base = F.lit(quality_ledger.mask(["short", "repeats"])).cast("long")
     return book.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        (F.col("failed").bitwiseAND(base) != 0).alias("base_failed"), "kept")
+
+
+@query("op6_source_mixing")
+def op6(spark, sf_dir):
+    return (mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
+            .select("doc_id", "size", "source_size", "target", "taken"))
