@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, mixing, near_dedup, quality_ledger, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, exchange, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,28 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     return (mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op2_reply_trees", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, count(*) AS n_turns,
+             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS loss_chars,
+             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+             sum(33 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, chr(9243)))
+                 + len(regexp_extract_all(role || ' ' || text,
+                     '<\|[A-Za-z0-9_]+\|>|</?s>|<</?SYS>>|\[/?INST\]'))) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(loss_chars AS BIGINT) AS loss_chars, loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM t
+""")
+def op2(spark, sf_dir):
+    added = spark.createDataFrame(
+        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    read = reply_trees.read_back(reply_trees.format_paths(reply_trees.chosen_paths(reply_trees.linear_messages(rows))))
+    return read.select(F.when(F.col("tree") != exchange.NULL_ID, F.col("tree")).alias("conv_id"), "n_turns",
+                       "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
