@@ -5,7 +5,9 @@ batch first reduces its own entries (one representative per name, so a name
 that half of all documents carry crosses the network once per batch), then
 packs what is left by `name mod buckets` into one binary row per bucket. Spark
 shuffles the rows by bucket; a bucket is a fixed slice of the name space whose
-number grows with the input, so a reducer task's memory doesn't.
+number grows with the input, so a reducer task's memory doesn't. What the
+buckets find goes back packed by slice of the texts, and each text gets it as
+one row.
 """
 
 from __future__ import annotations
@@ -69,17 +71,6 @@ def by_bucket(bucket: np.ndarray):
             yield int(bucket[part[0]]), part
 
 
-def doc_rows(ids: np.ndarray, subs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """One (id, sub, packed positions) per text."""
-    if not len(ids):
-        return ids, subs, []
-    order = np.lexsort((pos, subs, ids))
-    ids, subs, pos = ids[order], subs[order], pos[order].astype(np.int32)
-    cut = np.flatnonzero((np.diff(ids) != 0) | (np.diff(subs) != 0)) + 1
-    at = np.concatenate(([0], cut))
-    return ids[at], subs[at], [p.tobytes() for p in np.split(pos, cut)]
-
-
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sort order by keys, and the group number of each sorted entry."""
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -98,22 +89,80 @@ def packed_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
 
 
 FOUND = "id long, sub long, found binary"
-_FOUND = pa.schema([("id", pa.int64()), ("sub", pa.int64()), ("found", pa.binary())])
 
 
-def found_table(ids: np.ndarray, subs: np.ndarray, pos: np.ndarray) -> pa.Table:
-    a, b, c = doc_rows(ids, subs, pos)
-    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())],
-                                schema=_FOUND)
+def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and size of each run of equal keys at consecutive positions; the last key is the position."""
+    *fixed, pos = keys
+    new = np.ones(len(pos), bool)
+    new[1:] = np.diff(pos) != 1
+    for k in fixed:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(pos)))
+
+
+def pack_runs(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Found positions, sorted by (doc, pos), as packed (start, size) runs."""
+    at, size = runs(doc, pos)
+    return pack(ids, subs, doc[at], pos[at], size.astype(np.int32))
+
+
+def found_rows(ids: np.ndarray, subs: np.ndarray, pos: np.ndarray, local: list[bytes], slices: int) -> pa.Table:
+    """What a bucket found, and what mappers found alone, packed by slice of the texts."""
+    order = np.lexsort((pos, subs, ids))
+    ids, subs, pos = ids[order], subs[order], pos[order]
+    at, size = runs(ids, subs, pos)
+    parts = [(ids[at], subs[at], pos[at], size), *(unpack(p, np.int32) for p in local)]
+    ids, subs, start, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((start, subs, ids))
+    ids, subs, start, size = ids[order], subs[order], start[order], size[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(subs) != 0)
+    text = np.cumsum(new) - 1
+    key = ids[new].astype(np.uint64) + subs[new].astype(np.uint64)
+    slice_of = (key % np.uint64(slices)).astype(np.int64)[text]
+    rows = [(b, False, pack(ids[new], subs[new], text[e], start[e], size[e].astype(np.int32)))
+            for b, e in by_bucket(slice_of)]
+    return pa.Table.from_batches([packed_batch(rows)])
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    ids, subs, start, size = unpack_all(table.column("payload").to_pylist(), np.int32)
+    order = np.lexsort((start, subs, ids))
+    ids, subs = ids[order], subs[order]
+    pair = np.stack((start[order], size[order]), axis=1).astype(np.int32)
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(subs) != 0)
+    at = np.flatnonzero(new)
+    return pa.Table.from_arrays([
+        pa.array(ids[at], pa.int64()), pa.array(subs[at], pa.int64()),
+        pa.array([p.tobytes() for p in np.split(pair, at[1:])], pa.binary())], names=["id", "sub", "found"])
 
 
 def per_text(found: DataFrame) -> DataFrame:
-    """All packed positions of a text in one row; as long as the text at most."""
-    return found.groupBy("id", "sub").agg(F.collect_list("found").alias("found"))
+    """One row (id, sub, found) per text: its (start, size) runs, sorted by start."""
+    return found.groupBy("bucket").applyInArrow(_merge, FOUND)
 
 
-def positions(found) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(found), np.int32)) if found else np.empty(0, np.int32)
+def run_pairs(found: bytes) -> tuple[np.ndarray, np.ndarray]:
+    pair = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
+    return pair[:, 0], pair[:, 1]
+
+
+def positions(found: bytes) -> np.ndarray:
+    start, size = run_pairs(found)
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def covered_spans(found: bytes, length: int) -> list[tuple[int, int]]:
+    """Maximal runs covered by windows of `length` whose starts are given."""
+    begin, size = run_pairs(found)
+    end = np.maximum.accumulate(begin + size - 1 + length)
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return list(zip(begin[at].tolist(), end[np.append(at[1:], len(begin)) - 1].tolist()))
 
 
 def reduced_batch(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray,
@@ -128,7 +177,7 @@ def reduced_batch(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, pos: np.nd
     rows = [(b, False, pack(ids, subs, doc[keep[part]], pos[keep[part]], name[keep[part]]))
             for b, part in by_bucket(bucket)]
     if len(here):
-        rows.append((int(bucket[0]), True, pack(ids, subs, doc[here], pos[here])))
+        rows.append((int(bucket[0]), True, pack_runs(ids, subs, doc[here], pos[here])))
     return packed_batch(rows)
 
 
@@ -138,18 +187,15 @@ def payloads(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     return [p for p, x in zip(payload, local) if not x], [p for p, x in zip(payload, local) if x]
 
 
-def with_local(ids: np.ndarray, subs: np.ndarray, pos: np.ndarray, local: list[bytes]) -> pa.Table:
-    parts = [(ids, subs, pos), *(unpack(p) for p in local)]
-    return found_table(*(np.concatenate(x) for x in zip(*parts)))
-
-
-def shared_positions(table: pa.Table) -> pa.Table:
+def shared_positions(slices: int):
     """Positions of a bucket whose name is there twice or more."""
-    packed, local = payloads(table)
-    none = np.empty(0, np.int64)
-    if not packed:
-        return with_local(none, none, none, local)
-    ids, subs, pos, name = unpack_all(packed, np.uint64)
-    order, group = groups(name)
-    hit = order[np.bincount(group)[group] > 1]
-    return with_local(ids[hit], subs[hit], pos[hit], local)
+    def run(table: pa.Table) -> pa.Table:
+        packed, local = payloads(table)
+        ids = subs = pos = np.empty(0, np.int64)
+        if packed:
+            ids, subs, pos, name = unpack_all(packed, np.uint64)
+            order, group = groups(name)
+            hit = order[np.bincount(group)[group] > 1]
+            ids, subs, pos = ids[hit], subs[hit], pos[hit]
+        return found_rows(ids, subs, pos, local, slices)
+    return run

@@ -48,10 +48,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     copies = copied_texts(docs)
 
     anchors = texts.mapInArrow(_anchor_mapper(window, buckets), ex.PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(ex.shared_positions, ex.FOUND)
+    shared = anchors.groupBy("bucket").applyInArrow(ex.shared_positions(buckets), ex.PACKED)
     candidates = texts.join(_marks(shared, copies), ["id", "sub"], "left")
     windows = candidates.mapInArrow(_window_mapper(window, buckets), ex.PACKED)
-    removal = windows.groupBy("bucket").applyInArrow(_later_windows, ex.FOUND)
+    removal = windows.groupBy("bucket").applyInArrow(_later_windows(buckets), ex.PACKED)
     return (texts.join(_marks(removal, copies), ["id", "sub"], "left")
             .mapInArrow(_remover(window),
                         "doc_id long, n_words long, n_removed long, text string, "
@@ -69,9 +69,9 @@ def copied_texts(docs: DataFrame) -> DataFrame:
 
 
 def _marks(found: DataFrame, copies: DataFrame) -> DataFrame:
-    both = found.select("id", "sub", "found", F.lit(False).alias("copy")).unionByName(
+    both = ex.per_text(found).withColumn("copy", F.lit(False)).unionByName(
         copies.select("id", "sub", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("copy")))
-    return both.groupBy("id", "sub").agg(F.collect_list("found").alias("found"), F.max("copy").alias("copy"))
+    return both.groupBy("id", "sub").agg(F.max("found").alias("found"), F.max("copy").alias("copy"))
 
 
 def _anchor_mapper(window: int, buckets: int):
@@ -131,7 +131,7 @@ def _candidates(found: list, w: tv.Words, window: int) -> np.ndarray:
     mask = np.zeros(len(w.start), bool)
     for k, f in enumerate(found):
         n, first = int(w.count[k]), int(w.first[k])
-        anchor = ex.positions(f).astype(np.int64)
+        anchor = ex.positions(f)
         lo = np.maximum(anchor - (PERIOD - 1), 0)
         step = np.zeros(n + 1, np.int32)
         np.add.at(step, lo, 1)
@@ -157,22 +157,24 @@ def _first_here(ids, subs, doc, pos, name, check, buckets) -> pa.RecordBatch:
         e = keep[part]
         rows.append((b, False, ex.pack(ids, subs, doc[e], pos[e], name[e], check[e])))
     if rest.any():
-        rows.append((int(bucket[0]), True, ex.pack(ids, subs, doc[rest], pos[rest])))
+        rows.append((int(bucket[0]), True, ex.pack_runs(ids, subs, doc[rest], pos[rest])))
     return ex.packed_batch(rows)
 
 
-def _later_windows(table: pa.Table) -> pa.Table:
-    packed, local = ex.payloads(table)
-    none = np.empty(0, np.int64)
-    if not packed:
-        return ex.with_local(none, none, none, local)
-    ids, subs, pos, name, check = ex.unpack_all(packed, np.uint64, np.uint32)
-    order = np.lexsort((pos, subs, ids, check, name))
-    new = np.ones(len(order), bool)
-    new[1:] = (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    later = order[(ids[order] != ids[head]) | (subs[order] != subs[head]) | (pos[order] != pos[head])]
-    return ex.with_local(ids[later], subs[later], pos[later], local)
+def _later_windows(slices: int):
+    def run(table: pa.Table) -> pa.Table:
+        packed, local = ex.payloads(table)
+        ids = subs = pos = np.empty(0, np.int64)
+        if packed:
+            ids, subs, pos, name, check = ex.unpack_all(packed, np.uint64, np.uint32)
+            order = np.lexsort((pos, subs, ids, check, name))
+            new = np.ones(len(order), bool)
+            new[1:] = (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])
+            head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            later = order[(ids[order] != ids[head]) | (subs[order] != subs[head]) | (pos[order] != pos[head])]
+            ids, subs, pos = ids[later], subs[later], pos[later]
+        return ex.found_rows(ids, subs, pos, local, slices)
+    return run
 
 
 def _remover(window: int):
@@ -186,7 +188,7 @@ def _remover(window: int):
                 if copy[i]:
                     spans = [(0, n)] if n >= window else []
                 elif found[i]:
-                    spans = merged(ex.positions(found[i]), window)
+                    spans = ex.covered_spans(found[i], window)
                     words = [x for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (n, n)]) for x in words[a:b]]
                 if copy[i] and spans:
                     words = []
@@ -200,13 +202,3 @@ def _remover(window: int):
                 pa.array(cols[3], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["doc_id", "n_words", "n_removed", "text", "spans"])
     return run
-
-
-def merged(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by [s, s + length); starts are sorted."""
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    a = np.concatenate(([0], cut))
-    b = np.concatenate((cut, [len(starts)])) - 1
-    return list(zip(starts[a].tolist(), (starts[b] + length).tolist()))

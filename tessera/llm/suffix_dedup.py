@@ -50,10 +50,10 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     copies = copied_texts(docs)
 
     samples = texts.mapInArrow(_sample_mapper(length, buckets), ex.PACKED)
-    open_buckets = samples.groupBy("bucket").applyInArrow(ex.shared_positions, ex.FOUND)
+    open_buckets = samples.groupBy("bucket").applyInArrow(ex.shared_positions(buckets), ex.PACKED)
     windows = (texts.join(_marks(open_buckets, copies), ["id", "sub"], "left")
                .mapInArrow(_window_mapper(length, buckets), ex.PACKED))
-    repeated = windows.groupBy("bucket").applyInArrow(_repeated_windows, ex.FOUND)
+    repeated = windows.groupBy("bucket").applyInArrow(_repeated_windows(buckets), ex.PACKED)
     return (texts.join(_marks(repeated, copies), ["id", "sub"], "left")
             .mapInArrow(_remover(length),
                         "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, "
@@ -71,9 +71,9 @@ def copied_texts(docs: DataFrame) -> DataFrame:
 
 
 def _marks(found: DataFrame, copies: DataFrame) -> DataFrame:
-    both = found.select("id", "sub", "found", F.lit(0).alias("copy")).unionByName(
+    both = ex.per_text(found).withColumn("copy", F.lit(0)).unionByName(
         copies.select("id", "sub", F.lit(None).cast("binary").alias("found"), "copy"))
-    return both.groupBy("id", "sub").agg(F.collect_list("found").alias("found"), F.max("copy").alias("copy"))
+    return both.groupBy("id", "sub").agg(F.max("found").alias("found"), F.max("copy").alias("copy"))
 
 
 def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -191,23 +191,6 @@ def _equal_neighbours(name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
     return order, same
 
 
-def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First index and size of each run of equal keys at consecutive positions; the last key is the position."""
-    *fixed, pos = keys
-    new = np.ones(len(pos), bool)
-    new[1:] = np.diff(pos) != 1
-    for k in fixed:
-        new[1:] |= k[1:] != k[:-1]
-    at = np.flatnonzero(new)
-    return at, np.diff(np.append(at, len(pos)))
-
-
-def _pack_found(ids, subs, doc, pos) -> bytes:
-    """Window starts as runs: packed (start, size)."""
-    at, size = _runs(doc, pos)
-    return ex.pack(ids, subs, doc[at], pos[at], size.astype(np.int32))
-
-
 def _reduced_windows(ids, subs, doc, pos, least, name, buckets) -> pa.RecordBatch:
     order, same = _equal_neighbours(name, least)
     keep = np.sort(order[~same])
@@ -215,7 +198,7 @@ def _reduced_windows(ids, subs, doc, pos, least, name, buckets) -> pa.RecordBatc
     twice[:-1] |= same[1:]
     here = np.sort(order[twice])
     doc_k, pos_k, least_k, name_k = doc[keep], pos[keep], least[keep], name[keep]
-    at, size = _runs(doc_k, least_k, pos_k)
+    at, size = ex.runs(doc_k, least_k, pos_k)
     bucket = (least_k[at] % np.uint64(buckets)).astype(np.int64)
     rows = []
     for b, part in ex.by_bucket(bucket):
@@ -224,7 +207,7 @@ def _reduced_windows(ids, subs, doc, pos, least, name, buckets) -> pa.RecordBatc
         head = ex.pack(ids, subs, doc_k[s], pos_k[s], n.astype(np.int32), least_k[s])
         rows.append((b, False, np.int32(len(head)).tobytes() + head + name_k[entry].tobytes()))
     if len(here):
-        rows.append((int(bucket[0]), True, _pack_found(ids, subs, doc[here], pos[here])))
+        rows.append((int(bucket[0]), True, ex.pack_runs(ids, subs, doc[here], pos[here])))
     return ex.packed_batch(rows)
 
 
@@ -236,43 +219,18 @@ def _unpack_windows(payload: bytes):
     return rep(ids), rep(subs), rep(pos) + inside, rep(least), np.frombuffer(payload, np.uint64, offset=4 + size)
 
 
-def _repeated_windows(table: pa.Table) -> pa.Table:
-    packed, local = ex.payloads(table)
-    ids, subs, start, size = [_NONE], [_NONE], [_NONE], [_NONE]
-    for p in local:
-        for out, x in zip((ids, subs, start, size), ex.unpack(p, np.int32)):
-            out.append(x)
-    if packed:
-        i, s, pos, least, name = (np.concatenate(x) for x in zip(*map(_unpack_windows, packed)))
-        order, same = _equal_neighbours(name, least)
-        same[:-1] |= same[1:]
-        hit = np.sort(order[same])
-        i, s, pos = i[hit], s[hit], pos[hit]
-        at, n = _runs(i, s, pos)
-        for out, x in zip((ids, subs, start, size), (i[at], s[at], pos[at], n)):
-            out.append(x)
-    ids, subs, start, size = (np.concatenate(x) for x in (ids, subs, start, size))
-    # (start, size) pairs are packed as two positions each
-    pair = np.stack((start, size), axis=1).astype(np.int32)
-    order = np.lexsort((subs, ids))
-    ids, subs, pair = ids[order], subs[order], pair[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(subs) != 0)
-    at = np.flatnonzero(new)
-    found = [p.tobytes() for p in np.split(pair, at[1:])] if len(at) else []
-    return pa.Table.from_arrays([pa.array(ids[at], pa.int64()), pa.array(subs[at], pa.int64()),
-                                 pa.array(found, pa.binary())], names=["id", "sub", "found"])
-
-
-def covered_spans(found: list[bytes], length: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by the windows whose starts come as (start, size) runs."""
-    pair = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2).astype(np.int64)
-    pair = pair[np.argsort(pair[:, 0], kind="stable")]
-    begin, end = pair[:, 0], np.maximum.accumulate(pair[:, 0] + pair[:, 1] - 1 + length)
-    new = np.ones(len(begin), bool)
-    new[1:] = begin[1:] > end[:-1]
-    at = np.flatnonzero(new)
-    return list(zip(begin[at].tolist(), end[np.append(at[1:], len(begin)) - 1].tolist()))
+def _repeated_windows(slices: int):
+    def run(table: pa.Table) -> pa.Table:
+        packed, local = ex.payloads(table)
+        ids = subs = pos = _NONE
+        if packed:
+            ids, subs, pos, least, name = (np.concatenate(x) for x in zip(*map(_unpack_windows, packed)))
+            order, same = _equal_neighbours(name, least)
+            same[:-1] |= same[1:]
+            hit = order[same]
+            ids, subs, pos = ids[hit], subs[hit], pos[hit]
+        return ex.found_rows(ids, subs, pos, local, slices)
+    return run
 
 
 def _remover(length: int):
@@ -285,7 +243,7 @@ def _remover(length: int):
                 if copy[i]:
                     spans = [(0, n)] if n >= length else []
                 elif found[i]:
-                    spans = covered_spans(found[i], length)
+                    spans = ex.covered_spans(found[i], length)
                 if spans:
                     kept = b"".join(body[a:b] for (_, a), (b, _) in zip([(0, 0), *spans], [*spans, (n, n)]))
                 out.append((n, n - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]))
