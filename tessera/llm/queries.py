@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exchange, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, exchange, license_scan, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +134,16 @@ def op2(spark, sf_dir):
     read = reply_trees.read_back(reply_trees.format_paths(reply_trees.chosen_paths(reply_trees.linear_messages(rows))))
     return read.select(F.when(F.col("tree") != exchange.NULL_ID, F.col("tree")).alias("conv_id"), "n_turns",
                        "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+@query("op3_license_scan")
+def op3(spark, sf_dir):
+    base = F.filter("detections", lambda d: d["base"])
+    start = F.transform(base, lambda d: d["start"].cast("long"))
+
+    def labels(detections):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(detections, lambda d: d["label"]))), ",")
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"),
+        F.array_max(start).alias("last_word"), labels(base).alias("base_labels"), labels("detections").alias("labels"),
+        F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0)).alias("score"))
