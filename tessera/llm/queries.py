@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exchange, license_scan, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
+from . import decontam, exchange, language_id, license_scan, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -147,3 +147,16 @@ def op3(spark, sf_dir):
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"),
         F.array_max(start).alias("last_word"), labels(base).alias("base_labels"), labels("detections").alias("labels"),
         F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0)).alias("score"))
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    seen = language_id.from_documents(docs).withColumn("row", F.struct("row.doc_id"))
+    return language_id.identify(seen).select("row.doc_id", "language", "posterior", "text_language", "declared", "kept")
+
+
+@query("language_id_of_pages")
+def pages_language(spark, sf_dir):
+    seen = language_id.from_pages(table(spark, sf_dir, "pages")).withColumn("row", F.struct("row.page_id"))
+    return language_id.identify(seen).select("row.page_id", "language", "posterior", "text_language", "declared", "kept")
