@@ -11,6 +11,7 @@ from .spectral import EPS
 OFFSET_FILL = 61          # days_offset when no scene was found; also the clip ceiling
 API_PREFERRED_MAX_OFFSET = 10
 API_BANDS = ("blue", "green", "red", "nir08", "swir16", "swir22")
+OLD_BANDS = ("nir", "green_old", "swir16_old", "swir22_old")
 SOURCE_WEIGHTS = (1.0, 0.92, 0.85)           # complete API optics / official only / neither
 OFFSET_PENALTY = 0.18                        # weight lost at the largest offset
 CLIMATE_MISSING_WEIGHT = 0.95
@@ -41,8 +42,8 @@ def climate_interactions(ppt="ppt", pet="pet", tmax="tmax", tmin="tmin", q="q")
         "ppt_pet_ratio": _c(ppt) / (_c(pet) + F.lit(EPS)),
         "temp_range": rng,
         "runoff_ratio": _c(q) / (_c(ppt) + F.lit(EPS)),
-        "aridity": _c(pet) / (_c(ppt) + F.lit(EPS)),
-        "range_x_runoff": rng * _c(q),
+        "hydro_stress": _c(pet) / (_c(ppt) + F.lit(EPS)),
+        "thermal_runoff": rng * _c(q),
     }
 
 
@@ -57,15 +58,21 @@ def offset_fill_clip(x="days_offset", fill: int = OFFSET_FILL) -> dict[str, Colu
     }
 
 
-def quality_flags(bands=API_BANDS, official="nir", offset="days_offset") -> dict[str, Column]:
-    """completeness / availability / preference flags."""
-    complete = F.lit(True)
+def _all_present(bands) -> Column:
+    present = F.lit(True)
     for b in bands:
-        complete = complete & _c(b).isNotNull()
+        present = present & _c(b).isNotNull()
+    return present
+
+
+def quality_flags(bands=API_BANDS, official=OLD_BANDS, offset="days_offset") -> dict[str, Column]:
+    """completeness / availability / preference flags; the fallback
+    source counts as available only with all of its bands."""
+    complete = _all_present(bands)
     off = _c(offset)
     return {
         "api_optical_complete": complete.cast("int"),
-        "old_optical_available": _c(official).isNotNull().cast("int"),
+        "old_optical_available": _all_present(official).cast("int"),
         "api_preferred": (complete & off.isNotNull() & (off <= API_PREFERRED_MAX_OFFSET)).cast("int"),
     }
 

@@ -20,7 +20,7 @@ DN_SCALE, DN_OFFSET = 0.0000275, -0.2   # surface-reflectance scale/offset
 DN_MISSING_HIGH = 65535                 # saturated / fill value
 # Named QA flags of the 16-bit pixel-quality band (bit -> name), natural order.
 QA_FLAGS = {
-    "fill": 0, "dilated": 1, "cirrus": 2, "cloud": 3, "shadow": 4,
+    "fill": 0, "dilated_cloud": 1, "cirrus": 2, "cloud": 3, "shadow": 4,
     "snow": 5, "clear": 6, "water": 7,
 }
 
@@ -65,10 +65,10 @@ def band_ratios(blue="blue", green="green", red="red", nir08="nir08",
                 swir16="swir16", swir22="swir22") -> dict[str, Column]:
     """four band ratios with epsilon in the divisor."""
     return {
-        "red_blue_ratio": ratio(red, blue),
+        "turbidity_ratio": ratio(red, blue),
         "green_red_ratio": ratio(green, red),
-        "nir_swir16_ratio": ratio(nir08, swir16),
-        "swir16_swir22_ratio": ratio(swir16, swir22),
+        "nir_swir_ratio": ratio(nir08, swir16),
+        "swir_ratio": ratio(swir16, swir22),
     }
 
 

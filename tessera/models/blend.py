@@ -59,17 +59,22 @@ def blend_scan(wide: DataFrame, y: str, base: str, variants, weights) -> DataFra
     the grid is applied to a (variants × weights)-row table.
     """
     yc = F.col(y)
-    aggs = [F.count(yc).alias("n"), F.var_pop(yc).alias("var_y")]
+    aggs = []
     for v in variants:
+        # every sum, the count and the variance see the same rows: all three values present
+        usable = yc.isNotNull() & F.col(base).isNotNull() & F.col(v).isNotNull()
         d, e = yc - F.col(base), F.col(v) - F.col(base)
-        aggs += [F.sum(d * d).alias(f"dd__{v}"), F.sum(d * e).alias(f"de__{v}"), F.sum(e * e).alias(f"ee__{v}")]
+        aggs += [F.count_if(usable).alias(f"n__{v}"), F.var_pop(F.when(usable, yc)).alias(f"var__{v}"),
+                 F.sum(F.when(usable, d * d)).alias(f"dd__{v}"), F.sum(F.when(usable, d * e)).alias(f"de__{v}"),
+                 F.sum(F.when(usable, e * e)).alias(f"ee__{v}")]
     stats = wide.agg(*aggs)
-    rows = [F.struct(F.lit(v).alias("variant"), F.col(f"dd__{v}").alias("dd"), F.col(f"de__{v}").alias("de"),
-                     F.col(f"ee__{v}").alias("ee")) for v in variants]
-    t = stats.select("n", "var_y", F.explode(F.array(*rows)).alias("r")).select("n", "var_y", "r.*")
+    rows = [F.struct(F.lit(v).alias("variant"), F.col(f"n__{v}").alias("n"), F.col(f"var__{v}").alias("var_y"),
+                     F.col(f"dd__{v}").alias("dd"), F.col(f"de__{v}").alias("de"), F.col(f"ee__{v}").alias("ee"))
+            for v in variants]
+    t = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     t = t.select("*", F.explode(F.array(*[F.lit(float(w)) for w in weights])).alias("weight"))
     w = F.col("weight")
     sse = F.col("dd") - F.lit(2.0) * w * F.col("de") + w * w * F.col("ee")
     return t.select("variant", "weight",
                     (F.lit(1.0) - F.try_divide(sse, F.col("n") * F.col("var_y"))).alias("r2"),
-                    F.sqrt(F.greatest(sse, F.lit(0.0)) / F.col("n")).alias("rmse"))
+                    F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.col("n"))).alias("rmse"))

@@ -25,10 +25,10 @@ TARGETS = ("ta", "ec", "drp")
 SENTINEL = -9999.0
 
 BAND_FEATURES = ["blue", "green", "red", "nir08", "swir16", "swir22", "NDMI", "MNDWI"]
-INDEX_FEATURES = ["NDVI", "NDWI", "NDTI", "SABI", "WRI", "red_blue_ratio", "green_red_ratio",
-                  "nir_swir16_ratio", "swir16_swir22_ratio"]
+INDEX_FEATURES = ["NDVI", "NDWI", "NDTI", "SABI", "WRI", "turbidity_ratio", "green_red_ratio",
+                  "nir_swir_ratio", "swir_ratio"]
 CLIMATE_FEATURES = ["ppt", "pet", "tmax", "tmin", "q", "ppt_pet_ratio", "temp_range", "runoff_ratio",
-                    "aridity", "range_x_runoff"]
+                    "hydro_stress", "thermal_runoff"]
 CALENDAR_FEATURES = ["month_sin", "month_cos", "quarter"]
 QUALITY_FEATURES = ["days_offset_filled", "days_offset_missing", "api_optical_complete",
                     "old_optical_available", "api_preferred"]
@@ -55,7 +55,9 @@ def merged_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cell_j": F.floor((F.col("lon") - 15.0) / 0.5).cast("int"),
         "month": F.trunc("sample_ts", "month")})
     m = jn.coalesce_sources(fx.api_optics(spark, sf_dir), fx.official_optics(spark, sf_dir), spine=s,
-                            api_keep=("days_offset",), official_keep=("nir",))
+                            api_keep=("days_offset",),
+                            official_keep={"nir": "nir", "green": "green_old", "swir16": "swir16_old",
+                                           "swir22": "swir22_old"})
     grid = fx.climate(spark, sf_dir).select("cell_i", "cell_j", "month", "ppt", "pet", "tmax", "tmin", "q")
     return jn.month_bucket_join(m, grid, ["cell_i", "cell_j", "month"], suffix="").drop("cell_i", "cell_j", "month")
 
@@ -72,7 +74,8 @@ def add_features(df: DataFrame) -> DataFrame:
     out = df.withColumns(cols)
     out = out.withColumns(qf.offset_fill_clip("days_offset"))
     out = out.withColumns(qf.quality_flags())
-    out = out.withColumn("sample_weight", qf.sample_weight())
+    out = out.withColumn("climate_ok", F.col("ppt").isNotNull().cast("int"))
+    out = out.withColumn("sample_weight", qf.sample_weight(climate_ok="climate_ok"))
     out = out.withColumns(qf.spatial_bin())
     return out
 

@@ -39,24 +39,19 @@ def random_kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str =
     return df.withColumn(out, F.pmod(int_hash(key, seed), F.lit(k)).cast("int"))
 
 
-def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
-                    max_balanced_groups: int = 1_000_000) -> DataFrame:
+def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
     """M2 (assignment table): one row per group with its fold.
 
-    Balanced mode: groups ranked by size (desc, then key) and dealt in a
+    Groups are ranked by size (desc, then key) and dealt in a
     snake order (0..k-1, k-1..0, ...), so fold sizes stay close. The rank
     runs over the *group* table (one row per group, far fewer than rows)
     as a range-partitioned sort followed by `zipWithIndex` (one small job
     counts each sorted partition, then every partition numbers its own
-    rows), so no single task sees the whole table. Past
-    `max_balanced_groups` the assignment switches to hashing the group key,
-    which needs no global order at all.
+    rows), so no single task sees the whole table.
     """
     # the group table is small (one row per group) and is used twice: cut it
     # once so the row-level input is aggregated a single time
     sizes = cut_lineage(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
-    if sizes.count() > max_balanced_groups:
-        return sizes.select(group, F.pmod(F.xxhash64(group), F.lit(k)).cast("int").alias(out))
     # (size desc, key) is a total order, so the ranks are deterministic
     ordered = sizes.orderBy(F.col("_n").desc(), F.col(group)).select(group)
     schema = StructType([ordered.schema[group], StructField("_r", LongType(), False)])
@@ -66,8 +61,7 @@ def fold_assignment(df: DataFrame, group: str, k: int = 5, out: str = "fold",
     return cut_lineage(ranked.select(group, snake.alias(out)))
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold",
-                max_balanced_groups: int = 1_000_000) -> DataFrame:
+def group_kfold(df: DataFrame, group: str, k: int = 5, out: str = "fold") -> DataFrame:
     """M2: spatially grouped folds — a group never spans two folds. The
     assignment table joins back on the group key (one row per group)."""
-    return df.join(fold_assignment(df, group, k, out, max_balanced_groups), group, "left")
+    return df.join(fold_assignment(df, group, k, out), group, "left")

@@ -87,13 +87,14 @@ def alignment_check(a: DataFrame, b: DataFrame, key: str, cols, tol: float = 1e-
 
 
 def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id",
-                     api_keep=(), official_keep=(), spine: DataFrame | None = None) -> DataFrame:
+                     api_keep=(), official_keep=None, spine: DataFrame | None = None) -> DataFrame:
     """API first; the official source fills a row only where the API
     *green* band is missing (then all its bands are taken together); blue
     and red have no fallback; NDMI / MNDWI always come from the official
     bands. Adds `optical_source` in {'api', 'official', 'none'}.
-    `api_keep` / `official_keep` pass further columns through unchanged
-    (official ones under their own names), so callers need no second join.
+    `api_keep` passes further columns through unchanged, `official_keep`
+    (official column -> output name) those of the fallback source, so
+    callers need no second join.
     With a `spine` (one row per key) both sources are left-joined onto it
     and the spine's columns lead the output: every join is on the same key,
     so the spine is shuffled once and the joins share its partitioning
@@ -123,7 +124,7 @@ def coalesce_sources(api: DataFrame, official: DataFrame, key: str = "sample_id"
         F.when(~use_off, F.lit("api")).when(F.col("off_green").isNotNull(), F.lit("official"))
          .otherwise(F.lit("none")).alias("optical_source"),
         *[F.col(c) for c in api_keep],
-        *[F.col(f"off_{c}").alias(c) for c in official_keep],
+        *[F.col(f"off_{c}").alias(name) for c, name in (official_keep or {}).items()],
     )
 
 

@@ -7,8 +7,8 @@ Statistics that feed a second pass (quantiles, medians, min/max) come
 back to the driver as a single row and re-enter the plan as literals —
 the only driver traffic is that row.
 
-Exact quantiles use distributed rank selection (`quantiles.exact_quantiles`:
-bucket counts, then a bounded final ranking) rather than Spark's exact
+Exact quantiles use one distributed sort (`quantiles.exact_quantiles`)
+rather than Spark's exact
 `percentile`, whose single value->count map per group would put a whole
 column into one task for a global quantile. `exact=False` switches to
 `percentile_approx`.
@@ -40,7 +40,7 @@ def missing_report(df: DataFrame, cols) -> DataFrame:
 def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear), max per column.
     (`DataFrame.summary()` uses approximate quartiles; this is exact.) One
-    aggregate for the moments, rank selection for the quartiles."""
+    aggregate for the moments, one sort for the quartiles."""
     aggs = []
     for c in cols:
         x = F.col(c)
@@ -119,7 +119,7 @@ def fold_median_impute(df: DataFrame, cols, fold: str, folds) -> DataFrame:
     (the fold's training part), so no held-out value leaks into its own fill.
 
     Each row is copied to the k-1 folds it trains (k is small and fixed) and
-    the medians per held-out fold come from grouped rank selection; the
+    the medians per held-out fold come from grouped quantiles; the
     k-row result joins back on the fold.
     """
     fl = [int(f) for f in folds]

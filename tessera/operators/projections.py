@@ -113,13 +113,10 @@ def _safe(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_")
 
 
-def one_hot(df: DataFrame, col: str, prefix: str | None = None, max_levels: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
     """one 0/1 column per distinct level (sorted), no NA column; the
-    source column is dropped. Levels come from one distinct aggregate and
-    are bounded by `max_levels` (a larger domain needs `OneHotEncoder`)."""
-    levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-              .orderBy(col).limit(max_levels + 1).collect()]
-    if len(levels) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} levels")
+    source column is dropped. Levels come from one distinct aggregate; they
+    are the output's columns, so the driver holds no more than the schema."""
+    levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
     p = prefix or col
     return df.withColumns({f"{p}_{_safe(str(v))}": (F.col(col) == F.lit(v)).cast("int") for v in levels}).drop(col)

@@ -1,143 +1,69 @@
-"""Exact quantiles with bounded memory: distributed rank selection.
-
-Spark's exact `percentile` keeps one value->count map per group and
-merges it in a single task, so a global quantile over a 100 TB column
-would need every distinct value in one map. Here the k-th smallest value
-is found by range refinement instead:
-
-1. one aggregate gives count / min / max per group;
-2. each round splits every open range into `buckets` equal-width buckets
-   and counts rows per bucket (an aggregate: only counts travel), a
-   running sum over the (small) bucket table finds the bucket holding the
-   wanted rank, and the range shrinks to that bucket's own min..max;
-3. once a range holds at most `final_rows` rows (or a single value), the
-   rows in it are ranked with a window and the wanted one is read.
-
-Each round is one pass over the column; ranges shrink by ~`buckets`×
-per round, so a handful of rounds suffice. The result equals the linear
-interpolation of `percentile` / DuckDB's `quantile_cont`.
-
-The per-group state (groups × wanted ranks) lives on the driver and is
-joined back as a small table, so the number of *groups* must stay modest
-(`max_groups`); the number of *rows* is unbounded.
+"""Exact quantiles by one distributed sort.
+
+Spark's exact `percentile` merges one value->count map per group in a single
+task, so a global quantile over a 100 TB column would need every distinct
+value in one map. Here the values are sorted once by (group, value) into
+ranges, with a random third sort key so that equal values may span ranges;
+each row's place is its partition's offset plus its position in the partition,
+and the wanted ranks are picked by number. No task holds a group and no group
+state reaches the driver; it sees one row count per partition.
+
+The result equals the linear interpolation of `percentile` / DuckDB's
+`quantile_cont`. Infinities are values like any other; NULL and NaN are left
+out.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def _rank_targets(n: int, probs) -> list[tuple[int, int, float]]:
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        out.append((int(math.floor(h)), int(math.ceil(h)), h))
-    return out
+_PARTITION_BITS = 33  # of monotonically_increasing_id: partition above, row below
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=(), buckets: int = 1024,
-                    final_rows: int = 100_000, max_groups: int = 100_000) -> dict:
-    """{group tuple: [q for each prob]} for the non-NULL values of `col`.
+def group_quantiles(df: DataFrame, col: str, probs, by=()) -> DataFrame:
+    """by..., n, q (array of one quantile per prob), one row per group that has a value.
 
-    Interpolation: position h = (n-1)p, lo = floor(h), hi = ceil(h),
-    q = (hi - h)·x[lo] + (h - lo)·x[hi] (the form Spark's `percentile`
-    uses). A group with no values maps to Nones.
+    Position h = (n-1)p, lo = floor(h), hi = ceil(h),
+    q = (hi - h)·x[lo] + (h - lo)·x[hi] (the form Spark's `percentile` uses).
     """
     by = list(by)
-    x = F.col(col).cast("double")
-    base = df.select(*[F.col(b) for b in by], x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                                  F.max("_x").alias("hi")).limit(max_groups + 1).collect()
-    if len(stats) > max_groups:
-        raise ValueError(f"more than {max_groups} groups: use percentile_approx")
-    spark = df.sparkSession
-    found: dict[tuple, float] = {}
-    # open state: (group, rank) -> (range lo, range hi, rank within range)
-    state: dict[tuple, tuple[float, float, int]] = {}
-    groups = {}
-    small = []  # groups already small enough to rank directly
-    for r in stats:
-        g = tuple(r[b] for b in by)
-        groups[g] = r["n"]
-        for lo_rank, hi_rank, _ in _rank_targets(r["n"], probs):
-            for k in {lo_rank, hi_rank}:
-                if r["lo"] == r["hi"]:
-                    found[(g, k)] = r["lo"]
-                elif r["n"] <= final_rows:
-                    small.append((*g, k, r["lo"], r["hi"], k))
-                else:
-                    state[(g, k)] = (r["lo"], r["hi"], k)
-    rid_cols = [*by, "_rank"]
-
-    def rank_within(rows):
-        jf = _attach(spark, base, by, rows)
-        wr = Window.partitionBy(*rid_cols).orderBy("_x")
-        picked = jf.withColumn("_rn", F.row_number().over(wr) - 1).where(F.col("_rn") == F.col("_k")).collect()
-        for r in picked:
-            found[(tuple(r[b] for b in by), r["_rank"])] = r["_x"]
-
-    if small:
-        rank_within(small)
-    while state:
-        keys = list(state)
-        rows = [(*g, k, a, b, kk) for (g, k), (a, b, kk) in ((key, state[key]) for key in keys)]
-        j = _attach(spark, base, by, rows)
-        bucket = F.least(F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a")) * buckets),
-                         F.lit(buckets - 1)).cast("int")
-        cnt = j.groupBy(*rid_cols, "_k", bucket.alias("_bk")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
-        w = Window.partitionBy(*rid_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-        cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        hit = cnt.where((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_c"))).collect()
-        final = []
-        state = {}
-        for r in hit:
-            g = tuple(r[b] for b in by)
-            k_in = r["_k"] - r["_before"]
-            if r["_bmin"] == r["_bmax"]:
-                found[(g, r["_rank"])] = r["_bmin"]
-            elif r["_c"] <= final_rows:
-                final.append((*g, r["_rank"], r["_bmin"], r["_bmax"], k_in))
-            else:
-                state[(g, r["_rank"])] = (r["_bmin"], r["_bmax"], k_in)
-        if final:
-            rank_within(final)
-    out = {}
-    for g, n in groups.items():
-        vals = []
-        for lo_rank, hi_rank, h in _rank_targets(n, probs):
-            a, b = found[(g, lo_rank)], found[(g, hi_rank)]
-            vals.append(a if lo_rank == hi_rank else (hi_rank - h) * a + (h - lo_rank) * b)
-        out[g] = vals
-    return out
-
-
-def _attach(spark, base: DataFrame, by, rows) -> DataFrame:
-    """Rows of `base` inside each open range, tagged with the range's rank.
-
-    Global quantiles (no groups): the few open ranges are a literal array,
-    and each row keeps only the entries whose range contains it. Grouped:
-    an equi-join on the group keys with the open-range table, whose size is
-    groups × wanted ranks (bounded by `max_groups`), broadcast.
-    """
-    inside = lambda e: (F.col("_x") >= e["_a"]) & (F.col("_x") <= e["_b"])
-    if not by:
-        arr = F.array(*[F.struct(F.lit(k).cast("long").alias("_rank"), F.lit(float(a)).alias("_a"),
-                                 F.lit(float(b)).alias("_b"), F.lit(kk).cast("long").alias("_k"))
-                        for k, a, b, kk in rows])
-        return (base.select("_x", F.explode(F.filter(arr, inside)).alias("_e"))
-                    .select("_x", "_e._rank", "_e._a", "_e._b", "_e._k"))
-    st = spark.createDataFrame(rows, _schema(base, by))
-    cond = [base[b].eqNullSafe(st[b]) for b in by]
-    j = base.join(F.broadcast(st), cond, "inner")
-    return j.select(*[st[b].alias(b) for b in by], "_x", "_rank", "_a", "_b", "_k").where(
-        (F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b")))
-
-
-def _schema(base: DataFrame, by) -> str:
-    types = dict(base.dtypes)
-    cols = [f"`{b}` {types[b]}" for b in by]
-    return ", ".join(cols + ["_rank long", "_a double", "_b double", "_k long"])
+    base = df.select(*by, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    placed = cut_lineage(base.withColumn("_tie", F.rand(11)).repartitionByRange(*by, "_x", "_tie")
+                         .sortWithinPartitions(*by, "_x").select(*by, "_x", F.monotonically_increasing_id().alias("_m")))
+    part = F.shiftrightunsigned("_m", _PARTITION_BITS)
+    offsets, total = [], 0
+    for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        offsets.append((r["p"], total))
+        total += r["n"]
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p long, _offset long")  # one row per partition
+    placed = (placed.withColumn("_p", part).join(F.broadcast(table), "_p")
+              .withColumn("_at", F.col("_offset") + F.col("_m").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))))
+    stats = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_start"))
+    low = [F.floor((F.col("n") - 1) * p) for p in probs]
+    high = [F.ceil((F.col("n") - 1) * p) for p in probs]
+    if by:
+        g = stats.select(*[F.col(b).alias(f"_g_{b}") for b in by], "n", "_start")
+        cond = [placed[b].eqNullSafe(g[f"_g_{b}"]) for b in by]
+        ranked = placed.join(g, cond)
+    else:
+        first = stats.first()
+        ranked = placed.withColumns({"n": F.lit(first["n"]), "_start": F.lit(first["_start"])})
+    rank = F.col("_at") - F.col("_start")
+    wanted = ranked.where(F.array_contains(F.array(*low, *high), rank)).withColumn("_rank", rank)
+    picked = wanted.groupBy(*by, "n").agg(
+        *[F.max(F.when(F.col("_rank") == a, F.col("_x"))).alias(f"_a{i}") for i, a in enumerate(low)],
+        *[F.max(F.when(F.col("_rank") == b, F.col("_x"))).alias(f"_b{i}") for i, b in enumerate(high)])
+    values = []
+    for i, (p, a, b) in enumerate(zip(probs, low, high)):
+        h = (F.col("n") - 1) * p
+        values.append(F.when(a == b, F.col(f"_a{i}")).otherwise((b - h) * F.col(f"_a{i}") + (h - a) * F.col(f"_b{i}")))
+    return picked.select(*by, "n", F.array(*values).alias("q"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
+    """{group tuple: [q for each prob]}, for a few known groups (columns, folds); else use `group_quantiles`."""
+    by = list(by)
+    return {tuple(r[b] for b in by): list(r["q"]) for r in group_quantiles(df, col, probs, by).collect()}

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 VIEWS: dict[str, str] = {
     "v_sample": """
-SELECT o_orderkey AS sample_id, o_custkey AS site_id, o_orderdate AS sample_ts,
+SELECT o_orderkey AS sample_id, o_custkey AS site_id, o_orderdate + to_hours(o_orderkey*5 % 24) AS sample_ts,
        -35.18 + (o_custkey*37 % 1346)/CAST(100 AS DOUBLE) AS lat,
        14.97 + (o_custkey*101 % 1782)/CAST(100 AS DOUBLE) AS lon,
        o_totalprice/1000 AS ta,
@@ -31,10 +31,10 @@ SELECT o_orderkey AS sample_id,
        CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE CAST(7000 + o_orderkey*167 % 9000 AS DOUBLE) END AS nir,
        CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE CAST(7000 + o_orderkey*127 % 9000 AS DOUBLE) END AS green,
        CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE CAST(7000 + o_orderkey*199 % 9000 AS DOUBLE) END AS swir16,
-       CASE WHEN o_orderkey % 9 = 4 THEN NULL ELSE CAST(7000 + o_orderkey*233 % 9000 AS DOUBLE) END AS swir22
+       CASE WHEN o_orderkey % 9 = 4 OR o_orderkey % 103 = 0 THEN NULL ELSE CAST(7000 + o_orderkey*233 % 9000 AS DOUBLE) END AS swir22
 FROM orders""",
     "v_pixel": """
-SELECT o_custkey AS site_id, l_shipdate AS scene_ts,
+SELECT o_custkey AS site_id, l_shipdate + to_hours((o_custkey*7 + day(l_shipdate)*11) % 24) AS scene_ts,
        l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(7000 + l_partkey*131 % 9000 AS DOUBLE) AS green,
        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(7000 + (l_partkey*173 + l_linenumber*911) % 9000 AS DOUBLE) END AS nir08,
        CAST(7000 + (l_partkey*57 + l_suppkey*13) % 9000 AS DOUBLE) AS red,
@@ -95,3 +95,8 @@ def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = Non
 # F9 in DuckDB: |floor((scene - sample) / 1 day)| on elapsed microseconds.
 def day_offset_sql(scene: str, sample: str) -> str:
     return f"CAST(abs(floor(date_diff('microsecond', {sample}, {scene}) / 86400000000.0)) AS BIGINT)"
+
+
+# Exact distance in time, for the order of scenes (the floored day offset is an output only).
+def gap_sql(scene: str, sample: str) -> str:
+    return f"abs(date_diff('microsecond', {sample}, {scene}))"

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.quality import spatial_bin
 from ..functions.spectral import norm_diff, qa_clear
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import group_quantiles
 from ..operators.spatiotemporal import nearest_scene
 from ..session import cut_lineage
 from ..sources import fixtures as fx
-from .oracle_views import day_offset_sql, with_views
+from .oracle_views import day_offset_sql, gap_sql, with_views
 from .registry import query
 
 FLAGSHIP_SQL = with_views(f"""
@@ -26,7 +26,7 @@ FROM cand WHERE rn = 1 GROUP BY 1""", "v_sample", "v_pixel", extra=[
     ("cand", f"""SELECT m.sample_id, m.lat, m.ta, p.green, p.nir08, p.red,
                         {day_offset_sql('p.scene_ts', 'm.sample_ts')} AS days_offset,
                         row_number() OVER (PARTITION BY m.sample_id
-                           ORDER BY {day_offset_sql('p.scene_ts', 'm.sample_ts')}, p.scene_ts) AS rn
+                           ORDER BY {gap_sql('p.scene_ts', 'm.sample_ts')}, p.scene_ts) AS rn
                  FROM v_sample m LEFT JOIN v_scene p
                    ON m.site_id = p.site_id AND p.scene_ts BETWEEN m.sample_ts - INTERVAL 30 DAY
                                                           AND m.sample_ts + INTERVAL 30 DAY"""),
@@ -45,7 +45,7 @@ def clear_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest-scene table (one row per sample) is materialised once;
     the moments come from one aggregate and the per-bin median of `ta` from
-    rank selection, so no latitude bin — however many samples it holds —
+    one distributed sort, so no latitude bin — however many samples it holds —
     is ever gathered into a single task's value map."""
     s = fx.samples(spark, sf_dir).select("sample_id", "site_id", "sample_ts", "lat", "ta")
     near = nearest_scene(s, clear_scenes(spark, sf_dir), key="site_id", sample_id="sample_id",
@@ -56,7 +56,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count("green").alias("n_hit"),
         F.round(F.avg(norm_diff("nir08", "red")), 6).alias("ndvi"),
         F.round(F.avg("days_offset"), 6).alias("off"))
-    med = exact_quantiles(near, "ta", (0.5,), by=["lat_bin"])
-    med_df = spark.createDataFrame([(g[0], v[0]) for g, v in med.items()], "lat_bin double, ta double")
-    return (agg.join(med_df, "lat_bin", "left")
+    med = group_quantiles(near, "ta", (0.5,), by=["lat_bin"]).select("lat_bin", F.get("q", F.lit(0)).alias("ta"))
+    return (agg.join(med, "lat_bin", "left")
             .select("lat_bin", "n", "n_hit", "ndvi", "off", F.round("ta", 6).alias("ta")))

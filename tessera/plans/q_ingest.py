@@ -288,8 +288,8 @@ def water_indices_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("band_ratios", with_views("""
-SELECT sample_id, round(red/(blue+1e-8), 6) AS red_blue_ratio, round(green/(red+1e-8), 6) AS green_red_ratio,
-       round(nir08/(swir16+1e-8), 6) AS nir_swir16_ratio, round(swir16/(swir22+1e-8), 6) AS swir16_swir22_ratio
+SELECT sample_id, round(red/(blue+1e-8), 6) AS turbidity_ratio, round(green/(red+1e-8), 6) AS green_red_ratio,
+       round(nir08/(swir16+1e-8), 6) AS nir_swir_ratio, round(swir16/(swir22+1e-8), 6) AS swir_ratio
 FROM v_api""", "v_api"))
 def band_ratios_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.api_optics(spark, sf_dir).select("sample_id", *[
@@ -313,8 +313,8 @@ def legacy_indices_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("climate_interactions", with_views("""
 SELECT cell_i, cell_j, strftime(month, '%Y-%m') AS month,
        round(ppt/(pet+1e-8), 6) AS ppt_pet_ratio, round(tmax-tmin, 6) AS temp_range,
-       round(q/(ppt+1e-8), 6) AS runoff_ratio, round(pet/(ppt+1e-8), 6) AS aridity,
-       round((tmax-tmin)*q, 6) AS range_x_runoff
+       round(q/(ppt+1e-8), 6) AS runoff_ratio, round(pet/(ppt+1e-8), 6) AS hydro_stress,
+       round((tmax-tmin)*q, 6) AS thermal_runoff
 FROM v_climate""", "v_climate"))
 def climate_interactions_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.climate(spark, sf_dir)
@@ -369,17 +369,19 @@ def abs_day_offset_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _optics(spark, sf_dir) -> DataFrame:
     """API optics joined to the fallback source (1:1 on sample_id)."""
     return fx.api_optics(spark, sf_dir).join(
-        fx.official_optics(spark, sf_dir).select("sample_id", "nir"), "sample_id", "left")
+        fx.official_optics(spark, sf_dir).withColumnsRenamed(
+            {b: f"{b}_old" for b in ("green", "swir16", "swir22")}), "sample_id", "left")
 
 
-OPTICS_SQL = "SELECT a.*, o.nir FROM v_api a LEFT JOIN v_official o ON a.sample_id = o.sample_id"
+OPTICS_SQL = "SELECT a.*, o.nir, o.green AS green_old, o.swir16 AS swir16_old, o.swir22 AS swir22_old FROM v_api a LEFT JOIN v_official o ON a.sample_id = o.sample_id"
 
 
 @query("quality_flags", with_views("""
 SELECT sample_id,
        CAST(blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND nir08 IS NOT NULL
             AND swir16 IS NOT NULL AND swir22 IS NOT NULL AS INT) AS api_optical_complete,
-       CAST(nir IS NOT NULL AS INT) AS old_optical_available,
+       CAST(nir IS NOT NULL AND green_old IS NOT NULL AND swir16_old IS NOT NULL AND swir22_old IS NOT NULL AS INT)
+         AS old_optical_available,
        CAST(blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND nir08 IS NOT NULL
             AND swir16 IS NOT NULL AND swir22 IS NOT NULL AND days_offset IS NOT NULL AND days_offset <= 10 AS INT)
          AS api_preferred,
@@ -398,7 +400,7 @@ SELECT sample_id,
 FROM (SELECT sample_id,
         CAST(blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND nir08 IS NOT NULL
              AND swir16 IS NOT NULL AND swir22 IS NOT NULL AS INT) AS c,
-        CAST(nir IS NOT NULL AS INT) AS o,
+        CAST(nir IS NOT NULL AND green_old IS NOT NULL AND swir16_old IS NOT NULL AND swir22_old IS NOT NULL AS INT) AS o,
         least(greatest(coalesce(days_offset, 61.0), 0.0), 61.0) AS f FROM t) x""",
                                    "v_api", "v_official", extra=[("t", OPTICS_SQL)]))
 def sample_weight_q(spark: SparkSession, sf_dir: str) -> DataFrame:

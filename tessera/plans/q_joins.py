@@ -257,21 +257,22 @@ SELECT sample_id,
   round((nir08-red)/(nir08+red+1e-8), 6) AS NDVI, round((green-nir08)/(green+nir08+1e-8), 6) AS NDWI,
   round((red-green)/(red+green+1e-8), 6) AS NDTI,
   round((nir08-red)/(blue+green+1e-8), 6) AS SABI, round((green+red)/(nir08+swir16+1e-8), 6) AS WRI,
-  round(red/(blue+1e-8), 6) AS red_blue_ratio, round(green/(red+1e-8), 6) AS green_red_ratio,
-  round(nir08/(swir16+1e-8), 6) AS nir_swir16_ratio, round(swir16/(swir22+1e-8), 6) AS swir16_swir22_ratio,
+  round(red/(blue+1e-8), 6) AS turbidity_ratio, round(green/(red+1e-8), 6) AS green_red_ratio,
+  round(nir08/(swir16+1e-8), 6) AS nir_swir_ratio, round(swir16/(swir22+1e-8), 6) AS swir_ratio,
   round(ppt/(pet+1e-8), 6) AS ppt_pet_ratio, round(tmax-tmin, 6) AS temp_range, round(q/(ppt+1e-8), 6) AS runoff_ratio,
-  round(pet/(ppt+1e-8), 6) AS aridity, round((tmax-tmin)*q, 6) AS range_x_runoff,
+  round(pet/(ppt+1e-8), 6) AS hydro_stress, round((tmax-tmin)*q, 6) AS thermal_runoff,
   round(sin(month(sample_ts) * 0.5235987755982988), 6) AS month_sin,
   round(cos(month(sample_ts) * 0.5235987755982988), 6) AS month_cos, CAST(quarter(sample_ts) AS INTEGER) AS quarter,
   f AS days_offset_filled, CAST(days_offset IS NULL AS INT) AS days_offset_missing,
   c AS api_optical_complete, o AS old_optical_available,
   CAST(c = 1 AND days_offset IS NOT NULL AND days_offset <= 10 AS INT) AS api_preferred,
-  round((CASE WHEN c = 1 THEN 1.0 WHEN o = 1 THEN 0.92 ELSE 0.85 END) * (1.0 - f/61.0*0.18), 6) AS sample_weight,
+  round((CASE WHEN c = 1 THEN 1.0 WHEN o = 1 THEN 0.92 ELSE 0.85 END) * (1.0 - f/61.0*0.18)
+        * CASE WHEN ppt IS NOT NULL THEN 1.0 ELSE 0.95 END, 6) AS sample_weight,
   CAST(round_even(lat, 1) + 0.0 AS VARCHAR) || '_' || CAST(round_even(lon, 1) + 0.0 AS VARCHAR) AS spatial_group
 FROM (SELECT m.*,
         CAST(blue IS NOT NULL AND green IS NOT NULL AND red IS NOT NULL AND nir08 IS NOT NULL
              AND swir16 IS NOT NULL AND swir22 IS NOT NULL AS INT) AS c,
-        CAST(nir IS NOT NULL AS INT) AS o,
+        CAST(nir IS NOT NULL AND green_old IS NOT NULL AND swir16_old IS NOT NULL AND swir22_old IS NOT NULL AS INT) AS o,
         least(greatest(coalesce(days_offset, 61.0), 0.0), 61.0) AS f
       FROM m) x"""
 
@@ -281,15 +282,16 @@ SELECT s.*, a.blue, a.red,
        CASE WHEN a.green IS NULL THEN o.nir ELSE a.nir08 END AS nir08,
        CASE WHEN a.green IS NULL THEN o.swir16 ELSE a.swir16 END AS swir16,
        CASE WHEN a.green IS NULL THEN o.swir22 ELSE a.swir22 END AS swir22,
-       a.days_offset, o.nir, c.ppt, c.pet, c.tmax, c.tmin, c.q
+       a.days_offset, o.nir, o.green AS green_old, o.swir16 AS swir16_old, o.swir22 AS swir22_old,
+       c.ppt, c.pet, c.tmax, c.tmin, c.q
 FROM v_sample s LEFT JOIN v_api a ON s.sample_id = a.sample_id
 LEFT JOIN v_official o ON s.sample_id = o.sample_id
 LEFT JOIN v_climate c ON CAST(floor((s.lat + 35.0) / 0.5) AS INT) = c.cell_i
                      AND CAST(floor((s.lon - 15.0) / 0.5) AS INT) = c.cell_j
                      AND CAST(date_trunc('month', s.sample_ts) AS DATE) = c.month"""
 
-ENGINEERED = ["NDVI", "NDWI", "NDTI", "SABI", "WRI", "red_blue_ratio", "green_red_ratio", "nir_swir16_ratio",
-              "swir16_swir22_ratio", "ppt_pet_ratio", "temp_range", "runoff_ratio", "aridity", "range_x_runoff",
+ENGINEERED = ["NDVI", "NDWI", "NDTI", "SABI", "WRI", "turbidity_ratio", "green_red_ratio", "nir_swir_ratio",
+              "swir_ratio", "ppt_pet_ratio", "temp_range", "runoff_ratio", "hydro_stress", "thermal_runoff",
               "month_sin", "month_cos", "sample_weight"]
 
 

@@ -10,7 +10,7 @@ from ..functions.spectral import qa_clear
 from ..operators import raster as ra
 from ..operators import spatiotemporal as st
 from ..sources import fixtures as fx
-from .oracle_views import day_offset_sql, with_views
+from .oracle_views import day_offset_sql, gap_sql, with_views
 from .q_flagship import clear_scenes
 from .registry import query
 
@@ -28,6 +28,7 @@ def _win_sql(scene: str, sample: str, days) -> str:
 
 
 OFF = day_offset_sql("c.scene_ts", "s.sample_ts")
+GAP = gap_sql("c.scene_ts", "s.sample_ts")
 
 # Scene statistics over all pixels of a scene (cloudy scenes included).
 SCENE_STATS_SQL = """
@@ -72,7 +73,7 @@ def window_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, green, nir08, red
 FROM (SELECT s.sample_id, c.scene_ts, c.green, c.nir08, c.red,
              CASE WHEN c.scene_ts IS NOT NULL THEN {OFF} END AS days_offset,
-             row_number() OVER (PARTITION BY s.sample_id ORDER BY {OFF}, c.scene_ts) AS rn
+             row_number() OVER (PARTITION BY s.sample_id ORDER BY {GAP}, c.scene_ts) AS rn
       FROM v_sample s LEFT JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 30)}) x
 WHERE rn = 1""", "v_sample", "v_pixel", extra=[("sc", """
 SELECT site_id, scene_ts, median(green) AS green, median(nir08) AS nir08, median(red) AS red
@@ -89,7 +90,7 @@ SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, CAST
        green_median
 FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY scene_rank) AS r
       FROM (SELECT s.sample_id, c.scene_ts, c.n_clear, c.green_median, {OFF} AS days_offset,
-                   row_number() OVER (PARTITION BY s.sample_id ORDER BY {OFF}, c.scene_ts) AS scene_rank
+                   row_number() OVER (PARTITION BY s.sample_id ORDER BY {GAP}, c.scene_ts) AS scene_rank
             FROM v_sample s JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 30)}) y
       WHERE scene_rank <= 3 AND n_clear >= 1 AND green_median IS NOT NULL) x
 WHERE r = 1""", "v_sample", "v_pixel", extra=[("sc", SCENE_STATS_SQL)]))
@@ -106,7 +107,7 @@ def first_clear_of_top3_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("topk_scenes", with_views(f"""
 SELECT sample_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, days_offset, CAST(scene_rank AS INTEGER) AS scene_rank
 FROM (SELECT s.sample_id, c.scene_ts, c.n_clear, {OFF} AS days_offset,
-             row_number() OVER (PARTITION BY s.sample_id ORDER BY {OFF}, c.scene_ts) AS scene_rank
+             row_number() OVER (PARTITION BY s.sample_id ORDER BY {GAP}, c.scene_ts) AS scene_rank
       FROM v_sample s JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 30)}) x
 WHERE scene_rank <= 4 AND n_clear >= 1""", "v_sample", "v_pixel", extra=[("sc", SCENE_STATS_SQL)]))
 def topk_scenes_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +251,7 @@ WINDOW_SUMMARY_SQL = f"""
 cand AS (SELECT s.sample_id, w.win, c.n_clear, c.green_median,
                 (c.nir08_median - c.red_median) / (c.nir08_median + c.red_median + 1e-8) AS NDVI,
                 CAST({OFF} AS DOUBLE) AS days_offset,
-                row_number() OVER (PARTITION BY s.sample_id, w.win ORDER BY {OFF}, c.scene_ts) AS rk
+                row_number() OVER (PARTITION BY s.sample_id, w.win ORDER BY {GAP}, c.scene_ts) AS rk
          FROM v_sample s CROSS JOIN (VALUES (15), (30), (60)) w(win)
          JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 'w.win')}),
 kept AS (SELECT * FROM cand WHERE rk <= 4 AND n_clear >= 1),
@@ -327,7 +328,7 @@ BOX_SUMMARY_SQL = f"""
 cand AS (SELECT s.sample_id, b.scale, w.win, c.n_clear, c.green_median,
                 (c.nir08_median - c.red_median) / (c.nir08_median + c.red_median + 1e-8) AS NDVI,
                 CAST({OFF} AS DOUBLE) AS days_offset,
-                row_number() OVER (PARTITION BY s.sample_id, b.scale, w.win ORDER BY {OFF}, c.scene_ts, c.site_id) AS rk
+                row_number() OVER (PARTITION BY s.sample_id, b.scale, w.win ORDER BY {GAP}, c.scene_ts, c.site_id) AS rk
          FROM v_sample s CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
          CROSS JOIN (VALUES (15), (30), (60)) w(win)
          JOIN scl c ON c.lat BETWEEN s.lat - b.scale AND s.lat + b.scale
@@ -371,7 +372,7 @@ def window_summary_box_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         j = j.withColumn("win", F.explode(F.array(*[F.lit(w) for w in WINDOWS]))).where(
             (F.col("scene_ts") >= F.col("sample_ts") - F.make_interval(days=F.col("win")))
             & (F.col("scene_ts") <= F.col("sample_ts") + F.make_interval(days=F.col("win"))))
-        top = st.top_k(j, ["sample_id", "win"], ["days_offset", "scene_ts", "scene_site"], 4, "scene_rank")
+        top = st.top_k(j, ["sample_id", "win"], [F.abs(cal.micros_between("sample_ts", "scene_ts")), "scene_ts", "scene_site"], 4, "scene_rank")
         part = top.where(F.col("n_clear") >= 1).withColumn("scale", F.lit(scale))
         rows = part if rows is None else rows.unionByName(part)
     rows = rows.withColumn("days_offset", F.col("days_offset").cast("double"))

@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 from ..session import table
 
 
+def _at_hour(day: Column, hour: Column) -> Column:
+    """A day of the base table at an hour derived from its keys."""
+    return day + F.make_interval(hours=hour.cast("int"))
+
+
 def _dbl(c: Column) -> Column:
     return c.cast("double")
 
@@ -27,13 +32,13 @@ def _band(expr: Column, missing: Column | None = None) -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sample points: one per order, site = customer, time = order date."""
+    """Sample points: one per order, site = customer, time = order date at some hour."""
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
         k.alias("sample_id"),
         c.alias("site_id"),
-        F.col("o_orderdate").alias("sample_ts"),
+        _at_hour(F.col("o_orderdate"), k * 5 % 24).alias("sample_ts"),
         (F.lit(-35.18) + (c * 37 % 1346) / F.lit(100.0)).alias("lat"),
         (F.lit(14.97) + (c * 101 % 1782) / F.lit(100.0)).alias("lon"),
         (F.col("o_totalprice") / 1000).alias("ta"),
@@ -59,7 +64,7 @@ def api_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def official_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fallback optical source (reference naming: `nir`), 1/9 missing."""
+    """Fallback optical source (reference naming: `nir`), 1/9 missing, swir22 more often."""
     k = F.col("o_orderkey")
     gap = k % 9 == 4
     return table(spark, sf_dir, "orders").select(
@@ -67,7 +72,7 @@ def official_optics(spark: SparkSession, sf_dir: str) -> DataFrame:
         _band(k * 167, gap).alias("nir"),
         _band(k * 127, gap).alias("green"),
         _band(k * 199, gap).alias("swir16"),
-        _band(k * 233, gap).alias("swir22"),
+        _band(k * 233, gap | (k % 103 == 0)).alias("swir22"),
     )
 
 
@@ -83,7 +88,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("site_id"),
-        F.col("l_shipdate").alias("scene_ts"),
+        _at_hour(F.col("l_shipdate"), (F.col("o_custkey") * 7 + F.dayofmonth("l_shipdate") * 11) % 24).alias("scene_ts"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         _band(p * 131).alias("green"),
         _band(p * 173 + ln * 911, p % 9 == 0).alias("nir08"),

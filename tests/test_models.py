@@ -36,17 +36,6 @@ def test_fold_assignment_matches_brute_force_snake_order(spark):
     assert got == want
 
 
-def test_fold_assignment_hash_mode_past_group_limit(spark):
-    # past max_balanced_groups the fold is a hash of the group key: every
-    # group still gets exactly one fold in range, with no global ordering
-    df = spark.createDataFrame([(i, i % 50) for i in range(500)], "id long, g long")
-    out = fo.group_kfold(df, "g", 5, max_balanced_groups=10)
-    assert out.count() == 500
-    assert out.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n != 1").count() == 0
-    folds = {r.fold for r in out.select("fold").distinct().collect()}
-    assert folds <= {0, 1, 2, 3, 4} and len(folds) > 1
-
-
 def test_fewer_groups_than_folds(spark):
     df = spark.createDataFrame([(i, f"g{i % 3}") for i in range(30)], "id long, g string")
     folds = {r.fold for r in fo.group_kfold(df, "g", 5).collect()}
@@ -96,3 +85,14 @@ def test_blend_scan_matches_direct(spark):
         p = (1 - wgt) * np.array([r[1] for r in rows]) + wgt * np.array([r[2] for r in rows])
         want = 1 - ((y - p) ** 2).sum() / (len(y) * y.var())
         assert abs(r2 - want) < 1e-9
+
+
+def test_blend_scan_ignores_rows_with_a_missing_value(spark):
+    rows = [(1.0, 1.5, 0.5), (2.0, 2.5, 2.0), (4.0, 3.0, 4.5)]
+    gaps = [(9.0, None, 1.0), (8.0, 1.0, None), (None, 1.0, 1.0)]
+    kind = "y double, base double, v double"
+    want = bl.blend_scan(spark.createDataFrame(rows, kind), "y", "base", ["v"], [0.0, 0.5]).collect()
+    got = bl.blend_scan(spark.createDataFrame(rows + gaps, kind), "y", "base", ["v"], [0.0, 0.5]).collect()
+    assert got == want
+    none = bl.blend_scan(spark.createDataFrame(gaps, kind), "y", "base", ["v"], [0.5]).collect()
+    assert [(r.r2, r.rmse) for r in none] == [(None, None)]

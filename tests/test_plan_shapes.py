@@ -2,7 +2,9 @@
 disabled, i.e. the large-data shape)."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import spatiotemporal as st
 from tessera.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -20,12 +22,41 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_range_join_is_bucketed_and_window_reuses_its_partitioning(no_broadcast):
+def test_range_join_is_bucketed_and_ranked_per_sample(no_broadcast):
     registry.load_all()
     plan = _plan(registry.QUERIES["nearest_scene"](no_broadcast, SF))
     assert "SortMergeJoin [site_id#" in plan and "_tbucket" in plan.split("SortMergeJoin")[1].split("\n")[0]
-    assert "WindowGroupLimit" in plan
-    assert "hashpartitioning(sample_id" not in plan  # no shuffle between the join and the per-sample rank
+    # at most one row of a sample leaves a task for the rank's exchange
+    exchange = plan.index("hashpartitioning(sample_id")
+    assert "WindowGroupLimit" in plan[exchange:]
+
+
+@pytest.mark.parametrize("name", ["nearest_scene", "topk_scenes", "first_clear_of_top", "widening_window"])
+def test_a_hot_site_and_time_bucket_is_split(no_broadcast, name):
+    """One (site, bucket) holds most samples; AQE splits it with default options but for the sizes."""
+    spark, small = no_broadcast, {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+                                  "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+                                  "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        day = F.make_timestamp_ntz(F.lit(2014), F.lit(6), F.lit(15), F.lit(0), F.lit(0), F.lit(0))
+        samples = spark.range(30000).select(F.col("id").alias("sample_id"),
+                                            F.when(F.col("id") % 10 == 0, F.col("id") % 997).otherwise(5000).alias("site_id"),
+                                            day.alias("sample_ts"))
+        scenes = spark.range(3000).select(F.when(F.col("id") % 997 < 5, 5000).otherwise(F.col("id") % 997).alias("site_id"),
+                                          (day + F.make_interval(hours=(F.col("id") % 90).cast("int"))).alias("scene_ts"))
+        # hashed before, so that the join's inputs are real shuffles of many map tasks
+        args = dict(key="site_id", sample_id="sample_id", sample_ts="sample_ts", scene_ts="scene_ts")
+        more = {"nearest_scene": {"days": 30}, "topk_scenes": {"days": 30, "k": 2},
+                "first_clear_of_top": {"days": 30, "usable": F.lit(True)}, "widening_window": {}}[name]
+        out = getattr(st, name)(samples.repartition(16), scenes, **args, **more)
+        out.collect()
+        assert "skew=true" in _plan(out)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_month_range_reaches_the_scan(no_broadcast):
@@ -36,9 +67,9 @@ def test_month_range_reaches_the_scan(no_broadcast):
 
 def test_blend_scan_reads_rows_once(no_broadcast):
     plan = _plan(registry.QUERIES["blend_scan"](no_broadcast, SF))
-    # the weight grid is applied after the single aggregate: one Generate over rows
-    # (the model explode of the fixture) and the grid explode on the 1-row stats
-    assert plan.count("HashAggregate(keys=[]") >= 1
+    # one scan; the weight grid is exploded from the one row of sums, above the last aggregate
+    assert plan.count("FileScan") == 1
+    assert plan.index("Generate explode") < plan.index("HashAggregate(keys=[]")
 
 
 def test_merge_joins_share_the_id_partitioning(no_broadcast):
