@@ -9,7 +9,7 @@ collected):
 2. merge_features  — source coalescing (J16) + climate join + features F1-F12
 3. profiling       — missing report (A5), quantile clip (A10), histograms (A13)
 4. blend_scan      — single-pass blend-weight scan (M18)
-5. grouped_gbt     — grouped 5-fold out-of-fold GBT at fixed small settings
+5. grouped_gbt     — grouped 5-fold out-of-fold GBT (10 iterations)
 
 Each workload runs once untimed on the sf0.001 tables first (JVM / codegen
 warm-up; no results are cached). Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
@@ -60,7 +60,7 @@ def main() -> None:
         from tessera.plans.q_models import spatial_folds
         t = ft.training_table(spark, d).join(spatial_folds(spark, d), "spatial_group", "left")
         prepared = tr.prepare(t, ft.FEATURES, "ta")
-        learner = tr.learner_family("ta", scale=0.25)["gbt_wide"]
+        learner = tr.learner_family("ta", iterations=10)["gbt_wide"]
         run(tr.oof_predictions(prepared, learner, "fold"))
 
     workloads = {

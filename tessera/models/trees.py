@@ -1,6 +1,5 @@
-"""Tree learners, out-of-fold fitting, target chains, regime blends,
-parameter search, refits and ablations (M5-M7, M9, M12, M14, M15,
-M19-M23) on MLlib.
+"""Tree learners, out-of-fold fitting and parameter search (M5-M7, M9, M12,
+M19, M22, M23) on MLlib. Stacks, chains and the specialist are in `stack`.
 
 Every fit is a distributed MLlib job over a frame whose lineage is cut
 once (a reliable checkpoint in the cluster's checkpoint folder), so k
@@ -13,7 +12,6 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import regression_metrics
 from ..operators.setops import union_rows
 from ..session import cut_lineage
-from .features import SENTINEL, assemble
+from .features import assemble
 
 SEED = 42
 
@@ -37,29 +35,29 @@ def rf_regressor(label: str, num_trees: int = 100, max_depth: int = 8, features:
                                  maxDepth=max_depth, seed=seed)
 
 
-def learner_family(label: str, weight: str | None = None, scale: float = 1.0,
+#: Iterations of the reference's boosted learners and of its classifier.
+ITERATIONS, CLASSIFIER_ITERATIONS, TRIALS = 700, 250, 30
+
+
+def learner_family(label: str, weight: str | None = None, iterations: int = ITERATIONS,
                    features: str = "features") -> dict[str, object]:
-    """M6: three differently configured tree ensembles standing for the
-    reference's three boosting libraries. `scale` shrinks iteration counts
-    (small data / verify runs)."""
-    it = max(2, int(round(40 * scale)))
-    kw = dict(featuresCol=features, labelCol=label, seed=SEED)
+    """M6: three differently configured boosted trees standing for the
+    reference's three boosting libraries (same depth, rate and iterations)."""
+    kw = dict(featuresCol=features, labelCol=label, seed=SEED, maxIter=iterations, maxDepth=5, stepSize=0.025)
     if weight:
         kw["weightCol"] = weight
     return {
-        "gbt_deep": GBTRegressor(maxIter=it, maxDepth=6, stepSize=0.05, subsamplingRate=0.8,
-                                 featureSubsetStrategy="0.8", minInstancesPerNode=5, **kw),
-        "gbt_wide": GBTRegressor(maxIter=it, maxDepth=4, stepSize=0.1, subsamplingRate=0.9,
-                                 featureSubsetStrategy="sqrt", minInstancesPerNode=10, **kw),
-        "rf": RandomForestRegressor(numTrees=max(4, it), maxDepth=8, subsamplingRate=0.8,
-                                    featureSubsetStrategy="onethird", minInstancesPerNode=3, **kw),
+        "gbt_deep": GBTRegressor(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=8, **kw),
+        "gbt_wide": GBTRegressor(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=20, **kw),
+        "gbt_plain": GBTRegressor(**kw),
     }
 
 
-def regime_classifier(label: str, scale: float = 1.0, features: str = "features") -> GBTClassifier:
+def regime_classifier(label: str, weight: str | None = None, iterations: int = CLASSIFIER_ITERATIONS,
+                      features: str = "features") -> GBTClassifier:
     """M7: P(y >= threshold) learner."""
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=max(2, int(round(30 * scale))),
-                         maxDepth=4, seed=SEED)
+    kw = {"weightCol": weight} if weight else {}
+    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=iterations, maxDepth=5, stepSize=0.03, seed=SEED, **kw)
 
 
 def prob_high(df: DataFrame, col: str = "probability", out: str = "p_high") -> DataFrame:
@@ -67,14 +65,21 @@ def prob_high(df: DataFrame, col: str = "probability", out: str = "p_high") -> D
     return df.withColumn(out, vector_to_array(F.col(col))[1])
 
 
+#: Rows that a partition of a training table holds at most, about.
+ROWS_A_PARTITION = 200_000
+
+
 def prepare(df: DataFrame, features, label: str | None = None, key: str = "sample_id") -> DataFrame:
-    """Assemble features, spread the rows over all cores (hash of the key, so
-    a retried task rebuilds the same partition) and cut lineage once before
-    repeated fits. Without the repartition AQE may have coalesced a small
-    training table into a single partition, serialising every tree job."""
+    """Assemble features, spread the rows (hash of the key, so a retried task
+    rebuilds the same partition) and cut lineage once before repeated fits:
+    over all cores at least, since AQE may have left a small table in one
+    partition, and over as many partitions as the rows need."""
     d = df if label is None else df.where(F.col(label).isNotNull())
-    n = d.sparkSession.sparkContext.defaultParallelism
-    return cut_lineage(assemble(d, features).repartition(n, key))
+    d = assemble(d, features)
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    spread = cut_lineage(d.repartition(cores, key))
+    need = spread.count() // ROWS_A_PARTITION + 1
+    return spread if need <= cores else cut_lineage(spread.repartition(need, key))
 
 
 def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 8) -> dict:
@@ -130,61 +135,8 @@ def stack_insample(oof_wide: DataFrame, label: str, base_cols, weight: str | Non
     return ridge_predict(d, coef), coef
 
 
-def target_chain(df: DataFrame, features, learner_for, fold: str, key: str = "sample_id",
-                 targets=("ta", "ec", "drp"), complete_after_first: str | None = None) -> DataFrame:
-    """TA -> EC (+ta_pred) -> DRP (+ta_pred, ec_pred). Each stage's
-    out-of-fold predictions join back by key and become features of the
-    next stage; stages after the first use complete rows only when
-    `complete_after_first` names the completeness flag column."""
-    cur = df
-    feats = list(features)
-    outs = []
-    for i, t in enumerate(targets):
-        stage = cur if (i == 0 or complete_after_first is None) else cur.where(F.col(complete_after_first) == 1)
-        prepared = prepare(stage, feats, t)
-        oof = oof_predictions(prepared, learner_for(t), fold, key, out=f"{t}_pred")
-        outs.append(oof.select(key, f"{t}_pred"))
-        cur = cur.join(oof.select(key, f"{t}_pred"), key, "left")
-        feats = feats + [f"{t}_pred"]
-    return cur.select(key, *[f"{t}_pred" for t in targets], *targets)
-
-
-def regime_blend(df: DataFrame, features, label: str, threshold: float, fold: str,
-                 key: str = "sample_id", scale: float = 1.0, min_rows: int = 5,
-                 parallelism: int = 8) -> DataFrame:
-    """(1-p)·low + p·high with p = P(y >= threshold) out of fold; the
-    low / high regressors train on their side of the threshold within the
-    training folds; a side with <= min_rows rows predicts its mean. Folds
-    are fitted concurrently from `parallelism` driver threads."""
-    d = prepare(df.withColumn("_hi", (F.col(label) >= threshold).cast("int")), features, label)
-    folds = sorted(r[0] for r in d.select(fold).distinct().collect())
-
-    def one_fold(f):
-        train, test = d.where(F.col(fold) != f), d.where(F.col(fold) == f)
-        clf = regime_classifier("_hi", scale).fit(train)
-        pred = prob_high(clf.transform(test)).select(key, fold, label, "p_high", "features")
-        sides = {}
-        for side, cond in (("low", F.col("_hi") == 0), ("high", F.col("_hi") == 1)):
-            part = train.where(cond)
-            stats = part.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m")).first()
-            if stats["n"] <= min_rows:
-                sides[side] = F.lit(stats["m"] if stats["m"] is not None else 0.0)
-            else:
-                reg = learner_family(label, scale=scale)["gbt_wide"].fit(part)
-                col = f"_pred_{side}"
-                pred = reg.transform(pred).withColumnRenamed("prediction", col)
-                sides[side] = F.col(col)
-        return pred.select(key, fold, label, "p_high",
-                           ((F.lit(1.0) - F.col("p_high")) * sides["low"] + F.col("p_high") * sides["high"])
-                           .alias("prediction"))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(folds)))) as pool:
-        parts = list(pool.map(one_fold, folds))
-    return union_rows(parts)
-
-
-def param_search(df: DataFrame, label: str, fold: str, trials: int = 4, seed: int = SEED,
-                 parallelism: int = 4, scale: float = 1.0) -> DataFrame:
+def param_search(df: DataFrame, label: str, fold: str, trials: int = TRIALS, seed: int = SEED,
+                 parallelism: int = 4, iterations=(200, 400, 800)) -> DataFrame:
     """Seeded random grid over GBT settings with grouped folds
     (`CrossValidator(foldCol=...)`, fits run `parallelism` at a time).
     Returns one row per trial: params and mean RMSE over the folds."""
@@ -195,7 +147,7 @@ def param_search(df: DataFrame, label: str, fold: str, trials: int = 4, seed: in
     grid = []
     for _ in range(trials):
         grid.append({gbt.maxDepth: rng.choice([3, 4, 5, 6]), gbt.stepSize: rng.choice([0.03, 0.05, 0.1, 0.2]),
-                     gbt.maxIter: max(2, int(rng.choice([20, 40, 60]) * scale)),
+                     gbt.maxIter: rng.choice(list(iterations)),
                      gbt.subsamplingRate: rng.choice([0.7, 0.8, 1.0])})
     ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     k = df.select(fold).distinct().count()
@@ -206,24 +158,3 @@ def param_search(df: DataFrame, label: str, fold: str, trials: int = 4, seed: in
              float(pm[gbt.subsamplingRate]), float(m)) for i, (pm, m) in enumerate(zip(grid, model.avgMetrics))]
     return df.sparkSession.createDataFrame(
         rows, "trial int, max_depth int, step_size double, max_iter int, subsampling double, mean_rmse double")
-
-
-def final_refit_score(train: DataFrame, test: DataFrame, features, label: str, scale: float = 1.0,
-                      key: str = "sample_id") -> DataFrame:
-    """Fit once on all training rows (assembler + learner as one
-    Pipeline), transform the scoring rows."""
-    from pyspark.ml.feature import VectorAssembler
-
-    filled = [d.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(SENTINEL)) for f in features})
-              for d in (train.where(F.col(label).isNotNull()), test)]
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"),
-                            learner_family(label, scale=scale)["gbt_wide"]])
-    model = pipe.fit(filled[0])
-    return model.transform(filled[1]).select(key, F.col("prediction"))
-
-
-def multi_target(train: DataFrame, test: DataFrame, features, targets, scale: float = 1.0,
-                 key: str = "sample_id") -> DataFrame:
-    """One single-target fit per target, predictions in long form."""
-    parts = [final_refit_score(train, test, features, t, scale, key).withColumn("target", F.lit(t)) for t in targets]
-    return union_rows(parts)
