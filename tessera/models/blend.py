@@ -45,6 +45,16 @@ def weighted_blend(preds: DataFrame, weights: dict[str, float], key: str = "samp
             .agg(F.sum(w.otherwise(F.lit(0.0)) * F.col(pred)).alias("blend")))
 
 
+def target_blends(runs: DataFrame, weights: dict[str, dict[str, float]], key: str = "sample_id",
+                  model: str = "run") -> DataFrame:
+    """M17 for several targets at once: per target Σ w_m · p_m, one aggregate."""
+    def weighted(target: str, of: dict[str, float]) -> Column:
+        w = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+        return F.sum(F.element_at(w, F.col(model)) * F.col(target)).alias(target)
+    names = sorted({m for of in weights.values() for m in of})
+    return runs.where(F.col(model).isin(names)).groupBy(key).agg(*[weighted(t, of) for t, of in weights.items()])
+
+
 def blend_series(a: Column, b: Column, weight: float) -> Column:
     """(1-w)·a + w·b."""
     return (F.lit(1.0) - F.lit(weight)) * a + F.lit(weight) * b

@@ -178,8 +178,8 @@ def box_stats(df: DataFrame, col: str, whisker: float = 1.5, exact: bool = True)
 
 
 def area_mean_series(grid: DataFrame, time_col: str, value_cols) -> DataFrame:
-    """Mean over all cells per time step."""
-    return grid.groupBy(time_col).agg(*[F.avg(c).alias(c) for c in value_cols])
+    """Mean over all cells per time step, and their number."""
+    return grid.groupBy(time_col).agg(*[F.avg(c).alias(c) for c in value_cols], F.count(F.lit(1)).alias("n_cells"))
 
 
 def extract_coverage(df: DataFrame, dataset: str, cols) -> DataFrame:

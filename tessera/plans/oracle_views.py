@@ -38,6 +38,9 @@ SELECT o_custkey AS site_id, l_shipdate + to_hours((o_custkey*7 + day(l_shipdate
        l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(7000 + l_partkey*131 % 9000 AS DOUBLE) AS green,
        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(7000 + (l_partkey*173 + l_linenumber*911) % 9000 AS DOUBLE) END AS nir08,
        CAST(7000 + (l_partkey*57 + l_suppkey*13) % 9000 AS DOUBLE) AS red,
+       CAST(7000 + (l_partkey*101 + l_suppkey*17) % 9000 AS DOUBLE) AS blue,
+       CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(7000 + (l_partkey*211 + l_linenumber*53) % 9000 AS DOUBLE) END AS swir16,
+       CAST(7000 + (l_partkey*241 + l_suppkey*29) % 9000 AS DOUBLE) AS swir22,
        CAST((l_partkey*7 + l_suppkey*3) % 64 AS INT) AS qa
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "v_climate": """

@@ -73,19 +73,19 @@ def except_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("export_template", with_views("""
 SELECT s.sample_id, round(s.lat, 6) AS latitude, round(s.lon, 6) AS longitude,
        strftime(s.sample_ts, '%d-%m-%Y') AS sample_date,
-       p.total_alkalinity, round(s.ec, 6) AS electrical_conductance,
-       round(s.drp, 6) AS dissolved_reactive_phosphorus
-FROM v_sample s LEFT JOIN (SELECT sample_id, round(avg(pred), 6) AS total_alkalinity
-                           FROM v_pred WHERE fold <> 0 GROUP BY sample_id) p ON s.sample_id = p.sample_id""",
-                                     "v_sample", "v_pred"))
+       p.total_alkalinity, p.electrical_conductance, p.dissolved_reactive_phosphorus
+FROM v_sample s LEFT JOIN (SELECT sample_id, round(avg(ta), 6) AS total_alkalinity, round(avg(ec), 6) AS electrical_conductance,
+                                  round(avg(drp), 6) AS dissolved_reactive_phosphorus
+                           FROM v_sub GROUP BY sample_id) p ON s.sample_id = p.sample_id""",
+                                     "v_sample", "v_sub"))
 def export_template_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.samples(spark, sf_dir)
     tpl = s.select("sample_id", r6(F.col("lat")).alias("latitude"), r6(F.col("lon")).alias("longitude"),
-                   cal.format_dayfirst("sample_ts").alias("sample_date"),
-                   r6(F.col("ec")).alias("electrical_conductance"),
-                   r6(F.col("drp")).alias("dissolved_reactive_phosphorus"))
-    preds = (fx.predictions(spark, sf_dir).where(F.col("fold") != 0).groupBy("sample_id")
-             .agg(r6(F.avg("pred")).alias("total_alkalinity")))
+                   cal.format_dayfirst("sample_ts").alias("sample_date"))
+    # the mean of the runs' predictions, for each target
+    preds = fx.submissions(spark, sf_dir).groupBy("sample_id").agg(
+        r6(F.avg("ta")).alias("total_alkalinity"), r6(F.avg("ec")).alias("electrical_conductance"),
+        r6(F.avg("drp")).alias("dissolved_reactive_phosphorus"))
     return export_template(tpl, preds, "sample_id",
                            ["sample_id", "latitude", "longitude", "sample_date", "total_alkalinity",
                             "electrical_conductance", "dissolved_reactive_phosphorus"])

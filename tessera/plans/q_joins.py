@@ -58,25 +58,26 @@ def join_inner_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("concat_columns", with_views("""
 SELECT coalesce(coalesce(s.sample_id, a.sample_id), o.sample_id) AS sample_id, round(s.ta, 6) AS ta, a.blue, o.nir
-FROM (SELECT sample_id, ta FROM v_sample WHERE drp < 80) s
-FULL JOIN (SELECT sample_id, blue FROM v_api WHERE blue IS NOT NULL) a ON s.sample_id = a.sample_id
-FULL JOIN (SELECT sample_id, nir FROM v_official WHERE nir IS NOT NULL) o
+FROM (SELECT sample_id, ta FROM v_sample) s
+FULL JOIN (SELECT sample_id, blue FROM v_api) a ON s.sample_id = a.sample_id
+FULL JOIN (SELECT 2 * sample_id AS sample_id, nir FROM v_official) o
   ON coalesce(s.sample_id, a.sample_id) = o.sample_id""", "v_sample", "v_api", "v_official"))
 def concat_columns_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fx.samples(spark, sf_dir).where(F.col("drp") < 80).select("sample_id", r6(F.col("ta")).alias("ta"))
-    a = fx.api_optics(spark, sf_dir).where(F.col("blue").isNotNull()).select("sample_id", "blue")
-    o = fx.official_optics(spark, sf_dir).where(F.col("nir").isNotNull()).select("sample_id", "nir")
+    s = fx.samples(spark, sf_dir).select("sample_id", r6(F.col("ta")).alias("ta"))
+    a = fx.api_optics(spark, sf_dir).select("sample_id", "blue")
+    # doubled ids: some meet, some don't, and no row of any table is left out
+    o = fx.official_optics(spark, sf_dir).select((F.col("sample_id") * 2).alias("sample_id"), "nir")
     return jn.full_concat([s, a, o], "sample_id")
 
 
 @query("align_to_spine", with_views("""
 SELECT s.sample_id, a.days_offset, a.swir22
-FROM v_sample s LEFT JOIN (SELECT * FROM v_api WHERE days_offset IS NOT NULL) a ON s.sample_id = a.sample_id""",
+FROM v_sample s LEFT JOIN (SELECT 2 * sample_id AS sample_id, days_offset, swir22 FROM v_api) a ON s.sample_id = a.sample_id""",
                                     "v_sample", "v_api"))
 def align_to_spine_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = fx.samples(spark, sf_dir).select("sample_id")
-    sparse = fx.api_optics(spark, sf_dir).where(F.col("days_offset").isNotNull()).select(
-        "sample_id", "days_offset", "swir22")
+    sparse = fx.api_optics(spark, sf_dir).select(
+        (F.col("sample_id") * 2).alias("sample_id"), "days_offset", "swir22")
     return jn.join_by_index(spine, sparse, "sample_id", "left")
 
 
@@ -197,7 +198,7 @@ SELECT l.model AS left_model, r.model AS right_model,
                               EXCEPT ALL SELECT sample_id, pred FROM v_pred WHERE model = l.model)) AS n_only_right,
        (SELECT round(max(abs(a.pred - b.pred)), 6) FROM v_pred a JOIN v_pred b ON a.sample_id = b.sample_id
          WHERE a.model = l.model AND b.model = r.model) AS max_abs_diff
-FROM (VALUES ('m1', 'm1'), ('m1', 'm2')) AS pairs(lm, rm)
+FROM (VALUES ('m1', 'm1'), ('m1', 'm2'), ('m2', 'm3')) AS pairs(lm, rm)
 JOIN (SELECT DISTINCT model FROM v_pred) l ON l.model = pairs.lm
 JOIN (SELECT DISTINCT model FROM v_pred) r ON r.model = pairs.rm""", "v_pred"))
 def frames_equal_q(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +208,7 @@ def frames_equal_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         return p.where(F.col("model") == m).select("sample_id", "pred")
 
     rows = []
-    for lm, rm in (("m1", "m1"), ("m1", "m2")):
+    for lm, rm in (("m1", "m1"), ("m1", "m2"), ("m2", "m3")):
         r = so.frames_equal(frame(lm), frame(rm), "sample_id", "pred")
         rows.append(r.select(F.lit(lm).alias("left_model"), F.lit(rm).alias("right_model"), "n_only_left",
                              "n_only_right", r6(F.col("max_abs_diff")).alias("max_abs_diff")))

@@ -167,9 +167,9 @@ def area_mean_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = fx.climate(spark, sf_dir)
     # inputs carry 6 decimals, so a mean over n cells can end exactly on a
     # 7th-decimal tie; 8 places keeps both engines off the tie
-    a = g.groupBy("month").agg(F.round(F.avg("ppt"), 8).alias("ppt"), F.round(F.avg("tmax"), 8).alias("tmax"),
-                               F.count(F.lit(1)).alias("n_cells"))
-    return a.select(cal.month_key("month").alias("month"), "ppt", "tmax", "n_cells")
+    a = pf.area_mean_series(g, "month", ["ppt", "tmax"])
+    return a.select(cal.month_key("month").alias("month"), F.round("ppt", 8).alias("ppt"),
+                    F.round("tmax", 8).alias("tmax"), "n_cells")
 
 
 @query("extract_coverage", with_views(f"""

@@ -236,6 +236,30 @@ def weighted_blend_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("sample_id", r6(F.col("blend")).alias("blend"))
 
 
+TARGET_WEIGHTS = {t: dict(zip(MODELS, w)) for t, w in bl.TARGET_BLEND_WEIGHTS.items()}
+
+
+def _target_blend_sql(target: str) -> str:
+    cases = " ".join(f"WHEN '{m}' THEN {w}" for m, w in TARGET_WEIGHTS[target].items())
+    return f"round(sum(CASE run {cases} END * {target}), 6) AS {target}"
+
+
+@query("target_blends", with_views(f"""
+SELECT sample_id, {', '.join(_target_blend_sql(t) for t in TARGET_WEIGHTS)} FROM v_sub GROUP BY sample_id""", "v_sub"))
+def target_blends_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bl.target_blends(fx.submissions(spark, sf_dir), TARGET_WEIGHTS)
+    return b.select("sample_id", *[r6(F.col(t)).alias(t) for t in TARGET_WEIGHTS])
+
+
+@query("blend_series", with_views("""
+SELECT sample_id, round((1 - 0.35) * max(CASE WHEN model = 'm1' THEN pred END)
+                        + 0.35 * max(CASE WHEN model = 'm2' THEN pred END), 6) AS blend
+FROM v_pred GROUP BY sample_id""", "v_pred"))
+def blend_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = fx.predictions(spark, sf_dir).groupBy("sample_id").pivot("model", MODELS).agg(F.first("pred"))
+    return wide.select("sample_id", r6(bl.blend_series(F.col("m1"), F.col("m2"), 0.35)).alias("blend"))
+
+
 # ------------------------------------------------------------------ M18, W1, O1
 SCAN_WEIGHTS = [i / 20 for i in range(21)]
 VARIANTS = ["m2", "m3"]

@@ -30,26 +30,30 @@ def _win_sql(scene: str, sample: str, days) -> str:
 OFF = day_offset_sql("c.scene_ts", "s.sample_ts")
 GAP = gap_sql("c.scene_ts", "s.sample_ts")
 
+BANDS = ["blue", "green", "red", "nir08", "swir16", "swir22"]
+SCENE_COLS = [f"{b}_{s}" for b in BANDS for s in ("median", "p75", "std")]
+DERIVED = ["NDVI", "NDWI", "MNDWI", "Turbidity"]
+
+
+def _valid_sql(band: str) -> str:
+    return f"CASE WHEN (qa & 26) = 0 AND {band} > 0 AND {band} < 65535 THEN {band} END"
+
+
 # Scene statistics over all pixels of a scene (cloudy scenes included).
-SCENE_STATS_SQL = """
-SELECT site_id, scene_ts,
-       median(CASE WHEN (qa & 26) = 0 AND green > 0 AND green < 65535 THEN green END) AS green_median,
-       quantile_cont(CASE WHEN (qa & 26) = 0 AND green > 0 AND green < 65535 THEN green END, 0.75) AS green_p75,
-       stddev_pop(CASE WHEN (qa & 26) = 0 AND green > 0 AND green < 65535 THEN green END) AS green_std,
-       median(CASE WHEN (qa & 26) = 0 AND nir08 > 0 AND nir08 < 65535 THEN nir08 END) AS nir08_median,
-       quantile_cont(CASE WHEN (qa & 26) = 0 AND nir08 > 0 AND nir08 < 65535 THEN nir08 END, 0.75) AS nir08_p75,
-       stddev_pop(CASE WHEN (qa & 26) = 0 AND nir08 > 0 AND nir08 < 65535 THEN nir08 END) AS nir08_std,
-       median(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END) AS red_median,
-       quantile_cont(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END, 0.75) AS red_p75,
-       stddev_pop(CASE WHEN (qa & 26) = 0 AND red > 0 AND red < 65535 THEN red END) AS red_std,
+SCENE_STATS_SQL = "SELECT site_id, scene_ts, " + ", ".join(
+    f"median({_valid_sql(b)}) AS {b}_median, quantile_cont({_valid_sql(b)}, 0.75) AS {b}_p75, "
+    f"stddev_pop({_valid_sql(b)}) AS {b}_std" for b in BANDS) + """,
        avg(CAST((qa & 26) = 0 AS INT)) AS clear_fraction, count(*) AS n_pixels, count(*) FILTER (WHERE (qa & 26) = 0) AS n_clear
 FROM v_pixel GROUP BY site_id, scene_ts"""
 
-BANDS3 = ["green", "nir08", "red"]
+DERIVED_SQL = """(nir08_median - red_median) / (nir08_median + red_median + 1e-8) AS NDVI,
+       (green_median - nir08_median) / (green_median + nir08_median + 1e-8) AS NDWI,
+       (green_median - swir16_median) / (green_median + swir16_median + 1e-8) AS MNDWI,
+       red_median / (blue_median + 1e-8) AS Turbidity"""
 
 
 def scene_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ra.scene_reduce(fx.pixels(spark, sf_dir), ["site_id", "scene_ts"], BANDS3, clear=qa_clear("qa"))
+    return ra.scene_reduce(fx.pixels(spark, sf_dir), ["site_id", "scene_ts"], BANDS, clear=qa_clear("qa"))
 
 
 # ------------------------------------------------------------------ J7
@@ -210,9 +214,6 @@ def previous_available_month_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A1-A3
-SCENE_COLS = [f"{b}_{s}" for b in BANDS3 for s in ("median", "p75", "std")]
-
-
 @query("scene_reduce", with_views(
     "SELECT site_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, "
     + ", ".join(f"round({c}, 6) AS {c}" for c in SCENE_COLS)
@@ -224,68 +225,75 @@ def scene_reduce_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                      r6(F.col("clear_fraction")).alias("clear_fraction"), "n_pixels", "n_clear")
 
 
-@query("scene_derived", with_views("""
-SELECT site_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day,
-       round((nir08_median - red_median) / (nir08_median + red_median + 1e-8), 6) AS NDVI,
-       round((green_median - nir08_median) / (green_median + nir08_median + 1e-8), 6) AS NDWI
-FROM sc""", "v_pixel", extra=[("sc", SCENE_STATS_SQL)]))
+@query("scene_derived", with_views("SELECT site_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, "
+                                   + ", ".join(f"round({c}, 6) AS {c}" for c in DERIVED)
+                                   + f" FROM (SELECT site_id, scene_ts, {DERIVED_SQL} FROM sc) d",
+                                   "v_pixel", extra=[("sc", SCENE_STATS_SQL)]))
 def scene_derived_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ra.scene_derived(scene_stats(spark, sf_dir))
-    return d.select("site_id", cal.iso_day("scene_ts").alias("scene_day"), r6(F.col("NDVI")).alias("NDVI"),
-                    r6(F.col("NDWI")).alias("NDWI"))
+    return d.select("site_id", cal.iso_day("scene_ts").alias("scene_day"), *[r6(F.col(c)).alias(c) for c in DERIVED])
 
 
 @query("clear_fraction", with_views("""
 SELECT site_id, round(avg(CAST((qa & 26) = 0 AS INT)), 6) AS clear_fraction, count(*) AS n_pixels
 FROM v_pixel GROUP BY site_id""", "v_pixel"))
 def clear_fraction_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.pixels(spark, sf_dir)
-    return p.groupBy("site_id").agg(r6(F.avg(qa_clear("qa").cast("int"))).alias("clear_fraction"),
-                                    F.count(F.lit(1)).alias("n_pixels"))
+    site = ra.scene_reduce(fx.pixels(spark, sf_dir), ["site_id"], [], clear=qa_clear("qa"))
+    return site.select("site_id", r6(F.col("clear_fraction")).alias("clear_fraction"), "n_pixels")
 
 
 # ------------------------------------------------------------------ A4
-SUMMARY_KEYS = ["NDVI", "green_median", "days_offset"]
+SUMMARY_KEYS = [*SCENE_COLS, *DERIVED, "clear_fraction", "days_offset"]
+SUMMARY_STATS = ("mean", "median", "max")
+
+
+def _summary_sql(groups: list[str]) -> str:
+    """Per (sample, groups) the summaries of `kept` over the spine `spine`."""
+    stats = ", ".join(f"avg({k}) AS {k}_mean, median({k}) AS {k}_median, max({k}) AS {k}_max" for k in SUMMARY_KEYS)
+    out = ", ".join(f"round({k}_{x}, 6) AS {k}_{x}" for k in SUMMARY_KEYS for x in SUMMARY_STATS)
+    keys = ", ".join(["sample_id", *groups])
+    on = " AND ".join(f"p.{g} = t.{g}" for g in ["sample_id", *groups])
+    return (f"stats AS (SELECT {keys}, count(*) AS scene_count, {stats} FROM kept GROUP BY {keys})\n"
+            f"SELECT {', '.join(f'p.{g}' for g in ['sample_id', *groups])}, coalesce(t.scene_count, 0) AS scene_count, {out}\n"
+            f"FROM spine p LEFT JOIN stats t ON {on}")
+
+
+def _summary_columns() -> list:
+    return ["scene_count", *[r6(F.col(f"{k}_{x}")).alias(f"{k}_{x}") for k in SUMMARY_KEYS for x in SUMMARY_STATS]]
+
+
+SCENE_KEYS_SQL = ", ".join(f"c.{k}" for k in [*SCENE_COLS, *DERIVED, "clear_fraction"])
 
 WINDOW_SUMMARY_SQL = f"""
-cand AS (SELECT s.sample_id, w.win, c.n_clear, c.green_median,
-                (c.nir08_median - c.red_median) / (c.nir08_median + c.red_median + 1e-8) AS NDVI,
-                CAST({OFF} AS DOUBLE) AS days_offset,
+cand AS (SELECT s.sample_id, w.win, c.n_clear, {SCENE_KEYS_SQL}, CAST({OFF} AS DOUBLE) AS days_offset,
                 row_number() OVER (PARTITION BY s.sample_id, w.win ORDER BY {GAP}, c.scene_ts) AS rk
          FROM v_sample s CROSS JOIN (VALUES (15), (30), (60)) w(win)
          JOIN sc c ON s.site_id = c.site_id AND {_win_sql('c.scene_ts', 's.sample_ts', 'w.win')}),
 kept AS (SELECT * FROM cand WHERE rk <= 4 AND n_clear >= 1),
-long AS (SELECT sample_id, win, 'NDVI' AS key, NDVI AS value FROM kept
-         UNION ALL SELECT sample_id, win, 'green_median', green_median FROM kept
-         UNION ALL SELECT sample_id, win, 'days_offset', days_offset FROM kept),
-counts AS (SELECT sample_id, win, count(*) AS scene_count FROM kept GROUP BY 1, 2),
-stats AS (SELECT sample_id, win, key, avg(value) AS mean, median(value) AS median, max(value) AS max
-          FROM long GROUP BY 1, 2, 3),
-spine AS (SELECT s.sample_id, w.win, k.key FROM v_sample s CROSS JOIN (VALUES (15), (30), (60)) w(win)
-          CROSS JOIN (VALUES ('NDVI'), ('green_median'), ('days_offset')) k(key))
-SELECT p.sample_id, p.win, p.key, coalesce(c.scene_count, 0) AS scene_count,
-       round(t.mean, 6) AS mean, round(t.median, 6) AS median, round(t.max, 6) AS max
-FROM spine p LEFT JOIN counts c ON p.sample_id = c.sample_id AND p.win = c.win
-LEFT JOIN stats t ON p.sample_id = t.sample_id AND p.win = t.win AND p.key = t.key"""
-
-
-def _window_summary_sql() -> str:
-    base = with_views("SELECT 1", "v_sample", "v_pixel", extra=[("sc", SCENE_STATS_SQL)])
-    head = base[: base.rindex("SELECT 1")].rstrip()
-    return head + ",\n" + WINDOW_SUMMARY_SQL
-
-
-@query("window_summary", _window_summary_sql())
+spine AS (SELECT s.sample_id, w.win FROM v_sample s CROSS JOIN (VALUES (15), (30), (60)) w(win)),
+""" + _summary_sql(["win"])
+
+
+def _with_scenes(body: str, *more: tuple[str, str]) -> str:
+    base = with_views("SELECT 1", "v_sample", "v_pixel", extra=[
+        ("sc0", SCENE_STATS_SQL), ("sc", f"SELECT *, {DERIVED_SQL} FROM sc0"), *more])
+    return base[: base.rindex("SELECT 1")].rstrip() + ",\n" + body
+
+
+def _derived_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ra.scene_derived(scene_stats(spark, sf_dir)).select(
+        "site_id", "scene_ts", "n_clear", *SCENE_COLS, *DERIVED, "clear_fraction")
+
+
+@query("window_summary", _with_scenes(WINDOW_SUMMARY_SQL))
 def window_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = ra.scene_derived(scene_stats(spark, sf_dir)).select("site_id", "scene_ts", "n_clear", "green_median", "NDVI")
     samples = _samples(spark, sf_dir)
-    rows = st.multi_window_topk(samples, sc, key="site_id", sample_id="sample_id", sample_ts="sample_ts",
-                                scene_ts="scene_ts", windows=WINDOWS, k=4, keep=F.col("n_clear") >= 1)
-    rows = rows.withColumn("days_offset", F.col("days_offset").cast("double"))
+    rows = st.multi_window_topk(samples, _derived_scenes(spark, sf_dir), key="site_id", sample_id="sample_id",
+                                sample_ts="sample_ts", scene_ts="scene_ts", windows=WINDOWS, k=4,
+                                keep=F.col("n_clear") >= 1)
     spine = samples.select("sample_id", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("win"))
     out = ra.window_summary(spine, rows, sample_id="sample_id", group_cols=["win"], value_cols=SUMMARY_KEYS)
-    return out.select("sample_id", "win", "key", "scene_count", r6(F.col("mean")).alias("mean"),
-                      r6(F.col("median")).alias("median"), r6(F.col("max")).alias("max"))
+    return out.select("sample_id", "win", *_summary_columns())
 
 
 # ------------------------------------------------------------------ J7 (boxes)
@@ -325,9 +333,7 @@ def bbox_window_join_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ A4 at both box scales
 BOX_SUMMARY_SQL = f"""
-cand AS (SELECT s.sample_id, b.scale, w.win, c.n_clear, c.green_median,
-                (c.nir08_median - c.red_median) / (c.nir08_median + c.red_median + 1e-8) AS NDVI,
-                CAST({OFF} AS DOUBLE) AS days_offset,
+cand AS (SELECT s.sample_id, b.scale, w.win, c.n_clear, {SCENE_KEYS_SQL}, CAST({OFF} AS DOUBLE) AS days_offset,
                 row_number() OVER (PARTITION BY s.sample_id, b.scale, w.win ORDER BY {GAP}, c.scene_ts, c.site_id) AS rk
          FROM v_sample s CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
          CROSS JOIN (VALUES (15), (30), (60)) w(win)
@@ -335,35 +341,21 @@ cand AS (SELECT s.sample_id, b.scale, w.win, c.n_clear, c.green_median,
           AND abs(c.lat - s.lat) <= b.scale / 2 AND abs(c.lon - s.lon) <= b.scale / 2
           AND {_win_sql('c.scene_ts', 's.sample_ts', 'w.win')}),
 kept AS (SELECT * FROM cand WHERE rk <= 4 AND n_clear >= 1),
-long AS (SELECT sample_id, scale, win, 'NDVI' AS key, NDVI AS value FROM kept
-         UNION ALL SELECT sample_id, scale, win, 'green_median', green_median FROM kept
-         UNION ALL SELECT sample_id, scale, win, 'days_offset', days_offset FROM kept),
-stats AS (SELECT sample_id, scale, win, key, count(*) AS scene_count, avg(value) AS mean, median(value) AS median,
-                 max(value) AS max FROM long GROUP BY 1, 2, 3, 4),
-spine AS (SELECT s.sample_id, b.scale, w.win, k.key FROM v_sample s
+spine AS (SELECT s.sample_id, b.scale, w.win FROM v_sample s
           CROSS JOIN (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) b(scale)
-          CROSS JOIN (VALUES (15), (30), (60)) w(win)
-          CROSS JOIN (VALUES ('NDVI'), ('green_median'), ('days_offset')) k(key))
-SELECT p.sample_id, p.scale, p.win, p.key, coalesce(t.scene_count, 0) AS scene_count,
-       round(t.mean, 6) AS mean, round(t.median, 6) AS median, round(t.max, 6) AS max
-FROM spine p LEFT JOIN stats t ON p.sample_id = t.sample_id AND p.scale = t.scale AND p.win = t.win AND p.key = t.key"""
+          CROSS JOIN (VALUES (15), (30), (60)) w(win)),
+""" + _summary_sql(["scale", "win"])
 
 
-def _box_summary_sql() -> str:
-    base = with_views("SELECT 1", "v_sample", "v_pixel", extra=[("sc", SCENE_STATS_SQL), ("scl", """
+@query("window_summary_box", _with_scenes(BOX_SUMMARY_SQL, ("scl", """
 SELECT sc.*, -35.18 + (site_id*37 % 1346)/CAST(100 AS DOUBLE) AS lat,
-       14.97 + (site_id*101 % 1782)/CAST(100 AS DOUBLE) AS lon FROM sc""")])
-    return base[: base.rindex("SELECT 1")].rstrip() + ",\n" + BOX_SUMMARY_SQL
-
-
-@query("window_summary_box", _box_summary_sql())
+       14.97 + (site_id*101 % 1782)/CAST(100 AS DOUBLE) AS lon FROM sc""")))
 def window_summary_box_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 as the reference lays it out: per sample, box scale and window —
     the 4 nearest scenes of any site inside the box (cloud-free ones kept
     after the cut), summarised; an empty (sample, scale, window) has count 0."""
-    sc = (ra.scene_derived(scene_stats(spark, sf_dir))
-          .select(F.col("site_id").alias("scene_site"), "scene_ts", "n_clear", "green_median", "NDVI",
-                  _site_lat("site_id").alias("c_lat"), _site_lon("site_id").alias("c_lon")))
+    sc = _derived_scenes(spark, sf_dir).withColumns(
+        {"c_lat": _site_lat("site_id"), "c_lon": _site_lon("site_id")}).withColumnRenamed("site_id", "scene_site")
     s = fx.samples(spark, sf_dir).select("sample_id", "sample_ts", "lat", "lon")
     rows = None
     for scale in BOX_SCALES:
@@ -375,9 +367,7 @@ def window_summary_box_q(spark: SparkSession, sf_dir: str) -> DataFrame:
         top = st.top_k(j, ["sample_id", "win"], [F.abs(cal.micros_between("sample_ts", "scene_ts")), "scene_ts", "scene_site"], 4, "scene_rank")
         part = top.where(F.col("n_clear") >= 1).withColumn("scale", F.lit(scale))
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.withColumn("days_offset", F.col("days_offset").cast("double"))
     spine = s.select("sample_id", F.explode(F.array(*[F.lit(x) for x in BOX_SCALES])).alias("scale")).select(
         "sample_id", "scale", F.explode(F.array(*[F.lit(w) for w in WINDOWS])).alias("win"))
     out = ra.window_summary(spine, rows, sample_id="sample_id", group_cols=["scale", "win"], value_cols=SUMMARY_KEYS)
-    return out.select("sample_id", "scale", "win", "key", "scene_count", r6(F.col("mean")).alias("mean"),
-                      r6(F.col("median")).alias("median"), r6(F.col("max")).alias("max"))
+    return out.select("sample_id", "scale", "win", *_summary_columns())

@@ -93,6 +93,9 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         _band(p * 131).alias("green"),
         _band(p * 173 + ln * 911, p % 9 == 0).alias("nir08"),
         _band(p * 57 + s * 13).alias("red"),
+        _band(p * 101 + s * 17).alias("blue"),
+        _band(p * 211 + ln * 53, p % 11 == 0).alias("swir16"),
+        _band(p * 241 + s * 29).alias("swir22"),
         ((p * 7 + s * 3) % 64).cast("int").alias("qa"),
     )
 

@@ -9,10 +9,13 @@ missing ids on restart.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .tables import source_exists
 
 
@@ -34,6 +37,8 @@ def incremental_extract(spark: SparkSession, todo: DataFrame, key: str, out_path
     rows are split into hash slices of about that size so a long run
     commits partial progress (the reference flushes every 25-500 rows);
     each slice is its own append job, so a lost executor costs one slice.
+    The pending rows are found once, written by slice under the checkpoint
+    folder, and each job reads its own slice alone.
     """
     done = spark.read.parquet(out_path) if source_exists(spark, out_path) else None
     rest = pending(todo, done, key) if done is not None else todo
@@ -41,8 +46,13 @@ def incremental_extract(spark: SparkSession, todo: DataFrame, key: str, out_path
     if n == 0:
         return 0
     slices = 1 if not batch_rows else max(1, -(-n // batch_rows))
-    from pyspark.sql import functions as F
+    if slices == 1:
+        extract(rest).write.mode("append").parquet(out_path)
+        return n
+    staged = f"{checkpoint_dir(spark).rstrip('/')}/pending-{uuid.uuid4().hex}"
+    (rest.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).repartition("_slice")
+     .write.partitionBy("_slice").parquet(staged))
     for i in range(slices):
-        part = rest if slices == 1 else rest.where(F.pmod(F.xxhash64(key), F.lit(slices)) == i)
-        extract(part).write.mode("append").parquet(out_path)
+        if source_exists(spark, f"{staged}/_slice={i}"):
+            extract(spark.read.schema(todo.schema).parquet(f"{staged}/_slice={i}")).write.mode("append").parquet(out_path)
     return n

@@ -66,14 +66,16 @@ def schema_guard(spark: SparkSession, path: str, expected: StructType, fmt: str
 def export_template(template: DataFrame, predictions: DataFrame, key: str, columns) -> DataFrame:
     """Predictions laid out on the template's rows and column order.
     A left join on the template spine (no row lost or added), then the
-    template order; `coalesce(1)` belongs to the final write only."""
+    template order; a single file is a matter of the final write only."""
     return template.join(predictions, key, "left").select(*columns)
 
 
 def write_single_file(df: DataFrame, path: str, order, fmt: str = "csv") -> None:
-    """One ordered output file. Sorting is distributed; only the last
-    write stage runs as one task, which is what a single file means."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).format(fmt).save(path)
+    """One ordered output file, written by one task, which is what a
+    single file means. The rows are computed by all tasks before the shuffle
+    into that task; it sorts them there, spilling if need be."""
+    (df.repartition(1).sortWithinPartitions(*order)
+     .write.mode("overwrite").option("header", True).format(fmt).save(path))
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "append") -> None:
