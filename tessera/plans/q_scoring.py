@@ -252,8 +252,8 @@ def target_blends_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("blend_series", with_views("""
-SELECT sample_id, round((1 - 0.35) * max(CASE WHEN model = 'm1' THEN pred END)
-                        + 0.35 * max(CASE WHEN model = 'm2' THEN pred END), 6) AS blend
+SELECT sample_id, round((CAST(1 AS DOUBLE) - CAST(0.35 AS DOUBLE)) * max(CASE WHEN model = 'm1' THEN pred END)
+                        + CAST(0.35 AS DOUBLE) * max(CASE WHEN model = 'm2' THEN pred END), 6) AS blend
 FROM v_pred GROUP BY sample_id""", "v_pred"))
 def blend_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = fx.predictions(spark, sf_dir).groupBy("sample_id").pivot("model", MODELS).agg(F.first("pred"))
