@@ -37,7 +37,8 @@ from . import exchange as ex
 from . import textvec as tv
 
 QGRAM = 32
-TASK_BYTES = 16 << 20
+SAMPLE_BYTES = 16 << 20  # text of one batch of samples
+WINDOW_BYTES = 4 << 20   # and of windows, of which a text has one per byte at most
 _NONE = np.empty(0, np.int64)
 
 
@@ -125,7 +126,7 @@ def _sample_mapper(length: int, buckets: int):
             body = batch.column("body").to_pylist()
             rows = np.array([i for i, t in enumerate(body) if len(t) >= length], np.int64)
             body, ids, subs = [body[i] for i in rows], ids[rows], subs[rows]
-            for a, b in tv.chunked([len(t) for t in body], TASK_BYTES):
+            for a, b in tv.chunked([len(t) for t in body], SAMPLE_BYTES):
                 parts = []
                 for c, d in tv.chunked([len(t) for t in body[a:b]]):
                     doc, pos, name = sampled(body[a + c:a + d])
@@ -171,7 +172,7 @@ def _window_mapper(length: int, buckets: int):
             column = batch.column("body")
             body = [column[i].as_py() for i in rows]
             ids, subs = (batch.column(c).to_numpy()[rows] for c in ("id", "sub"))
-            for a, b in tv.chunked([len(t) for t in body], TASK_BYTES):
+            for a, b in tv.chunked([len(t) for t in body], WINDOW_BYTES):
                 parts = []
                 for c, d in tv.chunked([len(t) for t in body[a:b]]):
                     doc, pos, least, name = windows(body[a + c:a + d], [found[i] for i in rows[a + c:a + d]])
