@@ -28,7 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op8_substring_dedup")
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS win
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS place FROM g),
+r AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (
+        SELECT doc_id, unnest(range(i, i + 20)) AS k FROM f WHERE place > 1) GROUP BY doc_id),
+b AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string([words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(gone, k)], ' ')) AS kept_sha256
+FROM b
+"""
+
+
+@query("op8_substring_dedup", OP8_SQL)
 def op8(spark, sf_dir):
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -46,7 +60,28 @@ def op9(spark, sf_dir):
             .select("doc_id", "class_id", "class_size", "kept"))
 
 
-@query("op7_benchmark_decontamination")
+_WORDS = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id, words, least(10, len(words)) AS size FROM (SELECT item_id, {_WORDS} AS words FROM benchmark)),
+phrase AS (SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS win
+           FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM b WHERE size > 0)),
+sizes AS (SELECT DISTINCT size FROM phrase),
+place AS (SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+          FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size)),
+hit AS (SELECT place.doc_id, place.i, place.size, phrase.item_id FROM place JOIN phrase USING (size, win)),
+n AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS k FROM hit) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
+
+@query("op7_benchmark_decontamination", OP7_SQL)
 def op7(spark, sf_dir):
     found = decontam.removal_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
