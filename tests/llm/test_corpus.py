@@ -13,7 +13,6 @@ from tessera.llm import language_id, mixing, queries, reply_trees
 from tests.oracle_check import check, duck
 
 from . import brute
-from .test_dedup import VOCAB, prose
 
 SF = "/root/testdata/sf0.001"
 SYLLABLES = {"en": ["the", "ing", "tion", "and", "er", "th", "ou"], "de": ["sch", "ung", "ich", "keit", "ä", "ver", "pf"],

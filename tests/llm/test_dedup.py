@@ -4,7 +4,6 @@ import random
 import string
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, substring_dedup, suffix_dedup, textvec
 
