@@ -88,3 +88,13 @@ def blend_scan(wide: DataFrame, y: str, base: str, variants, weights) -> DataFra
     return t.select("variant", "weight",
                     (F.lit(1.0) - F.try_divide(sse, F.col("n") * F.col("var_y"))).alias("r2"),
                     F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.col("n"))).alias("rmse"))
+
+
+def macro_scan(scan: DataFrame, other_scores: DataFrame, score: str = "r2") -> DataFrame:
+    """A scan of one target with the macro average over all targets.
+    `other_scores` is one row with the fixed scores of the other targets."""
+    others = other_scores.columns
+    total = sum((F.col(c) for c in others), F.col(score))
+    # one row of fixed scores beside a (variants x weights)-row scan
+    return (scan.join(F.broadcast(other_scores), F.lit(True))
+            .withColumn("avg_spatial", total / F.lit(float(len(others) + 1))).drop(*others))

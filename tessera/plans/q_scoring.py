@@ -294,6 +294,38 @@ def blend_scan_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("variant", "weight", r6(F.col("r2")).alias("r2"), r6(F.col("rmse")).alias("rmse"))
 
 
+DRP_SCAN_SQL = [
+    ("truth", "SELECT sample_id, ta AS y_ta, ec AS y_ec, drp AS y_drp FROM v_sample"),
+    ("w2", """SELECT t.*, max(CASE WHEN run = 'm1' THEN ta END) AS p_ta, max(CASE WHEN run = 'm1' THEN ec END) AS p_ec,
+                    max(CASE WHEN run = 'm1' THEN drp END) AS m1, max(CASE WHEN run = 'm2' THEN drp END) AS m2,
+                    max(CASE WHEN run = 'm3' THEN drp END) AS m3
+             FROM truth t JOIN v_sub s ON t.sample_id = s.sample_id GROUP BY ALL"""),
+    ("other", """SELECT 1 - sum((y_ta - p_ta) * (y_ta - p_ta)) / (count(*) * var_pop(y_ta)) AS ta_r2,
+                        1 - sum((y_ec - p_ec) * (y_ec - p_ec)) / (count(*) * var_pop(y_ec)) AS ec_r2 FROM w2"""),
+    ("scan", """SELECT v.variant, g.weight,
+                  1 - sum((y_drp - ((1 - g.weight) * m1 + g.weight * vp)) * (y_drp - ((1 - g.weight) * m1 + g.weight * vp)))
+                      / (count(*) * var_pop(y_drp)) AS r2
+                FROM (SELECT y_drp, m1, 'm2' AS variant, m2 AS vp FROM w2
+                      UNION ALL SELECT y_drp, m1, 'm3' AS variant, m3 AS vp FROM w2) v
+                CROSS JOIN (SELECT CAST(i AS DOUBLE) / 20 AS weight FROM range(0, 21) t(i)) g
+                GROUP BY v.variant, g.weight"""),
+]
+
+
+@query("blend_scan_macro", with_views("""
+SELECT variant, weight, round(r2, 6) AS drp_r2, round((ta_r2 + ec_r2 + r2) / 3, 6) AS avg_spatial FROM scan, other""",
+                                      "v_sample", "v_sub", extra=DRP_SCAN_SQL))
+def blend_scan_macro_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M18 as the reference uses it: the third target's blend is scanned, the other two targets' scores are fixed."""
+    truth = fx.samples(spark, sf_dir).select("sample_id", *[F.col(t).alias(f"y_{t}") for t in ("ta", "ec", "drp")])
+    runs = fx.submissions(spark, sf_dir)
+    wide = truth.join(runs.groupBy("sample_id").pivot("run", MODELS).agg(F.first("drp")), "sample_id")
+    base = truth.join(runs.where(F.col("run") == "m1").select("sample_id", "ta", "ec"), "sample_id")
+    scores = [me.regression_metrics(f"y_{t}", t)[1].alias(f"{t}_r2") for t in ("ta", "ec")]
+    out = bl.macro_scan(bl.blend_scan(wide, "y_drp", "m1", VARIANTS, SCAN_WEIGHTS), base.agg(*scores))
+    return out.select("variant", "weight", r6(F.col("r2")).alias("drp_r2"), r6(F.col("avg_spatial")).alias("avg_spatial"))
+
+
 @query("best_per_group", with_views("""
 SELECT variant, weight, round(r2, 6) AS r2 FROM (
   SELECT *, row_number() OVER (PARTITION BY variant ORDER BY r2 DESC, weight) AS rn FROM scan) x WHERE rn = 1""",
