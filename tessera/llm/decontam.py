@@ -45,12 +45,13 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry:
                  part_bytes: int = PART_BYTES) -> DataFrame:
     """row (struct of the carried columns), n_words, spans (merged word runs), items (sorted distinct ids)."""
     carry = docs.columns if carry is None else carry
+    body = [] if "text" in carry else [
+        F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("body")]
     found = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"),
-        F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("body"),
+        F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), *body,
         F.lit(None).cast("long").alias("n_words"),
         F.array().cast(ArrayType(_SPAN)).alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = StructType([found.schema["row"], found.schema["body"], StructField("n_words", LongType()),
+    schema = StructType([found.schema["row"], *([found.schema["body"]] if body else []), StructField("n_words", LongType()),
                          StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType()))])
     for phrases in _parts(benchmark, window, part_bytes):
         found = found.mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(phrases)), schema)
@@ -260,9 +261,9 @@ def _searcher(shared):
     def run(batches):
         phrases = shared.value
         for batch in batches:
-            column, before = batch.column("body"), batch.column("spans").to_pylist()
-            held = batch.column("items").to_pylist()
-            body = column.to_pylist()
+            before, held = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            carried = [c for c in ("row", "body") if c in batch.schema.names]
+            body = tv.bodies(batch)
             counts, spans, items = [], [], []
             for a, b in tv.chunked([len(t) for t in body], SHARD_BYTES):
                 n, s, i = occurrences(body[a:b], phrases)
@@ -271,8 +272,8 @@ def _searcher(shared):
                              for old, new in zip(before[a:b], s))
                 items.extend(sorted({*old, *new}) for old, new in zip(held[a:b], i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), column, pa.array(counts, pa.int64()),
+                [*(batch.column(c) for c in carried), pa.array(counts, pa.int64()),
                  pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], span_type),
                  pa.array(items, pa.list_(pa.string()))],
-                names=["row", "body", "n_words", "spans", "items"])
+                names=[*carried, "n_words", "spans", "items"])
     return run

@@ -45,6 +45,8 @@ GRAMS = 1 << 14
 TEXT_CAP = 40.0
 PRIOR_WEIGHT = 20.0
 LEAST = 0.5
+#: A table of up to so many hosts, declared languages or suffixes is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 50_000
 
 _LETTER = np.full(256, 0x20, np.uint8)
 _LETTER[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -78,11 +80,11 @@ def _observed(rows: DataFrame, text: Column, declared: Column, suffix: Column, h
 def identify(observed: DataFrame, languages: tuple[str, ...] = LANGUAGES, keep: bool = False) -> DataFrame:
     """row, language, posterior, text_language, declared, kept.
 
-    keep: the rows are wide and shall not be written for reuse; the text
+    keep: `row` has the text, and shall not be written for reuse; the text
     evidence is then computed once for the counts and once for the result.
     """
     model = observed.sparkSession.sparkContext.broadcast(text_model(observed, languages))
-    said = _text_evidence(observed, model)
+    said = _text_evidence(observed.drop("body") if keep else observed, model)
     if not keep:
         said = cut_lineage(said)
     counts = cut_lineage(
@@ -100,7 +102,8 @@ def identify(observed: DataFrame, languages: tuple[str, ...] = LANGUAGES, keep:
     fused = said
     for key, name in (("host", "host_prior"), ("declared", "declared_says"), ("suffix", "suffix_says")):
         part = host if key == "host" else _log_likelihood(counts, key, languages).withColumnRenamed("says", name)
-        fused = fused.join(part, key, "left")
+        part = cut_lineage(part)
+        fused = fused.join(F.broadcast(part) if part.count() <= BROADCAST_ROWS else part, key, "left")
     silent = F.array(*(F.lit(0.0) for _ in languages))
     prior = F.coalesce("host_prior", F.array(*(F.lit(float(g)) for g in general)))
     score = prior
@@ -192,7 +195,7 @@ def _text_evidence(observed: DataFrame, model) -> DataFrame:
     def run(batches):
         table = model.value
         for batch in batches:
-            body = batch.column("body").to_pylist()
+            body = tv.bodies(batch)
             counts, sums = [], []
             for a, b in tv.chunked([len(t) for t in body]):
                 text, feature = trigrams(body[a:b])

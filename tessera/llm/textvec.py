@@ -68,6 +68,13 @@ def joined(texts: list[bytes]) -> Joined:
     return Joined(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), end - size, end)
 
 
+def bodies(batch) -> list[bytes]:
+    """Texts of an Arrow batch: its column `body`, or else `text` of its struct `row`, which then crosses once."""
+    if "body" in batch.schema.names:
+        return batch.column("body").to_pylist()
+    return [t or b"" for t in batch.column("row").field("text").cast("binary").to_pylist()]
+
+
 def chunked(sizes: list[int], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about `limit` bytes."""
     a, total = 0, 0
