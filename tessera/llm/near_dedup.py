@@ -10,13 +10,18 @@ text of fewer words, but not none, is one shingle), weighted 1 + ln(count).
    in a register with the probability Jaccard similarity of their weights.
 2. Banding. `m / rows` bands of `rows` registers; texts that share a band key
    are candidates. A bucket of up to `SMALL` texts gives all its pairs. A
-   larger one gives the pairs of each member with one hub; later rounds take
-   other hubs for buckets whose members are not yet in one class, and rounds
-   go on until two in a row add no link. So pairs grow with the members.
-3. Verification. Candidates are linked if the Jaccard similarity of their
-   shingle sets is `threshold` or more.
+   larger one gives the pairs of each member with one hub; later rounds put
+   its members into buckets of two bands, and where these hold several classes
+   each member is compared with two hubs of other classes, until a round adds
+   no link. So pairs grow with the members, not with their square.
+3. Verification. Candidates whose registers agree in less than `threshold`
+   less MARGIN are far off (MARGIN is 4.9 standard deviations of the estimate
+   at 0.8 and 96 registers, and leaves room for the weights); the others are
+   linked if the Jaccard similarity of their shingle sets is `threshold` or
+   more. So only near pairs carry their shingles through a shuffle.
 4. Classes are the connected components of the links, found by min-label
-   stars with reliable checkpoints; no link list reaches the driver.
+   stars with reliable checkpoints; no link list reaches the driver. The links
+   of a later round join the classes of the earlier ones.
 
 Equal texts are one node from the start, whatever their number.
 
@@ -39,15 +44,19 @@ from . import exchange as ex
 from . import textvec as tv
 
 SMALL = 8
-QUIET_ROUNDS = 2
+HUBS = 2
+STEPS = 3
+MARGIN = 0.2
+NODES_A_PARTITION = 20_000
 
 
-def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, m: int = 128, rows: int = 4) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, m: int = 96, rows: int = 4) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept; plus id, sub."""
     texts = _named(docs)
     signed = cut_lineage(
-        texts.mapInArrow(_signer(shingle, m, rows), "node binary, id long, sub long, bands array<long>")
-        .groupBy("node").agg(F.min(F.struct("id", "sub")).alias("first"), F.first("bands").alias("bands")))
+        texts.mapInArrow(_signer(shingle, m, rows), "node binary, id long, sub long, bands array<long>, sketch binary")
+        .groupBy("node").agg(F.min(F.struct("id", "sub")).alias("first"), F.first("bands").alias("bands"),
+                             F.first("sketch").alias("sketch")))
     component = _components(signed, texts, shingle, threshold)
     member = (texts.select("node", "id", "sub")
               .join(signed.select("node", "first"), "node")
@@ -136,18 +145,20 @@ def _signer(size: int, m: int, rows: int):
     def run(batches):
         for batch in batches:
             body = batch.column("body").to_pylist()
-            out = []
+            out, sketch = [], []
             for a, b in tv.chunked([len(t) for t in body]):
                 doc, name, count = shingles(tv.joined(body[a:b]), size)
-                sig = signatures(doc, name, 1 + np.log(count), b - a, m).reshape(b - a, bands, rows)
+                sig = signatures(doc, name, 1 + np.log(count), b - a, m)
+                sketch.extend(s.tobytes() for s in (sig >> np.uint64(56)).astype(np.uint8))
+                sig = sig.reshape(b - a, bands, rows)
                 key = np.broadcast_to(salt, (b - a, bands))
                 for r in range(rows):
                     key = tv.join_names(key, sig[:, :, r])
                 some = np.bincount(doc, minlength=b - a) > 0
                 out.extend(k if s else [] for k, s in zip(key.view(np.int64).tolist(), some))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("id"), batch.column("sub"), pa.array(out, pa.list_(pa.int64()))],
-                names=["node", "id", "sub", "bands"])
+                [batch.column("node"), batch.column("id"), batch.column("sub"), pa.array(out, pa.list_(pa.int64())),
+                 pa.array(sketch, pa.binary())], names=["node", "id", "sub", "bands", "sketch"])
     return run
 
 
@@ -155,7 +166,6 @@ def _signer(size: int, m: int, rows: int):
 
 def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """(node, comp) of the nodes that have a link."""
-    spark = signed.sparkSession
     band = signed.select("node", F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     bucket = cut_lineage(band.join(shared, "key"))
@@ -166,32 +176,55 @@ def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float
     hub = large.groupBy("key").agg(F.expr("min_by(node, xxhash64(node))").alias("hub"))
     pair = cut_lineage(pair.unionByName(_ordered(large.join(hub, "key"))).distinct())
     sets = _sets(bucket, signed, texts, size)
-    links = cut_lineage(_verified(pair, sets, threshold))
-    component = _connected(links)
-    quiet, turn = 0, 0
-    while quiet < QUIET_ROUNDS:
+    # what follows is about the nodes in shared buckets alone: its partitions are sized by their number
+    parts = max(4, sets.count() // NODES_A_PARTITION)
+    links = cut_lineage(_verified(pair, sets, threshold, parts))
+    component = label = _connected(links, parts)
+    edges = component.filter("node <> comp").select("node", F.col("comp").alias("other"))
+    bands = cut_lineage(large.select("node").distinct().join(signed.select("node", "bands", "sketch"), "node")
+                        .coalesce(parts))
+    width = F.size("bands")
+    turn, added = 0, not bands.isEmpty()
+    while added:
         turn += 1
-        label = (large.join(component, "node", "left")
-                 .select("key", "node", F.coalesce("comp", "node").alias("comp")))
-        split = (label.groupBy("key")
-                 .agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                      F.expr(f"min_by(struct(node, comp), xxhash64(node, key, {turn}))").alias("hub"))
-                 .filter("low <> high").select("key", "hub"))
-        more = cut_lineage(_ordered(label.join(split, "key").filter("comp <> hub.comp")
-                                    .select("node", F.col("hub.node").alias("hub")))
-                           .distinct().join(pair, ["node", "other"], "left_anti"))
-        if more.isEmpty():
-            quiet += 1
-            continue
-        found = cut_lineage(_verified(more, sets, threshold))
-        pair = pair.unionByName(more)
-        if found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = links.unionByName(found)
-        component = _connected(links)
-    return component if component is not None else spark.createDataFrame([], "node binary, comp binary")
+        # buckets of two bands: their members are likelier to be alike than those of one band
+        fine = F.concat(*(F.transform("bands", lambda x, i: F.xxhash64(i, x, F.lit(step), F.get("bands", (i + step) % width)))
+                          for step in range(STEPS * (turn - 1) + 1, STEPS * turn + 1)))
+        member = (bands.join(label, "node", "left").coalesce(parts)
+                 .select("node", F.coalesce("comp", "node").alias("comp"), "sketch", F.explode(fine).alias("key")))
+        hubs = [F.expr(f"min_by(struct(node, comp, sketch), xxhash64(node, key, {h}))") for h in range(HUBS)]
+        split = (member.groupBy("key")
+                 .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*hubs).alias("hubs"))
+                 .filter("low <> high").select("key", "hubs").coalesce(parts))
+        near = (member.join(split, "key").coalesce(parts).select("node", "comp", "sketch", "hubs")
+                .mapInArrow(_near_hubs(threshold), "node binary, other binary").distinct().coalesce(parts))
+        more = cut_lineage(near.join(pair, ["node", "other"], "left_anti").coalesce(parts))
+        links = cut_lineage(_filtered(more, sets, "names", _alike(threshold), parts))
+        pair, added = pair.unionByName(more), not links.isEmpty()
+        if added:
+            label, edges = _relabelled(label, links, parts), edges.unionByName(links)
+    return _connected(edges, parts) if turn > 1 else component
+
+
+def _relabelled(component: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """Labels for the next round: each class takes the least label that a new link leads to.
+
+    One hop: it only spares the next round pairs within a class. The classes
+    themselves come from all links at the end.
+    """
+    ends = links
+    for end in ("node", "other"):
+        of = component.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+        ends = (ends.join(of, end, "left").coalesce(parts)
+                .withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp"))
+    ends = ends.filter("node <> other")
+    moved = (ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
+             .groupBy("node").agg(F.min("other").alias("comp")).select("node", F.least("node", "comp").alias("comp"))
+             .coalesce(parts))
+    now = component.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select(
+        "node", F.coalesce("now", "comp").alias("comp"))
+    fresh = moved.join(component, "node", "left_anti")
+    return cut_lineage(now.coalesce(parts).unionByName(fresh.coalesce(parts)))
 
 
 def _ordered(pair: DataFrame) -> DataFrame:
@@ -201,9 +234,9 @@ def _ordered(pair: DataFrame) -> DataFrame:
 
 def _sets(bucket: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(node, shingle names) of each text in a shared bucket, once per node."""
-    wanted = (bucket.select("node").distinct().join(signed.select("node", "first"), "node")
-              .select("node", "first.id", "first.sub"))
-    one = texts.join(wanted, ["node", "id", "sub"]).select("node", "body")
+    wanted = (bucket.select("node").distinct().join(signed.select("node", "first", "sketch"), "node")
+              .select("node", "first.id", "first.sub", "sketch"))
+    one = texts.join(wanted, ["node", "id", "sub"]).select("node", "sketch", "body")
 
     def run(batches):
         for batch in batches:
@@ -213,45 +246,79 @@ def _sets(bucket: DataFrame, signed: DataFrame, texts: DataFrame, size: int) ->
                 # 32 bits tell the shingles of two texts apart; sorted again for the intersection
                 cut = np.searchsorted(doc, np.arange(1, b - a))
                 out.extend(np.unique((p >> np.uint64(32)).astype(np.uint32)).tobytes() for p in np.split(name, cut))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "names"])
-    return cut_lineage(one.mapInArrow(run, "node binary, names binary").dropDuplicates(["node"]))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sketch"), pa.array(out, pa.binary())],
+                                             names=["node", "sketch", "names"])
+    return cut_lineage(one.mapInArrow(run, "node binary, sketch binary, names binary").dropDuplicates(["node"]))
 
 
-def _verified(pair: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _agree(threshold: float):
+    """Whether the registers of two texts agree often enough for the threshold to be possible."""
+    def test(x: bytes, y: bytes) -> bool:
+        return (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= threshold - MARGIN
+    return test
+
+
+def _alike(threshold: float):
+    """Whether the Jaccard similarity of two sorted shingle sets is at the threshold."""
+    def test(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= threshold * (len(a) + len(b) - both) - 1e-9
+    return test
+
+
+def _verified(pair: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
+    return _filtered(_filtered(pair, sets, "sketch", _agree(threshold), parts), sets, "names", _alike(threshold), parts)
+
+
+def _near_hubs(threshold: float):
+    """Pairs of a bucket's members with its hubs of other classes whose registers agree."""
+    test = _agree(threshold)
+
+    def run(batches):
+        for batch in batches:
+            found = set()
+            for node, comp, sketch, hubs in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "sketch", "hubs"))):
+                for hub in hubs:
+                    if hub["comp"] != comp and test(sketch, hub["sketch"]):
+                        found.add((min(node, hub["node"]), max(node, hub["node"])))
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)],
+                                             names=["node", "other"])
+    return run
+
+
+def _filtered(pair: DataFrame, sets: DataFrame, column: str, test, parts: int) -> DataFrame:
+    """Pairs whose two values of `column` pass the test."""
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("names").to_pylist(), batch.column("other_names").to_pylist()):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= threshold * (len(a) + len(b) - both) - 1e-9)
+            keep = [test(x, y) for x, y in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("other")], names=["node", "other"]).filter(pa.array(keep, pa.bool_()))
-    other = sets.select(F.col("node").alias("other"), F.col("names").alias("other_names"))
-    return (pair.join(sets, "node").join(other, "other")
-            .select("node", "other", "names", "other_names")
-            .mapInArrow(run, "node binary, other binary"))
+    mine = sets.select("node", F.col(column).alias("mine"))
+    theirs = sets.select(F.col("node").alias("other"), F.col(column).alias("theirs"))
+    return (pair.join(mine, "node").coalesce(parts).join(theirs, "other").coalesce(parts)
+            .select("node", "other", "mine", "theirs").mapInArrow(run, "node binary, other binary"))
 
 
-def _connected(links: DataFrame) -> DataFrame:
+def _connected(links: DataFrame, parts: int) -> DataFrame:
     """(node, comp): min-label stars. Each turn hangs every neighbour on the least label seen, until nothing moves."""
     edge, state = links.select(F.col("node").alias("a"), F.col("other").alias("b")), None
     while True:
         both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).coalesce(parts)
         # large star: greater neighbours move to the least; small star: lesser ones and the node itself
         large = (both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                 .filter("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+                 .filter("a <> b").coalesce(parts).distinct().coalesce(parts))
+        low = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
+        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(parts)
                  .unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        new = cut_lineage(small)
-        edge, last = new, state
-        state = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        edge, last = cut_lineage(small.coalesce(parts)), state
+        state = tuple(edge.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == last:
             break
     member = edge.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return cut_lineage(member.unionByName(edge.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct())
+    return cut_lineage(member.unionByName(edge.select(F.col("b").alias("node"), F.col("b").alias("comp")))
+                       .distinct().coalesce(parts))
