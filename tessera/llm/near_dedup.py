@@ -13,7 +13,11 @@ text of fewer words, but not none, is one shingle), weighted 1 + ln(count).
    larger one gives the pairs of each member with one hub; later rounds put
    its members into buckets of two bands, and where these hold several classes
    each member is compared with two hubs of other classes, until a round adds
-   no link. So pairs grow with the members, not with their square.
+   no link. What these rounds leave is finished whole: in each large bucket that
+   still holds several classes, every two members of different classes are
+   compared, in cells of two blocks of up to `BLOCK` members. So pairs grow with
+   the members where a bucket becomes one class, and no pair that shares a band
+   key is left out where it doesn't.
 3. Verification. Candidates whose registers agree in less than `threshold`
    less MARGIN are far off (MARGIN is 4.9 standard deviations of the estimate
    at 0.8 and 96 registers, and leaves room for the weights); the others are
@@ -46,6 +50,8 @@ from . import textvec as tv
 SMALL = 8
 HUBS = 2
 STEPS = 3
+BLOCK = 1000
+DENSE = 24
 MARGIN = 0.2
 NODES_A_PARTITION = 20_000
 
@@ -184,7 +190,7 @@ def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float
     bands = cut_lineage(large.select("node").distinct().join(signed.select("node", "bands", "sketch"), "node")
                         .coalesce(parts))
     width = F.size("bands")
-    turn, added = 0, not bands.isEmpty()
+    turn, added, grown = 0, not bands.isEmpty(), False
     while added:
         turn += 1
         # buckets of two bands: their members are likelier to be alike than those of one band
@@ -202,8 +208,118 @@ def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float
         links = cut_lineage(_filtered(more, sets, "names", _alike(threshold), parts))
         pair, added = pair.unionByName(more), not links.isEmpty()
         if added:
-            label, edges = _relabelled(label, links, parts), edges.unionByName(links)
-    return _connected(edges, parts) if turn > 1 else component
+            label, edges, grown = _relabelled(label, links, parts), edges.unionByName(links), True
+    links = _rest(large, bands, label, sets, threshold, parts) if turn else None
+    if links is not None and not links.isEmpty():
+        edges, grown = edges.unionByName(links), True
+    return _connected(edges, parts) if grown else component
+
+
+def _rest(large: DataFrame, bands: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame | None:
+    """Links between the classes that meet in a large bucket, from all pairs of its members; None if none meet."""
+    member = (large.join(label, "node", "left").coalesce(parts)
+              .select("key", "node", F.coalesce("comp", "node").alias("comp")))
+    open_ = cut_lineage(member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+                        .filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")).coalesce(parts))
+    work = open_.agg(F.sum(F.expr("blocks * (blocks + 1) / 2"))).first()[0]
+    if not work:
+        return None
+    wide = max(parts, int(work) // 64)
+    # a cell is two blocks of a bucket, or one with itself; a member goes to each cell of its block
+    block = F.expr("pmod(xxhash64(node, key), blocks)")
+    cell = (member.join(open_, "key").withColumn("block", block)
+            .withColumn("beside", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            .select("key", F.least("block", "beside").alias("a"), F.greatest("block", "beside").alias("b"),
+                    "node", "comp", "block"))
+    kind = "key long, a long, b long, node binary, comp binary, block long"
+    near = cut_lineage(cell.join(bands.select("node", "sketch"), "node").groupBy("key", "a", "b")
+                       .applyInArrow(_cell_members(threshold), kind).coalesce(wide))
+    return cut_lineage(near.join(sets.select("node", "names"), "node").groupBy("key", "a", "b")
+                       .applyInArrow(_cell_links(threshold), "node binary, other binary").coalesce(wide)
+                       .distinct().coalesce(parts))
+
+
+def _numbered(values: list[bytes]) -> np.ndarray:
+    number: dict[bytes, int] = {}
+    return np.array([number.setdefault(v, len(number)) for v in values], np.int64)
+
+
+def _apart(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Class number of each member of a cell, and which pairs the cell compares."""
+    comp, block = _numbered(table.column("comp").to_pylist()), table.column("block").to_numpy()
+    apart = comp[:, None] != comp
+    if table.column("a")[0].as_py() != table.column("b")[0].as_py():
+        apart &= block[:, None] != block
+    return comp, apart
+
+
+def _cell_members(threshold: float):
+    """Members of a cell whose registers agree with those of a member of another class."""
+    def run(table: pa.Table) -> pa.Table:
+        _, apart = _apart(table)
+        sketch = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()])
+        agree = np.zeros(apart.shape, np.int16)
+        for register in sketch.T:
+            agree += register[:, None] == register
+        near = (apart & (agree >= (threshold - MARGIN) * sketch.shape[1])).any(axis=1)
+        return table.select(["key", "a", "b", "node", "comp", "block"]).filter(pa.array(near))
+    return run
+
+
+def _overlaps(names: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets, where row < column."""
+    m = len(names)
+    owner = np.repeat(np.arange(m), [len(x) for x in names])
+    _, column, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    both = np.zeros((m, m), np.float32)
+    # names of many sets by matrix products, those of a few by their pairs
+    number = np.cumsum(count > DENSE) - 1
+    many = count[column] > DENSE
+    o, c = owner[many], number[column[many]]
+    order = np.argsort(c, kind="stable")
+    o, c = o[order], c[order]
+    for start in range(0, int((count > DENSE).sum()), 1024):
+        x, y = np.searchsorted(c, (start, start + 1024))
+        held = np.zeros((m, 1024), np.float32)
+        held[o[x:y], c[x:y] - start] = 1
+        both += held @ held.T
+    few = (count[column] > 1) & ~many
+    o, c = owner[few], column[few]
+    order = np.argsort(c, kind="stable")
+    o, c = o[order], c[order]
+    for step in range(1, DENSE):
+        at = np.flatnonzero(c[step:] == c[:-step])
+        if not len(at):
+            break
+        both += np.bincount(o[at] * m + o[at + step], minlength=m * m).reshape(m, m)
+    return both
+
+
+def _cell_links(threshold: float):
+    """Pairs of a cell at the threshold, as many as it takes to join their classes."""
+    def run(table: pa.Table) -> pa.Table:
+        comp, apart = _apart(table)
+        names = [np.frombuffer(x, np.uint32) for x in table.column("names").to_pylist()]
+        size = np.array([len(x) for x in names])
+        both = _overlaps(names)
+        i, j = np.nonzero(np.triu(apart & (both > 0), 1))
+        hit = both[i, j] >= threshold * (size[i] + size[j] - both[i, j].astype(np.int64)) - 1e-9
+        i, j = i[hit], j[hit]
+        pair = np.minimum(comp[i], comp[j]) * len(comp) + np.maximum(comp[i], comp[j])
+        one = np.unique(pair, return_index=True)[1]
+        parent, found, node = list(range(len(comp))), [], table.column("node").to_pylist()
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+        for x, y in zip(i[one].tolist(), j[one].tolist()):
+            p, q = root(comp[x]), root(comp[y])
+            if p != q:
+                parent[p] = q
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["node", "other"])
+    return run
 
 
 def _relabelled(component: DataFrame, links: DataFrame, parts: int) -> DataFrame:

@@ -119,6 +119,31 @@ def test_large_groups_of_near_copies_are_one_class(make_docs):
     assert got == brute.near_classes(list(enumerate(texts)))
 
 
+def test_pages_of_a_template_have_all_their_near_pairs(make_docs):
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"{rng.choice(VOCAB)}{rng.randrange(10**6)}" for _ in range(n)]
+    template, texts = words(184), []
+    for k in range(400):  # 0.75 alike, but for 80 pairs at 0.82
+        own = words(30)
+        if k >= 240 and k % 2:
+            own[-13:] = last
+        last = own[-13:]
+        texts.append(" ".join(template + own))
+    want = brute.near_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 320
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()} == want
+
+
+def test_overlaps_of_sets():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    names = [np.unique(rng.integers(0, top, 60).astype(np.uint32)) for top in rng.choice([70, 300, 5000], 50)]
+    both = near_dedup._overlaps(names)
+    assert all(both[i, j] == len(np.intersect1d(names[i], names[j])) for j in range(50) for i in range(j))
+
+
 def test_keep_one_keeps_columns_and_one_row_each(make_docs, clashing, corpus):
     docs = clashing(make_docs(corpus))
     kept = near_dedup.keep_one(docs)
