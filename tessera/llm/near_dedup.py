@@ -1,13 +1,16 @@
 r"""Operator 9: near-duplicate classes by ProbMinHash, banding and verification.
 
 Shingles are `shingle` consecutive words `[^\x20\x09-\x0D]+`, unchanged (a
-text of fewer words, but not none, is one shingle), weighted 1 + ln(count).
+text of fewer words, but not none, is one shingle). The similarity of two texts
+is the Jaccard similarity of their shingle sets, in every step: how often a
+shingle repeats in a text doesn't count, so all weights are equal.
 
 1. Signature. Each distinct shingle is a Poisson process whose rate is its
    weight; every arrival falls on one of `m` registers, and a register keeps
    its earliest arrival's shingle. A shingle's process ends as soon as its
    next arrival is later than the latest register of the text. Two texts agree
-   in a register with the probability Jaccard similarity of their weights.
+   in a register with the probability Jaccard similarity of their weights,
+   which is the Jaccard similarity of the sets for equal weights.
 2. Banding. `m / rows` bands of `rows` registers; texts that share a band key
    are candidates. A bucket of up to `SMALL` texts gives all its pairs. A
    larger one gives the pairs of each member with one hub; later rounds put
@@ -20,9 +23,9 @@ text of fewer words, but not none, is one shingle), weighted 1 + ln(count).
    key is left out where it doesn't.
 3. Verification. Candidates whose registers agree in less than `threshold`
    less MARGIN are far off (MARGIN is 4.9 standard deviations of the estimate
-   at 0.8 and 96 registers, and leaves room for the weights); the others are
-   linked if the Jaccard similarity of their shingle sets is `threshold` or
-   more. So only near pairs carry their shingles through a shuffle.
+   at 0.8 and 96 registers); the others are linked if the Jaccard similarity of
+   their shingle sets is `threshold` or more. So only near pairs carry their
+   shingles through a shuffle.
 4. Classes are the connected components of the links, found by min-label
    stars with reliable checkpoints; no link list reaches the driver. The links
    of a later round join the classes of the earlier ones.
@@ -153,8 +156,8 @@ def _signer(size: int, m: int, rows: int):
             body = batch.column("body").to_pylist()
             out, sketch = [], []
             for a, b in tv.chunked([len(t) for t in body]):
-                doc, name, count = shingles(tv.joined(body[a:b]), size)
-                sig = signatures(doc, name, 1 + np.log(count), b - a, m)
+                doc, name, _ = shingles(tv.joined(body[a:b]), size)
+                sig = signatures(doc, name, np.ones(len(name)), b - a, m)
                 sketch.extend(s.tobytes() for s in (sig >> np.uint64(56)).astype(np.uint8))
                 sig = sig.reshape(b - a, bands, rows)
                 key = np.broadcast_to(salt, (b - a, bands))

@@ -136,6 +136,16 @@ def test_pages_of_a_template_have_all_their_near_pairs(make_docs):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()} == want
 
 
+def test_texts_that_differ_in_repeat_counts_are_near(make_docs):
+    rng, texts = random.Random(4), []
+    for times in (50, 200, 1000, 1000, 1000):
+        menu, rest = rng.sample(VOCAB, 20), rng.sample(VOCAB, 80)
+        texts += [" ".join(menu * n + rest) for n in (2, times)]
+    want = brute.near_classes(list(enumerate(texts)))
+    assert len(set(want.values())) == 5
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()} == want
+
+
 def test_overlaps_of_sets():
     import numpy as np
     rng = np.random.default_rng(2)
