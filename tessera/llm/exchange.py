@@ -166,15 +166,19 @@ def covered_spans(found: bytes, length: int) -> list[tuple[int, int]]:
 
 
 def reduced_batch(ids: np.ndarray, subs: np.ndarray, doc: np.ndarray, pos: np.ndarray, name: np.ndarray,
-                  buckets: int) -> pa.RecordBatch:
-    """One entry per name leaves the batch; names that the batch holds several times are found here."""
+                  buckets: int, counted: bool = False) -> pa.RecordBatch:
+    """One entry per name leaves the batch (`counted`: with the times the batch holds it); names that it holds
+    several times are found here."""
     order, group = groups(name)
     size = np.bincount(group)
     first = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1))
     keep = np.sort(order[first])
     here = np.sort(order[size[group] > 1])
     bucket = (name[keep] % np.uint64(buckets)).astype(np.int64)
-    rows = [(b, False, pack(ids, subs, doc[keep[part]], pos[keep[part]], name[keep[part]]))
+    times = np.empty(len(name), np.int32)
+    times[order] = size[group]
+    rows = [(b, False, pack(ids, subs, doc[keep[part]], pos[keep[part]], name[keep[part]],
+                            *((times[keep[part]],) if counted else ())))
             for b, part in by_bucket(bucket)]
     if len(here):
         rows.append((int(bucket[0]), True, pack_runs(ids, subs, doc[here], pos[here])))

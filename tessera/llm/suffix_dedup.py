@@ -16,6 +16,9 @@ of the suffix h bytes later, so each refinement reuses the last one's result:
    made from the content, so doubling needs no exchange.
 3. windows in open initial buckets are exchanged by (initial bucket,
    identifier at full depth); those in buckets of two or more are repeated.
+   Those of an initial bucket of up to `hot` suffixes travel together; those of
+   a larger one (a line that many texts carry in different surroundings) are
+   dealt out by both names, so no task meets them all.
 
 Windows of one initial bucket are consecutive in a text, so they travel as
 runs. A text that stands in several rows is settled by its hash; one row of it
@@ -33,16 +36,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.session import cut_lineage
+
 from . import exchange as ex
 from . import textvec as tv
 
 QGRAM = 32
 SAMPLE_BYTES = 16 << 20  # text of one batch of samples
 WINDOW_BYTES = 4 << 20   # and of windows, of which a text has one per byte at most
+HOT = 2048               # suffixes of an initial bucket whose windows, 369 each, still fit one task
+SLOTS = 1 << 26          # larger buckets are told by their hash modulo SLOTS: a clash only deals out more
+SPREAD = 4               # an entry of one window is larger than one of a run
 _NONE = np.empty(0, np.int64)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (removed byte runs)."""
     if length < 2 * QGRAM:
         raise ValueError(f"length must be {2 * QGRAM} bytes or more")
@@ -50,10 +58,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     buckets = ex.bucket_count(docs, 0.8)
     copies = copied_texts(docs)
 
-    samples = texts.mapInArrow(_sample_mapper(length, buckets), ex.PACKED)
-    open_buckets = samples.groupBy("bucket").applyInArrow(ex.shared_positions(buckets), ex.PACKED)
-    windows = (texts.join(_marks(open_buckets, copies), ["id", "sub"], "left")
-               .mapInArrow(_window_mapper(length, buckets), ex.PACKED))
+    windows = _windows(texts, copies, length, buckets, hot)
     repeated = windows.groupBy("bucket").applyInArrow(_repeated_windows(buckets), ex.PACKED)
     return (texts.join(_marks(repeated, copies), ["id", "sub"], "left")
             .mapInArrow(_remover(length),
@@ -61,6 +66,46 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                         "spans array<struct<start:int,end:int>>"))
 
 
+def _windows(texts: DataFrame, copies: DataFrame, length: int, buckets: int, hot: int) -> DataFrame:
+    """Packed windows in open initial buckets."""
+    samples = texts.mapInArrow(_sample_mapper(length, buckets), ex.PACKED)
+    found = cut_lineage(samples.groupBy("bucket").applyInArrow(_open_positions(buckets, hot), ex.PACKED))
+    slots = (found.filter("bucket < 0").select((-1 - F.col("bucket")).alias("slot"))
+             .groupBy(F.expr("slot div 64").alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).orderBy("word").collect())
+    crowded = tuple(np.array([r[k] for r in slots], np.int64) for k in (0, 1))
+    return (texts.join(_marks(found.filter("bucket >= 0"), copies), ["id", "sub"], "left")
+            .mapInArrow(_window_mapper(length, buckets, crowded), ex.PACKED))
+
+
+def _open_positions(slices: int, hot: int):
+    """Positions of initial buckets of two suffixes or more, and the slots of those of more than `hot`."""
+    def run(table: pa.Table) -> pa.Table:
+        packed, local = ex.payloads(table)
+        ids = subs = pos = _NONE
+        large = np.empty(0, np.uint64)
+        if packed:
+            ids, subs, pos, name, times = ex.unpack_all(packed, np.uint64, np.int32)
+            order, group = ex.groups(name)
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            large = name[order[first[np.bincount(group, weights=times[order]) > hot]]]
+            hit = order[np.bincount(group)[group] > 1]
+            ids, subs, pos = ids[hit], subs[hit], pos[hit]
+        slots = np.unique(large % np.uint64(SLOTS)).tolist()
+        return pa.concat_tables([ex.found_rows(ids, subs, pos, local, slices),
+                                 pa.Table.from_batches([ex.packed_batch([(-1 - s, False, b"") for s in slots])])])
+    return run
+
+
+def _is_crowded(least: np.ndarray, crowded: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    words, bits = crowded
+    if not len(words):
+        return np.zeros(len(least), bool)
+    slot = (least % np.uint64(SLOTS)).astype(np.int64)
+    at = np.minimum(np.searchsorted(words, slot // 64), len(words) - 1)
+    return (words[at] == slot // 64) & ((bits[at] >> (slot % 64)) & 1 == 1)
+
+
 def copied_texts(docs: DataFrame) -> DataFrame:
     """(id, sub, copy) of texts in several rows; copy is 1 under the least id, else 2."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -133,7 +178,7 @@ def _sample_mapper(length: int, buckets: int):
                     parts.append((doc + c, pos, name))
                 doc, pos, name = (np.concatenate(x) for x in zip(*parts))
                 if len(name):
-                    yield ex.reduced_batch(ids[a:b], subs[a:b], doc, pos, name, buckets)
+                    yield ex.reduced_batch(ids[a:b], subs[a:b], doc, pos, name, buckets, counted=True)
     return run
 
 
@@ -149,7 +194,7 @@ def _full_depth(prefix: np.ndarray, length: int) -> np.ndarray:
     return name
 
 
-def _window_mapper(length: int, buckets: int):
+def _window_mapper(length: int, buckets: int, crowded: tuple[np.ndarray, np.ndarray]):
     width = length - QGRAM + 1
 
     def windows(texts: list[bytes], found: list):
@@ -179,7 +224,7 @@ def _window_mapper(length: int, buckets: int):
                     parts.append((doc + c, pos, least, name))
                 doc, pos, least, name = (np.concatenate(x) for x in zip(*parts))
                 if len(name):
-                    yield _reduced_windows(ids[a:b], subs[a:b], doc, pos, least, name, buckets)
+                    yield _reduced_windows(ids[a:b], subs[a:b], doc, pos, least, name, buckets, crowded)
     return run
 
 
@@ -192,12 +237,14 @@ def _equal_neighbours(name: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
     return order, same
 
 
-def _reduced_windows(ids, subs, doc, pos, least, name, buckets) -> pa.RecordBatch:
+def _reduced_windows(ids, subs, doc, pos, least, name, buckets, crowded) -> pa.RecordBatch:
     order, same = _equal_neighbours(name, least)
     keep = np.sort(order[~same])
     twice = same.copy()
     twice[:-1] |= same[1:]
     here = np.sort(order[twice])
+    apart = _is_crowded(least[keep], crowded)
+    alone, keep = keep[apart], keep[~apart]
     doc_k, pos_k, least_k, name_k = doc[keep], pos[keep], least[keep], name[keep]
     at, size = ex.runs(doc_k, least_k, pos_k)
     bucket = (least_k[at] % np.uint64(buckets)).astype(np.int64)
@@ -207,8 +254,13 @@ def _reduced_windows(ids, subs, doc, pos, least, name, buckets) -> pa.RecordBatc
         entry = np.repeat(s - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         head = ex.pack(ids, subs, doc_k[s], pos_k[s], n.astype(np.int32), least_k[s])
         rows.append((b, False, np.int32(len(head)).tobytes() + head + name_k[entry].tobytes()))
+    spread = (tv.join_names(least[alone], name[alone]) % np.uint64(SPREAD * buckets)).astype(np.int64)
+    for b, part in ex.by_bucket(spread):
+        e = alone[part]
+        head = ex.pack(ids, subs, doc[e], pos[e], np.ones(len(e), np.int32), least[e])
+        rows.append((buckets + b, False, np.int32(len(head)).tobytes() + head + name[e].tobytes()))
     if len(here):
-        rows.append((int(bucket[0]), True, ex.pack_runs(ids, subs, doc[here], pos[here])))
+        rows.append((int(least[0] % np.uint64(buckets)), True, ex.pack_runs(ids, subs, doc[here], pos[here])))
     return ex.packed_batch(rows)
 
 

@@ -4,6 +4,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, substring_dedup, suffix_dedup, textvec
 
@@ -74,6 +75,26 @@ def test_suffix_dedup_cuts_inside_characters(make_docs):
     assert got == brute.suffix_dedup(list(rows.items()))
 
 
+def test_windows_of_a_shared_line_are_dealt_out(make_docs):
+    from tessera.llm import exchange
+    rng = random.Random(6)
+
+    def letters(n):
+        return "".join(rng.choices(string.ascii_lowercase, k=n))
+    line = letters(300)
+    texts = {i: letters(400) + line + letters(400) for i in range(200)}
+    for i in range(200, 230):  # repeats that hold the line
+        texts[i] = letters(50) + texts[i - 150][350:820] + letters(50)
+    docs = make_docs(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept)))
+           for r in suffix_dedup.remove_repeats(docs, hot=50).collect()}
+    assert got == brute.suffix_dedup(list(texts.items()))
+    assert sum(v[1] > 0 for v in got.values()) == 60
+    parts = suffix_dedup._windows(exchange.keyed(docs), suffix_dedup.copied_texts(docs), 400, 40, 50)
+    size = parts.filter("not local").groupBy("bucket").agg(F.sum(F.length("payload")).alias("n")).collect()
+    assert max(r.n for r in size) < sum(r.n for r in size) / 20
+
+
 @pytest.mark.parametrize("run", [substring_dedup.remove_repeats, suffix_dedup.remove_repeats, near_dedup.classes,
                                  near_dedup.keep_one])
 def test_empty_tables(make_docs, run):
