@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, exchange, language_id, license_scan, mixing, near_dedup, quality_ledger, reply_trees, secret_scan, substring_dedup, suffix_dedup
+from . import (decontam, exchange, language_id, lexical_search, license_scan, merkle, mixing, near_dedup, quality_ledger, reply_trees,
+               secret_scan, substring_dedup, suffix_dedup, toxicity)
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -195,3 +196,100 @@ def op1(spark, sf_dir):
 def pages_language(spark, sf_dir):
     seen = language_id.from_pages(table(spark, sf_dir, "pages")).withColumn("row", F.struct("row.page_id"))
     return language_id.identify(seen).select("row.page_id", "language", "posterior", "text_language", "declared", "kept")
+
+
+_MERKLE_LEVELS = 6
+
+
+def merkle_sql(fanout: int = 16, levels: int = _MERKLE_LEVELS) -> str:
+    """The tree level by level; a group of one node is passed up as it is."""
+    def field(c):
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    def climb(name, steps):
+        """Levels name_0 (grp, idx, n, d) ... name_<steps>, and what each node meets on its level."""
+        out = []
+        for k in range(steps):
+            frame = f"OVER (PARTITION BY grp, idx // {fanout} ORDER BY idx ROWS BETWEEN"
+            out.append(f"""{name}_met_{k} AS (SELECT grp, idx, n > 1 AS more,
+  CASE WHEN n > 1 THEN coalesce(string_agg(d, '') {frame} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS before,
+  CASE WHEN n > 1 THEN coalesce(string_agg(d, '') {frame} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS after
+  FROM {name}_{k})""")
+            out.append(f"""{name}_{k + 1} AS (SELECT grp, idx // {fanout} AS idx, (max(n) + {fanout - 1}) // {fanout} AS n,
+  CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE max(d) END AS d
+  FROM {name}_{k} GROUP BY grp, idx // {fanout})""")
+        return out
+
+    def fold(alias, name, steps, start, grp, idx):
+        """Columns of a chain of joins: proof text and folded digests along the way up."""
+        joins, proof, digests = [], [], [f"{s}" for s in start]
+        for k in range(steps):
+            m = f"{alias}{k}"
+            joins.append(f"JOIN {name}_met_{k} {m} ON {m}.grp = {grp} AND {m}.idx = {idx} // {fanout ** k}")
+            proof.append(f"{m}.before || {m}.after")
+            digests = [f"CASE WHEN {m}.more THEN sha256({m}.before || {d} || {m}.after) ELSE {d} END" for d in digests]
+        return joins, proof, digests
+    leaf = " || ".join(field(c) for c in merkle.COLUMNS)
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    seen = " || ".join([*(field(c) for c in merkle.COLUMNS[:-1]), field(lowered)])
+    crc_table = ", ".join(str(_crc_entry(i)) for i in range(256))
+    crc = ("xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]), "
+           f"lambda a, c: xor(a >> 8, [{crc_table}][1 + (xor(a, c) & 255)])))")
+    joins, proof, low = fold("m", "leaf", levels, ["l.seen"], "l.grp", "l.idx")
+    top_joins, top_proof, folded = fold("t", "top", levels, ["low"], "s.one", "s.idx")
+    ctes = [
+        f"""l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+  count(*) OVER (PARTITION BY grp) AS n FROM (
+    SELECT coalesce('s' || source, 'n') AS grp, doc_id, sha256({leaf}) AS leaf,
+           CASE WHEN {crc} % 5 = 0 THEN sha256({seen}) ELSE sha256({leaf}) END AS seen FROM documents))""",
+        "leaf_0 AS (SELECT grp, idx, n, leaf AS d FROM l)", *climb("leaf", levels),
+        f"s AS (SELECT grp, 0 AS one, d AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM leaf_{levels})",
+        "top_0 AS (SELECT one AS grp, idx, n, subroot AS d FROM s)", *climb("top", levels),
+        f"""under AS (SELECT l.grp, l.doc_id, l.leaf, {low[0]} AS low, {' || '.join(proof)} AS proof
+  FROM l {' '.join(joins)})""",
+        f"""up AS (SELECT u.doc_id, u.leaf, s.subroot, sha256(proof || {' || '.join(top_proof)}) AS proof_sha256, {folded[0]} AS folded_root
+  FROM under u JOIN s ON u.grp = s.grp {' '.join(top_joins)})"""]
+    return f"""WITH {", ".join(ctes)}
+SELECT doc_id, leaf, subroot, r.d AS root, proof_sha256, folded_root, folded_root = r.d AS verified FROM up, top_{levels} r"""
+
+
+def _crc_entry(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def op11(spark, sf_dir):
+    changed = F.when(toxicity.held_out(F.col("doc_id")), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    audited = merkle.audit(table(spark, sf_dir, "documents"), F.coalesce(changed, F.col("text")))
+    return audited.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+                          "folded_root", "verified")
+
+
+@query("op12_toxicity")
+def op12(spark, sf_dir):
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours")
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS words FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+q AS (SELECT item, term, count(*) AS q FROM (SELECT item, unnest(words) AS term FROM i) GROUP BY item, term),
+p AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+st AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, CAST(sum(len(words)) AS BIGINT) AS n_terms FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM p GROUP BY term), st),
+m AS (SELECT row, doc_id, 75 + (25 * len(words) * n_docs) // n_terms AS m FROM d, st WHERE len(words) > 0),
+s AS (SELECT item, row, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (row) GROUP BY item, row),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score
+      FROM s JOIN i USING (item) JOIN m USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op13_lexical_search", OP13_SQL)
+def op13(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
