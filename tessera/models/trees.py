@@ -1,28 +1,26 @@
 """Tree learners, out-of-fold fitting and parameter search (M5-M7, M9, M12,
-M19, M22, M23) on MLlib. Stacks, chains and the specialist are in `stack`.
+M19, M22, M23). Stacks, chains and the specialist are in `stack`.
 
-Every fit is a distributed MLlib job over a frame whose lineage is cut
-once (a reliable checkpoint in the cluster's checkpoint folder), so k
-folds × m learners re-read materialised data, and a lost executor
-recomputes from the checkpoint, not from the raw joins. Predictions stay
-in Spark (`transform`) — nothing is collected except metric rows.
+Boosted models are batches of `boosting` (all folds, learners, targets and
+trials of a query at once); forests are MLlib jobs over a frame whose lineage
+is cut once. Predictions stay in Spark; nothing is collected except trees and
+metric rows.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metrics import regression_metrics
 from ..operators.setops import union_rows
 from ..session import cut_lineage
+from . import boosting as bs
 from .features import assemble
 
 SEED = 42
@@ -35,34 +33,32 @@ def rf_regressor(label: str, num_trees: int = 100, max_depth: int = 8, features:
                                  maxDepth=max_depth, seed=seed)
 
 
-#: Iterations of the reference's boosted learners and of its classifier.
+#: Iterations of the boosted learners and of the classifier, and trials of the search.
 ITERATIONS, CLASSIFIER_ITERATIONS, TRIALS = 700, 250, 30
 
+# Settings of the three boosted learners and of the classifier.
+FAMILY = {
+    "gbt_deep": dict(rate=0.025, depth=5, min_weight=8.0, row_share=0.8, column_share=0.7, l1=0.3, l2=2.0),
+    "gbt_wide": dict(rate=0.025, depth=5, min_rows=20, row_share=0.8, column_share=0.7, l1=0.3, l2=2.0, shape="leaves", leaves=28),
+    "gbt_plain": dict(rate=0.025, depth=5, l2=3.0, noise=1.0, shape="symmetric"),
+}
+CLASSIFIER = dict(rate=0.03, depth=5, l2=3.0, noise=1.0, shape="symmetric", logistic=True)
 
-def learner_family(label: str, weight: str | None = None, iterations: int = ITERATIONS,
-                   features: str = "features") -> dict[str, object]:
-    """M6: three differently configured boosted trees standing for the
-    reference's three boosting libraries (same depth, rate and iterations)."""
-    kw = dict(featuresCol=features, labelCol=label, seed=SEED, maxIter=iterations, maxDepth=5, stepSize=0.025)
-    if weight:
-        kw["weightCol"] = weight
-    return {
-        "gbt_deep": GBTRegressor(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=8, **kw),
-        "gbt_wide": GBTRegressor(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=20, **kw),
-        "gbt_plain": GBTRegressor(**kw),
-    }
 
+def learner_family(target: str, held: int | None = None, rows: str | None = None, iterations: int = ITERATIONS,
+                   prefix: str = "pred_") -> list[bs.Spec]:
+    """M6: three differently grown boosted trees (by level, by leaf, symmetric), one model each."""
+    return [bs.Spec(prefix + name, target, held, rows, iterations, **setting) for name, setting in FAMILY.items()]
 
-def regime_classifier(label: str, weight: str | None = None, iterations: int = CLASSIFIER_ITERATIONS,
-                      features: str = "features") -> GBTClassifier:
-    """M7: P(y >= threshold) learner."""
-    kw = {"weightCol": weight} if weight else {}
-    return GBTClassifier(featuresCol=features, labelCol=label, maxIter=iterations, maxDepth=5, stepSize=0.03, seed=SEED, **kw)
 
+def regime_classifier(label: str, held: int | None = None, rows: str | None = None, iterations: int = CLASSIFIER_ITERATIONS,
+                      name: str = "p_high") -> bs.Spec:
+    """M7: P(label = 1)."""
+    return bs.Spec(name, label, held, rows, iterations, **CLASSIFIER)
 
-def prob_high(df: DataFrame, col: str = "probability", out: str = "p_high") -> DataFrame:
-    """M7: class-1 probability as a double column."""
-    return df.withColumn(out, vector_to_array(F.col(col))[1])
+
+def folds_of(df: DataFrame, fold: str) -> list[int]:
+    return sorted(r[0] for r in df.select(fold).distinct().collect())  # k small
 
 
 #: Rows that a partition of a training table holds at most, about.
@@ -92,19 +88,13 @@ def fit_folds(df: DataFrame, learner, fold: str, parallelism: int = 8) -> dict:
     return dict(zip(folds, models))
 
 
-def oof_many(df: DataFrame, learners: dict, fold: str, key: str = "sample_id", parallelism: int = 8) -> dict:
-    """M9 for several learners at once: every (learner, fold) fit is an
-    independent job, all submitted to one pool. Returns name -> OOF frame
-    with a `pred_<name>` column."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    jobs = [(n, f) for n in learners for f in folds]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        models = list(pool.map(lambda nf: learners[nf[0]].copy().fit(df.where(F.col(fold) != nf[1])), jobs))
-    out = {}
-    for (n, f), m in zip(jobs, models):
-        part = m.transform(df.where(F.col(fold) == f)).select(key, fold, F.col("prediction").alias(f"pred_{n}"))
-        out[n] = part if n not in out else out[n].unionByName(part)
-    return out
+def oof_boosted(df: DataFrame, features, target: str, fold: str, key: str = "sample_id", weight: str | None = "sample_weight",
+                carry=(), iterations: int = ITERATIONS, learners=tuple(FAMILY)) -> DataFrame:
+    """Out-of-fold predictions `pred_<learner>` of the rows with a target; all folds and learners are one batch."""
+    rows = cut_lineage(df.where(F.col(target).isNotNull()))
+    specs = [s for f in folds_of(rows, fold) for s in learner_family(target, f, iterations=iterations) if s.name[5:] in learners]
+    fitted = bs.fit_batch(rows, features, specs, key, fold, weight)
+    return bs.predict(rows, fitted, dict.fromkeys([key, fold, target, *carry]), fold)
 
 
 def oof_predictions(df: DataFrame, learner, fold: str, key: str = "sample_id",
@@ -135,26 +125,55 @@ def stack_insample(oof_wide: DataFrame, label: str, base_cols, weight: str | Non
     return ridge_predict(d, coef), coef
 
 
-def param_search(df: DataFrame, label: str, fold: str, trials: int = TRIALS, seed: int = SEED,
-                 parallelism: int = 4, iterations=(200, 400, 800)) -> DataFrame:
-    """Seeded random grid over GBT settings with grouped folds
-    (`CrossValidator(foldCol=...)`, fits run `parallelism` at a time).
-    Returns one row per trial: params and mean RMSE over the folds."""
-    import random
-
-    rng = random.Random(seed)
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, seed=seed)
-    grid = []
-    for _ in range(trials):
-        grid.append({gbt.maxDepth: rng.choice([3, 4, 5, 6]), gbt.stepSize: rng.choice([0.03, 0.05, 0.1, 0.2]),
-                     gbt.maxIter: rng.choice(list(iterations)),
-                     gbt.subsamplingRate: rng.choice([0.7, 0.8, 1.0])})
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
-    k = df.select(fold).distinct().count()
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, foldCol=fold, numFolds=k,
-                        parallelism=parallelism, seed=seed)
-    model = cv.fit(df.withColumn(fold, F.col(fold).cast("int")))
-    rows = [(i, int(pm[gbt.maxDepth]), float(pm[gbt.stepSize]), int(pm[gbt.maxIter]),
-             float(pm[gbt.subsamplingRate]), float(m)) for i, (pm, m) in enumerate(zip(grid, model.avgMetrics))]
-    return df.sparkSession.createDataFrame(
-        rows, "trial int, max_depth int, step_size double, max_iter int, subsampling double, mean_rmse double")
+# The search space, as (kind, low, high); "log" is uniform in the logarithm.
+SPACE = {
+    "gbt_deep": dict(iterations=("int", 200, 800), rate=("log", 0.01, 0.2), depth=("int", 3, 6), row_share=("real", 0.5, 1.0),
+                     column_share=("real", 0.5, 1.0), min_weight=("int", 1, 10)),
+    "gbt_wide": dict(iterations=("int", 200, 800), rate=("log", 0.01, 0.2), leaves=("int", 15, 63), depth=("int", 3, 6),
+                     row_share=("real", 0.5, 1.0), column_share=("real", 0.5, 1.0), min_rows=("int", 5, 100)),
+    "gbt_plain": dict(iterations=("int", 200, 800), rate=("log", 0.01, 0.2), depth=("int", 3, 6), l2=("log", 1e-3, 10.0),
+                      noise=("log", 1e-3, 10.0)),
+}
+SHAPES = {"gbt_deep": dict(l2=1.0), "gbt_wide": dict(l2=0.0, shape="leaves"), "gbt_plain": dict(shape="symmetric")}
+
+
+def draw(space: dict, rng: random.Random) -> dict:
+    """One setting from a space."""
+    out = {}
+    for name, (kind, low, high) in space.items():
+        if kind == "int":
+            out[name] = rng.randint(low, high)
+        else:
+            out[name] = math.exp(rng.uniform(math.log(low), math.log(high))) if kind == "log" else rng.uniform(low, high)
+    return out
+
+
+def param_search(df: DataFrame, features, targets, fold: str, trials: int = TRIALS, seed: int = SEED, key: str = "sample_id",
+                 weight: str | None = None, log_target: bool = False, space: dict = SPACE) -> DataFrame:
+    """Seeded random settings of each learner, for each target the mean RMSE over the left-out folds.
+
+    All (target, learner, trial, fold) models are one batch. `log_target`
+    learns log1p of the target; errors stay in its own unit. Returns a row
+    per target, learner and trial; `best` marks the least mean error of each
+    target and learner.
+    """
+    rows = cut_lineage(df)
+    folds, specs, table = folds_of(rows, fold), [], []
+    for target in targets:
+        for learner in space:
+            for trial in range(trials):
+                setting = draw(space[learner], random.Random(f"{seed} {learner} {trial}"))
+                for f in folds:
+                    specs.append(bs.Spec("pred", target, f, log=log_target, seed=seed, **SHAPES[learner], **setting))
+                    table.append((len(specs) - 1, target, learner, trial))
+    names = df.sparkSession.createDataFrame([(
+        *t, s.iterations, s.rate, s.depth, s.row_share, s.column_share, float(s.min_weight), s.min_rows, s.leaves, float(s.l2), float(s.noise),
+    ) for t, s in zip(table, specs)], "model int, target string, learner string, trial int, iterations int, rate double, depth int, "
+        "row_share double, column_share double, min_weight double, min_rows int, leaves int, l2 double, noise double")
+    errors = bs.score_batch(rows, features, specs, key, fold, weight)
+    setting = [c for c in names.columns if c != "model"]
+    by_fold = names.join(errors.where("n > 0"), "model").groupBy(*setting).agg(
+        F.array_sort(F.collect_list(F.sqrt(F.col("sse") / F.col("n")))).alias("rmse"))  # sorted, so the sum has one order
+    mean = by_fold.select(*setting, (F.aggregate("rmse", F.lit(0.0), lambda a, x: a + x) / F.size("rmse")).alias("mean_rmse"))
+    rank = F.row_number().over(Window.partitionBy("target", "learner").orderBy("mean_rmse", "trial"))
+    return mean.withColumn("best", rank == 1)

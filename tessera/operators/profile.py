@@ -16,10 +16,13 @@ column into one task for a global quantile. `exact=False` switches to
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import complement_medians, exact_quantiles
 
 
 def _pct(x: Column, qs, exact: bool) -> Column:
@@ -57,14 +60,93 @@ def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+#: Columns of a strip of the co-moment matrix, and first-step shares of its merge.
+STRIP, SHARES = 32, 16
+
+
 def corr_matrix(df: DataFrame, cols) -> DataFrame:
-    """Pairwise-complete Pearson correlation for every pair a < b
-    (`corr` skips rows where either side is NULL). One aggregate."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"{a}__{b}").alias("corr"))
-            for a, b in pairs]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    """Pairwise-complete Pearson correlation for every pair a < b (rows
+    where either side is NULL or NaN are left out; NULL without two rows or
+    without variance).
+
+    One pass: each task sums up its part of the co-moment matrix (rows of
+    pairs, means, squared and cross deviations) batch by batch as matrix
+    products; the parts are merged strip by strip, pairwise and exactly in
+    form, so the plan has the same size for three columns as for hundreds.
+    """
+    cols = list(cols)
+    part = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(_moments(len(cols)), MOMENTS)
+    share = F.pmod("part", F.lit(SHARES))
+    some = part.withColumn("share", share).groupBy("strip", "share").applyInArrow(_merged(len(cols)), MOMENTS)
+    return some.groupBy("strip").applyInArrow(_correlations(cols), "col_a string, col_b string, corr double")
+
+
+MOMENTS = "strip int, part int, data binary"
+
+
+def _merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Co-moments (n, mean a, mean b, aa, bb, ab) of two sets of rows, for all pairs at once."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    da, db = b[1] - a[1], b[2] - a[2]
+    cross = a[0] * share
+    return np.stack((n, a[1] + da * share, a[2] + db * share, a[3] + b[3] + da * da * cross, a[4] + b[4] + db * db * cross,
+                     a[5] + b[5] + da * db * cross))
+
+
+def _batch_moments(x: np.ndarray) -> np.ndarray:
+    seen = ~np.isnan(x)
+    center = np.where(seen.any(axis=0), np.nansum(np.where(seen, x, 0.0), axis=0) / np.maximum(seen.sum(axis=0), 1), 0.0)
+    d, m = np.where(seen, x - center, 0.0), seen.astype(float)
+    n, s = m.T @ m, d.T @ m               # s[a, b]: sum of a where b is there, too
+    q, cross = (d * d).T @ m, d.T @ d
+    safe = np.maximum(n, 1)
+    return np.stack((n, np.where(n > 0, center[:, None] + s / safe, 0.0), np.where(n > 0, center[None, :] + s.T / safe, 0.0),
+                     np.maximum(q - s * s / safe, 0.0), np.maximum(q.T - s.T * s.T / safe, 0.0), cross - s * s.T / safe))
+
+
+def _moments(k: int):
+    def run(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(k)], axis=1) if len(batch) else np.zeros((0, k))
+            if len(x):
+                total = _merge(total, _batch_moments(x))
+        number = TaskContext.get().partitionId()
+        for strip, a in enumerate(range(0, k, STRIP)):
+            yield pa.RecordBatch.from_pydict({"strip": pa.array([strip], pa.int32()), "part": pa.array([number], pa.int32()),
+                                              "data": pa.array([np.ascontiguousarray(total[:, a:a + STRIP]).tobytes()], pa.binary())})
+    return run
+
+
+def _strip(table: pa.Table, k: int) -> np.ndarray:
+    """Merged in the order of the parts, so that a retried task gives the same digits."""
+    total = None
+    for row in table.select(["part", "data"]).sort_by("part").to_pylist():
+        m = np.frombuffer(row["data"], float).reshape(6, -1, k)
+        total = m if total is None else _merge(total, m)
+    return total
+
+
+def _merged(k: int):
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"strip": table.column("strip").slice(0, 1), "part": pa.array([table.column("share")[0].as_py()], pa.int32()),
+                         "data": pa.array([_strip(table, k).tobytes()], pa.binary())})
+    return run
+
+
+def _correlations(cols: list[str]):
+    def run(table: pa.Table) -> pa.Table:
+        first = table.column("strip")[0].as_py() * STRIP
+        n, _, _, aa, bb, ab = _strip(table, len(cols))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.clip(ab / np.sqrt(aa * bb), -1.0, 1.0)
+        r[(n < 2) | (aa <= 0) | (bb <= 0)] = np.nan
+        a, b = np.triu_indices(len(r), first + 1, len(cols))
+        out = r[a, b]
+        return pa.table({"col_a": pa.array([cols[first + i] for i in a], pa.string()), "col_b": pa.array([cols[j] for j in b], pa.string()),
+                         "corr": pa.array(out, pa.float64(), mask=np.isnan(out))})
+    return run
 
 
 def distinct_count(df: DataFrame, cols, exact: bool = True) -> Column:
@@ -118,17 +200,11 @@ def fold_median_impute(df: DataFrame, cols, fold: str, folds) -> DataFrame:
     """For rows of fold f, fill with the medians of the *other* folds
     (the fold's training part), so no held-out value leaks into its own fill.
 
-    Each row is copied to the k-1 folds it trains (k is small and fixed) and
-    the medians per held-out fold come from grouped quantiles; the
-    k-row result joins back on the fold.
+    The medians come from one sort of the columns by complement ranks
+    (`quantiles.complement_medians`); the k-row result joins back on the fold.
     """
-    fl = [int(f) for f in folds]
-    train = df.select(*cols, F.explode(F.array(*[F.lit(f) for f in fl])).alias("_held"), F.col(fold).alias("_f"))
-    train = train.where(F.col("_held") != F.col("_f"))
-    long = train.select("_held", *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        ["_held"], list(cols), "_col", "_v")
-    per = exact_quantiles(long, "_v", (0.5,), by=["_held", "_col"])
-    rows = [(f, *[per.get((f, c), [None])[0] for c in cols]) for f in fl]
+    per = {(r["_held"], r["_col"]): r["median"] for r in complement_medians(df, cols, fold, folds).collect()}  # folds x columns
+    rows = [(int(f), *[per.get((int(f), c)) for c in cols]) for f in folds]
     schema = ", ".join(["_held int"] + [f"`_med_{c}` double" for c in cols])
     meds = df.sparkSession.createDataFrame(rows, schema)  # k rows
     j = df.join(meds, df[fold] == meds["_held"], "left").drop("_held")
@@ -139,23 +215,34 @@ def fold_median_impute(df: DataFrame, cols, fold: str, folds) -> DataFrame:
 def histogram(df: DataFrame, col: str, bins: int = 50, log: bool = False, label: str | None = None) -> DataFrame:
     """Equal-width bins over [min, max]; the top edge belongs to the
     last bin. `log=True` bins log1p(x) (skewed target). Empty bins are
-    listed with count 0 (the bin list is a fixed-size spine)."""
-    x = F.log1p(F.col(col)) if log else F.col(col)
-    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    listed with count 0 (the bin list is a fixed-size spine). Each row also
+    carries the variable's statistics: n, mean, median, sample std, min, max.
+
+    NULL, NaN and infinite values (of log1p(x), too) are neither binned nor
+    part of the statistics; a column of nothing else gives no rows.
+    """
+    raw = F.log1p(F.col(col).cast("double")) if log else F.col(col).cast("double")
+    x = F.when(~F.isnan(raw) & (F.abs(raw) != float("inf")), raw)
+    values = df.select(x.alias("_x"))
+    mm = values.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.count("_x").alias("n"), F.avg("_x").alias("mean"),
+                    F.stddev_samp("_x").alias("std")).first()
     name = label or col
     spark = df.sparkSession
     if mm["lo"] is None:
-        return spark.createDataFrame([], "variable string, bin int, lo double, hi double, count bigint")
+        return spark.createDataFrame([], "variable string, bin int, lo double, hi double, count bigint, n bigint, mean double, "
+                                         "median double, std double, min double, max double")
     lo, hi = float(mm["lo"]), float(mm["hi"])
     width = (hi - lo) / bins if hi > lo else 1.0
-    b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = values.where(F.col("_x").isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    stats = {"n": F.lit(mm["n"]).cast("bigint"), "mean": F.lit(mm["mean"]), "median": F.lit(quantiles(values, "_x", (0.5,))[0]),
+             "std": F.lit(mm["std"]).cast("double"), "min": F.lit(lo), "max": F.lit(hi)}
     return (spine.join(counts, "bin", "left")
             .select(F.lit(name).alias("variable"), "bin",
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
                     (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
-                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"), *[v.alias(k) for k, v in stats.items()]))
 
 
 def box_stats(df: DataFrame, col: str, whisker: float = 1.5, exact: bool = True) -> DataFrame:

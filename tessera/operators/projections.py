@@ -113,10 +113,28 @@ def _safe(name: str) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_")
 
 
-def one_hot(df: DataFrame, col: str, prefix: str | None = None) -> DataFrame:
+MAX_LEVELS = 10_000
+
+
+def one_hot(df: DataFrame, col: str, prefix: str | None = None, max_levels: int = MAX_LEVELS) -> DataFrame:
     """one 0/1 column per distinct level (sorted), no NA column; the
     source column is dropped. Levels come from one distinct aggregate; they
-    are the output's columns, so the driver holds no more than the schema."""
-    levels = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
-    p = prefix or col
-    return df.withColumns({f"{p}_{_safe(str(v))}": (F.col(col) == F.lit(v)).cast("int") for v in levels}).drop(col)
+    are the output's columns, so more than `max_levels` are refused.
+
+    Levels whose names become equal (`a b`, `a-b`) are told apart by a number
+    (`c_a_b`, `c_a_b_2`); a name that the frame has already is refused.
+    """
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(max_levels + 1).collect()
+    if len(found) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} levels")
+    p, names = prefix or col, {}
+    for v in (r[0] for r in found):
+        base = f"{p}_{_safe(str(v))}"
+        name, n = base, 2
+        while name.lower() in names:  # column names ignore case
+            name, n = f"{base}_{n}", n + 1
+        names[name.lower()] = (name, v)
+    clash = [name for low, (name, _) in names.items() if low in {c.lower() for c in df.columns}]
+    if clash:
+        raise ValueError(f"one_hot would replace the columns {clash}")
+    return df.withColumns({name: (F.col(col) == F.lit(v)).cast("int") for name, v in names.values()}).drop(col)

@@ -15,7 +15,7 @@ out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -67,3 +67,33 @@ def exact_quantiles(df: DataFrame, col: str, probs, by=()) -> dict:
     """{group tuple: [q for each prob]}, for a few known groups (columns, folds); else use `group_quantiles`."""
     by = list(by)
     return {tuple(r[b] for b in by): list(r["q"]) for r in group_quantiles(df, col, probs, by).collect()}
+
+
+def complement_medians(df: DataFrame, cols, fold: str, folds) -> DataFrame:
+    """_held, _col, median: for each fold the median of each column over the rows of the *other* folds.
+
+    All columns are sorted once, whatever the number of folds. A value's rank
+    among the other folds is its rank among all less that among its fold, so
+    counts by (column, sorted partition, fold) say which partition holds a
+    fold's wanted ranks; only rows of those partitions are numbered, once for
+    each rank wanted there. Rows without a fold, NULL and NaN are left out.
+    """
+    long = df.where(F.col(fold).isNotNull()).select(F.col(fold).alias("_f"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
+        ["_f"], list(cols), "_col", "_x").where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    placed = cut_lineage(long.withColumn("_tie", F.rand(11)).repartitionByRange("_col", "_x", "_tie").sortWithinPartitions("_col", "_x")
+                         .select("_col", "_x", "_f", F.monotonically_increasing_id().alias("_m")))
+    placed = placed.withColumn("_p", F.shiftrightunsigned("_m", _PARTITION_BITS))
+    counts = cut_lineage(placed.groupBy("_col", "_p", "_f").agg(F.count(F.lit(1)).alias("n")))
+    held = F.explode(F.array(*[F.lit(int(f)) for f in folds]))  # counts are copied, rows are not
+    others = (counts.withColumn("_held", held).where(F.col("_f") != F.col("_held"))
+              .groupBy("_held", "_col", "_p").agg(F.sum("n").alias("n")))
+    so_far = Window.partitionBy("_held", "_col").orderBy("_p")
+    ends = others.withColumns({"_end": F.sum("n").over(so_far), "_all": F.sum("n").over(Window.partitionBy("_held", "_col"))})
+    half = (F.col("_all") - 1) / 2
+    wanted = (ends.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(half), F.ceil(half)))))
+              .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("n")))
+              .select("_held", "_col", "_p", "_rank", (F.col("_rank") - F.col("_end") + F.col("n") + 1).alias("_place")))
+    within = Window.partitionBy("_held", "_col", "_rank").orderBy("_m")
+    found = (placed.join(wanted, ["_col", "_p"]).where(F.col("_f") != F.col("_held"))
+             .withColumn("_at", F.row_number().over(within)).where(F.col("_at") == F.col("_place")))
+    return found.groupBy("_held", "_col").agg((F.min("_x") / 2 + F.max("_x") / 2).alias("median"))

@@ -73,7 +73,14 @@ FROM v_sample s
 CROSS JOIN (VALUES ('m1', CAST(0.8 AS DOUBLE), 7919), ('m2', CAST(0.7 AS DOUBLE), 104729),
                    ('m3', CAST(0.9 AS DOUBLE), 1299709)) AS b(m, w, k)"""
 
-DEPS = {"v_scenecat": ["v_pixel"], "v_sub": ["v_sample"]}
+VIEWS["v_footprint"] = """
+SELECT *, lat - tall AS south, lat + tall AS north, lon - wide AS west, lon + wide AS east FROM (
+  SELECT *, -35.18 + (site_id*37 % 1346)/CAST(100 AS DOUBLE) AS lat, 14.97 + (site_id*101 % 1782)/CAST(100 AS DOUBLE) AS lon,
+         CASE WHEN site_id % 97 = 0 THEN CAST(3 AS DOUBLE) ELSE (1 + site_id*13 % 30)/CAST(100 AS DOUBLE) END AS tall,
+         CASE WHEN site_id % 89 = 0 THEN CAST(2 AS DOUBLE) ELSE (1 + site_id*17 % 25)/CAST(100 AS DOUBLE) END AS wide
+  FROM v_scenecat) x"""
+
+DEPS = {"v_scenecat": ["v_pixel"], "v_sub": ["v_sample"], "v_footprint": ["v_scenecat"]}
 
 
 def with_views(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:

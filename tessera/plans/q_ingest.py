@@ -11,7 +11,7 @@ from ..functions import calendar as cal
 from ..functions import quality as qf
 from ..functions import spectral as sp
 from ..operators import projections as pj
-from ..operators.spatiotemporal import window_join
+from ..operators.spatiotemporal import footprint_join, window_join
 from ..sources import fixtures as fx
 from ..sources.incremental import pending, pending_multiset
 from ..sources.tables import export_template, read_table
@@ -92,7 +92,7 @@ def export_template_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S8
-SCENE_SEARCH_SQL = with_views(f"""
+SITE_SEARCH_SQL = with_views(f"""
 SELECT s.sample_id, strftime(c.scene_ts, '%Y-%m-%d') AS scene_day, c.cloud_cover, c.platform,
        {day_offset_sql('c.scene_ts', 's.sample_ts')} AS days_offset
 FROM v_sample s JOIN v_scenecat c
@@ -100,9 +100,9 @@ FROM v_sample s JOIN v_scenecat c
 WHERE c.cloud_cover < 10 AND c.platform IN ('landsat-8', 'landsat-9')""", "v_sample", "v_scenecat")
 
 
-@query("scene_search", SCENE_SEARCH_SQL)
-def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue search = filter (cloud, platform) pushed below a
+@query("site_scene_search", SITE_SEARCH_SQL)
+def site_scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 where scenes are known by site: filter (cloud, platform) pushed below a
     site + time-window range join."""
     cat = fx.scenes(spark, sf_dir).where((F.col("cloud_cover") < 10)
                                          & F.col("platform").isin("landsat-8", "landsat-9"))
@@ -112,6 +112,29 @@ def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "days_offset")
 
 
+SEARCH_BOX, SEARCH_DAYS = 0.1, 30
+
+SCENE_SEARCH_SQL = with_views(f"""
+SELECT s.sample_id, c.site_id AS scene_site, strftime(c.scene_ts, '%Y-%m-%d') AS scene_day, c.cloud_cover, c.platform,
+       {day_offset_sql('c.scene_ts', 's.sample_ts')} AS days_offset
+FROM v_sample s JOIN v_footprint c
+  ON c.scene_ts BETWEEN s.sample_ts - INTERVAL {SEARCH_DAYS} DAY AND s.sample_ts + INTERVAL {SEARCH_DAYS} DAY
+WHERE c.cloud_cover < 10 AND c.platform IN ('landsat-8', 'landsat-9')
+  AND c.south <= s.lat + {SEARCH_BOX / 2} AND c.north >= s.lat - {SEARCH_BOX / 2} AND c.west <= s.lon + {SEARCH_BOX / 2} AND c.east >= s.lon - {SEARCH_BOX / 2}""",
+                              "v_sample", "v_footprint")
+
+
+@query("scene_search", SCENE_SEARCH_SQL)
+def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue search by extent: scenes that overlap the box around a sample within the window, after the
+    filter (cloud, platform)."""
+    cat = fx.footprints(spark, sf_dir).where((F.col("cloud_cover") < 10) & F.col("platform").isin("landsat-8", "landsat-9"))
+    cat = cat.withColumnRenamed("site_id", "scene_site")
+    s = fx.samples(spark, sf_dir).select("sample_id", "lat", "lon", "sample_ts")
+    j = footprint_join(s, cat, lat="lat", lon="lon", sample_ts="sample_ts", scene_ts="scene_ts", size=SEARCH_BOX, days=SEARCH_DAYS)
+    return j.select("sample_id", "scene_site", cal.iso_day("scene_ts").alias("scene_day"), "cloud_cover", "platform", "days_offset")
+
+
 # ------------------------------------------------------------------ S9
 @query("grid_crop", with_views("""
 SELECT cell_i, cell_j, strftime(month, '%Y-%m') AS month, ppt, pet FROM v_climate

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import quality as qf
+from ..models import boosting as bs
 from ..models import features as ft
 from ..models import folds as fo
 from ..models import linear as li
@@ -21,9 +22,6 @@ from ..sources import fixtures as fx
 from .oracle_views import with_views
 from .registry import query
 
-#: The registered queries boost so often and search so many settings; the operators' own defaults are the
-#: reference's 700, 250 and 30, which take hours here for the whole registry (see README).
-ITERATIONS, TRIALS = 10, 3
 K = 5
 
 
@@ -144,32 +142,26 @@ def rf_regressor_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gbt_regressor")
 def gbt_regressor_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
-    train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
-    parts = []
-    for name, learner in tr.learner_family("ta", "sample_weight", ITERATIONS).items():
-        parts.append(learner.fit(train).transform(test).select("sample_id", F.lit(name).alias("learner"), "prediction"))
-    return union_rows(parts)
+    """M6: the three learners in long form, fitted on the training split."""
+    train, test = _split(spark, sf_dir)
+    fitted = bs.fit_batch(train, ft.FEATURES, tr.learner_family("ta", prefix=""), fold=None)
+    wide = bs.predict(test, fitted, ["sample_id"])
+    return wide.unpivot(["sample_id"], list(tr.FAMILY), "learner", "prediction")
 
 
 @query("regime_classifier")
 def regime_classifier_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _train(spark, sf_dir).withColumn("drp_high", qf.threshold_label("drp", 96.0))
-    d = tr.prepare(t, ft.FEATURES, "drp")
-    m = tr.regime_classifier("drp_high", "sample_weight", ITERATIONS).fit(d.where(F.col("split") == "train"))
-    return tr.prob_high(m.transform(d.where(F.col("split") == "test"))).select("sample_id", "drp_high", "p_high")
+    train, test = (d.withColumn("drp_high", qf.threshold_label("drp", 96.0)) for d in _split(spark, sf_dir))
+    fitted = bs.fit_batch(train.where(F.col("drp").isNotNull()), ft.FEATURES, [tr.regime_classifier("drp_high")], fold=None)
+    return bs.predict(test.where(F.col("drp").isNotNull()), fitted, ["sample_id", "drp_high"])
 
 
 def _base_oof(spark, sf_dir, target="ta") -> DataFrame:
-    """Three learners' weighted OOF predictions as columns (M9, M11) with the passthrough columns."""
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, target)
-    wide = d.select("sample_id", "fold", target, "sample_weight", *sk.PASSTHROUGH)
-    for name, o in tr.oof_many(d, tr.learner_family(target, "sample_weight", ITERATIONS), "fold").items():
-        wide = wide.join(o.select("sample_id", f"pred_{name}"), "sample_id")
-    return cut_lineage(wide)
+    """Three learners' weighted out-of-fold predictions as columns (M9, M11) with the passthrough columns."""
+    return cut_lineage(tr.oof_boosted(_train(spark, sf_dir), ft.FEATURES, target, "fold", carry=["sample_weight", *sk.PASSTHROUGH]))
 
 
-BASES = ["pred_gbt_deep", "pred_gbt_wide", "pred_gbt_plain"]
+BASES = [f"pred_{n}" for n in tr.FAMILY]
 META = [*BASES, *sk.PASSTHROUGH]
 
 
@@ -194,7 +186,7 @@ def stack_crossfit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_chain_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold chain predictions of the training rows and those of the rows held out."""
     train, test = _split(spark, sf_dir)
-    oof, scored = sk.target_chain(train, test, ft.FEATURES, "fold", iterations=ITERATIONS)
+    oof, scored = sk.target_chain(train, test, ft.FEATURES, "fold")
     cols = ["sample_id", "ta_pred", "ec_pred", "drp_pred"]
     return oof.select(*cols, F.lit("train").alias("split")).unionByName(scored.select(*cols, F.lit("test").alias("split")))
 
@@ -202,28 +194,27 @@ def target_chain_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("regime_blend")
 def regime_blend_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    oof, scored = sk.regime_blend(train, test, ft.FEATURES, "drp", 96.0, "fold", iterations=ITERATIONS,
-                                  classifier_iterations=ITERATIONS)
+    oof, scored = sk.regime_blend(train, test, ft.FEATURES, "drp", 96.0, "fold")
     cols = ["sample_id", "p_high", "prediction"]
     return oof.select(*cols, F.lit("train").alias("split")).unionByName(scored.select(*cols, F.lit("test").alias("split")))
 
 
 @query("param_search")
 def param_search_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tr.prepare(_train(spark, sf_dir), ft.FEATURES, "ta")
-    return tr.param_search(d, "ta", "fold", trials=TRIALS, iterations=(ITERATIONS // 2, ITERATIONS))
+    """30 trials x 3 learners x 3 targets."""
+    return tr.param_search(_train(spark, sf_dir), ft.FEATURES, ft.TARGETS, "fold")
 
 
 @query("final_refit_score")
 def final_refit_score_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    return sk.final_refit_score(train, test, ft.FEATURES, "ta", "fold", iterations=ITERATIONS)
+    return sk.final_refit_score(train, test, ft.FEATURES, "ta", "fold")
 
 
 @query("multi_target")
 def multi_target_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(spark, sf_dir)
-    return sk.multi_target(train, test, ft.FEATURES, ft.TARGETS, "fold", iterations=ITERATIONS)
+    return sk.multi_target(train, test, ft.FEATURES, ft.TARGETS, "fold")
 
 
 @query("spatial_vs_random_cv")

@@ -118,9 +118,12 @@ def _hist_sql(col: str, label: str, bins: int, log: bool) -> str:
     x = f"ln(1 + {col})" if log else col
     return f"""
 SELECT '{label}' AS variable, b.bin, round(mm.lo + b.bin * ((mm.hi - mm.lo) / {bins}), 6) AS lo,
-       round(mm.lo + (b.bin + 1) * ((mm.hi - mm.lo) / {bins}), 6) AS hi, coalesce(c.count, 0) AS count
+       round(mm.lo + (b.bin + 1) * ((mm.hi - mm.lo) / {bins}), 6) AS hi, coalesce(c.count, 0) AS count,
+       mm.n, round(mm.mean, 6) AS mean, round(mm.median, 6) AS median, round(mm.std, 6) AS std, round(mm.lo, 6) AS min,
+       round(mm.hi, 6) AS max
 FROM (SELECT CAST(i AS INT) AS bin FROM range(0, {bins}) t(i)) b
-CROSS JOIN (SELECT min({x}) AS lo, max({x}) AS hi FROM v_sample) mm
+CROSS JOIN (SELECT min({x}) AS lo, max({x}) AS hi, count({x}) AS n, avg({x}) AS mean, median({x}) AS median,
+                   stddev_samp({x}) AS std FROM v_sample) mm
 LEFT JOIN (SELECT CAST(least(floor(({x} - mm2.lo) / ((mm2.hi - mm2.lo) / {bins})), {bins - 1}) AS INT) AS bin,
                   count(*) AS count
            FROM v_sample, (SELECT min({x}) AS lo, max({x}) AS hi FROM v_sample) mm2 GROUP BY 1) c ON b.bin = c.bin"""
@@ -131,7 +134,8 @@ LEFT JOIN (SELECT CAST(least(floor(({x} - mm2.lo) / ((mm2.hi - mm2.lo) / {bins})
 def histogram_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.samples(spark, sf_dir)
     h = pf.histogram(s, "ta", 60).unionByName(pf.histogram(s, "drp", 50, log=True, label="drp_log1p"))
-    return h.select("variable", "bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "count")
+    return h.select("variable", "bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"), "count", "n",
+                    *[r6(F.col(c)).alias(c) for c in ("mean", "median", "std", "min", "max")])
 
 
 def _box_sql(col: str) -> str:

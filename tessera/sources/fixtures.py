@@ -175,6 +175,16 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene catalogue with extents: a rectangle around the site's location, of unequal sizes from 0.02 to 6 degrees."""
+    c = F.col("site_id")
+    lat = F.lit(-35.18) + (c * 37 % 1346) / F.lit(100.0)
+    lon = F.lit(14.97) + (c * 101 % 1782) / F.lit(100.0)
+    tall = F.when(c % 97 == 0, _dbl(F.lit(3))).otherwise((F.lit(1) + c * 13 % 30) / F.lit(100.0))
+    wide = F.when(c % 89 == 0, _dbl(F.lit(2))).otherwise((F.lit(1) + c * 17 % 25) / F.lit(100.0))
+    return scenes(spark, sf_dir).withColumns({"south": lat - tall, "north": lat + tall, "west": lon - wide, "east": lon + wide})
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction files of three runs for all three targets (long by run):
     the target times the run's scale plus a run-specific deterministic

@@ -1,13 +1,16 @@
 """Key joins, source coalescing, set operations and profiles."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import joins as jn
+from tessera.operators import metrics as me
 from tessera.operators import profile as pf
 from tessera.operators import projections as pj
+from tessera.operators import quantiles as qu
 from tessera.operators import setops as so
 
 
@@ -95,3 +98,82 @@ def test_drop_duplicate_columns_and_rename_pattern(spark):
     assert d.columns == ["k", "v"] and d.first().v == 2.0
     r = pj.rename_pattern(spark.createDataFrame([(1.0,)], "`Total Alkalinity (mg)` double"), ("total", "alkal"), "ta")
     assert r.columns == ["ta"]
+
+
+def test_complement_medians_equal_brute_force_without_copies(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 1, 2, 3, None]), rng.choice([None, float("nan"), float("inf"), 7.0, 7.0, rng.gauss(0, 9)]), rng.choice([1.0, 2.0, None]))
+            for _ in range(700)] + [(4, None, 5.0)]
+    df = spark.createDataFrame(rows, "fold int, x double, y double").repartition(6)
+    got = {(r["_held"], r["_col"]): r["median"] for r in qu.complement_medians(df, ["x", "y"], "fold", range(6)).collect()}
+    for f in range(6):
+        for i, c in ((1, "x"), (2, "y")):
+            v = sorted(r[i] for r in rows if r[0] not in (None, f) and r[i] is not None and r[i] == r[i])
+            assert got[f, c] == v[(len(v) - 1) // 2] / 2 + v[len(v) // 2] / 2
+    plan = qu.complement_medians(df, ["x", "y"], "fold", range(6))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    out = pf.fold_median_impute(df, ["x", "y"], "fold", range(5)).where("fold = 4").collect()
+    assert out[0].x == got[4, "x"] and out[0].y == 5.0
+
+
+def test_histogram_leaves_out_what_is_not_finite(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 4.0, float("nan"), float("inf"), float("-inf"), None)], "x double")
+    rows = pf.histogram(df, "x", bins=3).orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [1, 1, 1] and (rows[0].lo, rows[2].hi) == (1.0, 4.0)
+    r = rows[0]
+    assert (r.n, r["median"], r["min"], r["max"]) == (3, 2.0, 1.0, 4.0) and math.isclose(r["mean"], 7 / 3) and math.isclose(r["std"], 1.5275252316519468)
+    assert pf.histogram(df.where("isnan(x)"), "x").count() == 0
+    logs = pf.histogram(spark.createDataFrame([(0.0,), (-1.0,), (-5.0,), (3.0,)], "x double"), "x", bins=2, log=True).collect()
+    assert sum(r["count"] for r in logs) == 2 and logs[0].n == 2
+
+
+def test_one_hot_keeps_levels_whose_names_collide(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a_b"), (3, "a-b"), (4, "A b")], "id long, c string")
+    out = pj.one_hot(df, "c").orderBy("id").collect()
+    assert all(sum(v for k, v in r.asDict().items() if k != "id") == 1 for r in out) and len(out[0]) == 5
+    assert len({tuple(r)[1:] for r in out}) == 4
+    with pytest.raises(ValueError):
+        pj.one_hot(df.withColumn("c_a_b", F.lit(1)), "c")
+    with pytest.raises(ValueError):
+        pj.one_hot(df, "c", max_levels=3)
+
+
+def test_corr_matrix_of_hundreds_of_columns_equals_numpy(spark):
+    k = 439
+    df = spark.range(150).select("id", *[(F.rand(i) * 5 + (F.col("id") % 7 if i % 3 else F.lit(0)) + 1e6 * (i % 2)).alias(f"x{i}") for i in range(k)])
+    df = df.withColumns({f"x{i}": F.when(F.col("id") % (i + 3) > 0, F.col(f"x{i}")) for i in range(0, k, 5)}).withColumns(
+        {"x1": F.lit(3.0), "x2": F.when(F.col("id") == 5, 1.0), "x3": F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("x3"))})
+    df = spark.createDataFrame(df.toPandas()).repartition(5)
+    cols = [f"x{i}" for i in range(k)]
+    got = {(r.col_a, r.col_b): r["corr"] for r in pf.corr_matrix(df, cols).collect()}
+    assert len(got) == k * (k - 1) // 2
+    want = df.toPandas()[cols].astype(float)
+    rng = random.Random(1)
+    for a, b in [rng.sample(range(k), 2) for _ in range(300)] + [(1, 5), (2, 9), (3, 4), (0, 438)]:
+        a, b = sorted((a, b))
+        pair = want[[f"x{a}", f"x{b}"]].dropna()
+        if len(pair) < 2 or pair.iloc[:, 0].std() == 0 or pair.iloc[:, 1].std() == 0:
+            assert got[f"x{a}", f"x{b}"] is None
+        else:
+            assert abs(got[f"x{a}", f"x{b}"] - pair.corr().iloc[0, 1]) < 1e-7
+    few, many = (pf.corr_matrix(df, cols[:n])._jdf.queryExecution().executedPlan().toString().count("+- ") for n in (3, k))
+    assert many == few
+
+
+def test_candidate_distance_of_hundreds_of_runs(spark):
+    runs, targets = [f"r{i}" for i in range(300)], {"ta": 1.0, "drp": 2.0}
+    sub = spark.range(20 * 300).select((F.col("id") % 20).alias("sample_id"), F.concat(F.lit("r"), F.floor(F.col("id") / 20).cast("string")).alias("run"),
+                                       (F.rand(1) * 9).alias("ta"), F.when(F.col("id") % 11 > 0, F.rand(2)).alias("drp"))
+    sub = spark.createDataFrame(sub.toPandas()).union(sub.limit(0)).withColumn("drp", F.when(~F.isnan("drp"), F.col("drp")))
+    sub = sub.unionByName(sub.where("run = 'r7'").withColumn("run", F.lit("other")))
+    got = {(r.candidate, r.anchor): r for r in me.candidate_distance(sub, "run", runs, targets).collect()}
+    assert len(got) == 300 * 299
+    wide = sub.toPandas().pivot(index="sample_id", columns="run", values=list(targets))
+    for c, a in (("r0", "r1"), ("r299", "r5"), ("r17", "r16")):
+        d, most = 0.0, 0.0
+        for t, w in targets.items():
+            x, y = wide[t][c], wide[t][a]
+            s = y.std() + 1e-6
+            d += w * ((x - y).abs().mean() + 0.3 * abs(x.mean() - y.mean()) + 0.3 * abs(x.std() - y.std())) / s
+            most = max(most, (x - y).abs().max())
+        assert math.isclose(got[c, a].distance, d, rel_tol=1e-9) and math.isclose(got[c, a].max_abs_diff, most)
