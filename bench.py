@@ -59,9 +59,7 @@ def main() -> None:
     def grouped_gbt(d):
         from tessera.plans.q_models import spatial_folds
         t = ft.training_table(spark, d).join(spatial_folds(spark, d), "spatial_group", "left")
-        prepared = tr.prepare(t, ft.FEATURES, "ta")
-        learner = tr.learner_family("ta", iterations=10)["gbt_wide"]
-        run(tr.oof_predictions(prepared, learner, "fold"))
+        run(tr.oof_boosted(t, ft.FEATURES, "ta", "fold", iterations=10, learners=["gbt_wide"]))
 
     workloads = {
         "scene_nearest": (lambda d: run(q["flagship_ndvi_by_lat"](spark, d)), n_lineitem),
