@@ -1,34 +1,39 @@
 r"""Operator 9: near-duplicate classes by ProbMinHash, banding and verification.
 
 Shingles are `shingle` consecutive words `[^\x20\x09-\x0D]+`, unchanged (a
-text of fewer words, but not none, is one shingle). The similarity of two texts
-is the Jaccard similarity of their shingle sets, in every step: how often a
-shingle repeats in a text doesn't count, so all weights are equal.
+text of fewer words, but not none, is one shingle). A shingle weighs the times
+it occurs in the text. The similarity of two texts x and y is the probability
+Jaccard similarity of their weights, in every step: the sum over the shared
+shingles i of 1 / sum_j max(x_j / x_i, y_j / y_i). For shingles that occur once
+it is the Jaccard similarity of the sets.
 
 1. Signature. Each distinct shingle is a Poisson process whose rate is its
    weight; every arrival falls on one of `m` registers, and a register keeps
    its earliest arrival's shingle. A shingle's process ends as soon as its
    next arrival is later than the latest register of the text. Two texts agree
-   in a register with the probability Jaccard similarity of their weights,
-   which is the Jaccard similarity of the sets for equal weights.
+   in a register with the probability Jaccard similarity.
 2. Banding. `m / rows` bands of `rows` registers; texts that share a band key
-   are candidates. A bucket of up to `SMALL` texts gives all its pairs. A
-   larger one gives the pairs of each member with one hub; later rounds put
-   its members into buckets of two bands, and where these hold several classes
-   each member is compared with two hubs of other classes, until a round adds
-   no link. What these rounds leave is finished whole: in each large bucket that
-   still holds several classes, every two members of different classes are
-   compared, in cells of two blocks of up to `BLOCK` members. So pairs grow with
-   the members where a bucket becomes one class, and no pair that shares a band
-   key is left out where it doesn't.
+   are candidates. A bucket of up to `SMALL` texts gives all its pairs, a
+   larger one the pairs of each member with the bucket's hub.
 3. Verification. Candidates whose registers agree in less than `threshold`
    less MARGIN are far off (MARGIN is 4.9 standard deviations of the estimate
-   at 0.8 and 96 registers); the others are linked if the Jaccard similarity of
-   their shingle sets is `threshold` or more. So only near pairs carry their
-   shingles through a shuffle.
-4. Classes are the connected components of the links, found by min-label
-   stars with reliable checkpoints; no link list reaches the driver. The links
-   of a later round join the classes of the earlier ones.
+   at 0.8 and 96 registers); the others are linked if their similarity,
+   computed from the shingles, is `threshold` or more. Shingles are made for
+   texts with candidates only: a Bloom filter of bounded size tells their rows
+   while the texts are read, so texts are never shuffled.
+4. Large buckets whose members are still in several classes get two more
+   steps, each once. First, members meet in buckets of two bands, and those of
+   another class than a hub are compared with it. Then what is left is finished
+   exactly: members of different classes that share a shingle of their
+   prefixes. Shingles are ordered from rare to common; if s and t are the
+   weight shares of x and y from their first shared shingle on, the similarity
+   is at most 1 / (1/s + 1/t - 1). So a prefix ends where the rest can't reach
+   the threshold, and of two texts that first meet late in both no pair arises:
+   pages of one template meet in what is theirs, not in the template. No pair
+   of a large bucket that is alike is left out, and no bucket is compared whole.
+5. Classes are the connected components of the links, found by min-label
+   stars with reliable checkpoints; no link list reaches the driver. There are
+   three rounds of links, whatever the input.
 
 Equal texts are one node from the start, whatever their number.
 
@@ -51,12 +56,13 @@ from . import exchange as ex
 from . import textvec as tv
 
 SMALL = 8
-HUBS = 2
 STEPS = 3
-BLOCK = 1000
-DENSE = 24
 MARGIN = 0.2
 NODES_A_PARTITION = 20_000
+#: Bits of the Bloom filter of wanted rows (at most), and bits for each of them.
+BLOOM_BITS, BITS_A_ROW = 1 << 28, 16
+#: Counters of the table by whose counts shingles are ordered; any order is exact, a truer one leaves fewer pairs.
+COUNTERS = 1 << 20
 
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, m: int = 96, rows: int = 4) -> DataFrame:
@@ -65,12 +71,11 @@ def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, m: int =
     signed = cut_lineage(
         texts.mapInArrow(_signer(shingle, m, rows), "node binary, id long, sub long, bands array<long>, sketch binary")
         .groupBy("node").agg(F.min(F.struct("id", "sub")).alias("first"), F.first("bands").alias("bands"),
-                             F.first("sketch").alias("sketch")))
+                             F.first("sketch").alias("sketch")).withColumn("num", F.monotonically_increasing_id()))
     component = _components(signed, texts, shingle, threshold)
     member = (texts.select("node", "id", "sub")
-              .join(signed.select("node", "first"), "node")
-              .join(component, "node", "left")
-              .withColumn("comp", F.coalesce("comp", "node")))
+              .join(signed.select("node", "num", "first").join(component, "num", "left"), "node")
+              .withColumn("comp", F.coalesce("comp", "num")))
     whole = member.groupBy("comp").agg(F.min("first").alias("class"), F.count("*").alias("class_size"))
     return (member.join(whole, "comp")
             .select(_id("id").alias("doc_id"), _id("class.id").alias("class_id"), "class_size",
@@ -156,8 +161,8 @@ def _signer(size: int, m: int, rows: int):
             body = batch.column("body").to_pylist()
             out, sketch = [], []
             for a, b in tv.chunked([len(t) for t in body]):
-                doc, name, _ = shingles(tv.joined(body[a:b]), size)
-                sig = signatures(doc, name, np.ones(len(name)), b - a, m)
+                doc, name, count = shingles(tv.joined(body[a:b]), size)
+                sig = signatures(doc, name, count.astype(float), b - a, m)
                 sketch.extend(s.tobytes() for s in (sig >> np.uint64(56)).astype(np.uint8))
                 sig = sig.reshape(b - a, bands, rows)
                 key = np.broadcast_to(salt, (b - a, bands))
@@ -174,200 +179,175 @@ def _signer(size: int, m: int, rows: int):
 # -- candidates, links, classes -----------------------------------------------
 
 def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(node, comp) of the nodes that have a link."""
-    band = signed.select("node", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    """(num, comp) of the nodes that have a link."""
+    band = signed.select("num", F.explode("bands").alias("key"))
+    shared = band.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(num, xxhash64(num))").alias("hub")).filter("n > 1")
     bucket = cut_lineage(band.join(shared, "key"))
-    small = bucket.filter(F.col("n") <= SMALL).select("key", "node")
-    pair = (small.join(small.withColumnRenamed("node", "other"), "key").filter("node < other")
-            .select("node", "other"))
-    large = bucket.filter(F.col("n") > SMALL).select("key", "node")
-    hub = large.groupBy("key").agg(F.expr("min_by(node, xxhash64(node))").alias("hub"))
-    pair = cut_lineage(pair.unionByName(_ordered(large.join(hub, "key"))).distinct())
-    sets = _sets(bucket, signed, texts, size)
+    small = bucket.filter(F.col("n") <= SMALL).select("key", "num")
+    pair = (small.join(small.withColumnRenamed("num", "other"), "key").filter("num < other").select("num", "other"))
+    large = bucket.filter(F.col("n") > SMALL).select("key", "num", "hub")
+    pair = cut_lineage(pair.unionByName(_ordered(large.select("num", F.col("hub").alias("other")))).distinct())
+    sets = _sets(bucket.select("num").distinct().join(signed.select("num", "node", "first", "sketch"), "num"), texts, size)
     # what follows is about the nodes in shared buckets alone: its partitions are sized by their number
     parts = max(4, sets.count() // NODES_A_PARTITION)
-    links = cut_lineage(_verified(pair, sets, threshold, parts))
-    component = label = _connected(links, parts)
-    edges = component.filter("node <> comp").select("node", F.col("comp").alias("other"))
-    bands = cut_lineage(large.select("node").distinct().join(signed.select("node", "bands", "sketch"), "node")
-                        .coalesce(parts))
-    width = F.size("bands")
-    turn, added, grown = 0, not bands.isEmpty(), False
-    while added:
-        turn += 1
-        # buckets of two bands: their members are likelier to be alike than those of one band
-        fine = F.concat(*(F.transform("bands", lambda x, i: F.xxhash64(i, x, F.lit(step), F.get("bands", (i + step) % width)))
-                          for step in range(STEPS * (turn - 1) + 1, STEPS * turn + 1)))
-        member = (bands.join(label, "node", "left").coalesce(parts)
-                 .select("node", F.coalesce("comp", "node").alias("comp"), "sketch", F.explode(fine).alias("key")))
-        hubs = [F.expr(f"min_by(struct(node, comp, sketch), xxhash64(node, key, {h}))") for h in range(HUBS)]
-        split = (member.groupBy("key")
-                 .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*hubs).alias("hubs"))
-                 .filter("low <> high").select("key", "hubs").coalesce(parts))
-        near = (member.join(split, "key").coalesce(parts).select("node", "comp", "sketch", "hubs")
-                .mapInArrow(_near_hubs(threshold), "node binary, other binary").distinct().coalesce(parts))
-        more = cut_lineage(near.join(pair, ["node", "other"], "left_anti").coalesce(parts))
-        links = cut_lineage(_filtered(more, sets, "names", _alike(threshold), parts))
-        pair, added = pair.unionByName(more), not links.isEmpty()
-        if added:
-            label, edges, grown = _relabelled(label, links, parts), edges.unionByName(links), True
-    links = _rest(large, bands, label, sets, threshold, parts) if turn else None
-    if links is not None and not links.isEmpty():
-        edges, grown = edges.unionByName(links), True
-    return _connected(edges, parts) if grown else component
-
-
-def _rest(large: DataFrame, bands: DataFrame, label: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame | None:
-    """Links between the classes that meet in a large bucket, from all pairs of its members; None if none meet."""
-    member = (large.join(label, "node", "left").coalesce(parts)
-              .select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    open_ = cut_lineage(member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
-                        .filter("low <> high").select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")).coalesce(parts))
-    work = open_.agg(F.sum(F.expr("blocks * (blocks + 1) / 2"))).first()[0]
-    if not work:
-        return None
-    wide = max(parts, int(work) // 64)
-    # a cell is two blocks of a bucket, or one with itself; a member goes to each cell of its block
-    block = F.expr("pmod(xxhash64(node, key), blocks)")
-    cell = (member.join(open_, "key").withColumn("block", block)
-            .withColumn("beside", F.explode(F.expr("sequence(0L, blocks - 1)")))
-            .select("key", F.least("block", "beside").alias("a"), F.greatest("block", "beside").alias("b"),
-                    "node", "comp", "block"))
-    kind = "key long, a long, b long, node binary, comp binary, block long"
-    near = cut_lineage(cell.join(bands.select("node", "sketch"), "node").groupBy("key", "a", "b")
-                       .applyInArrow(_cell_members(threshold), kind).coalesce(wide))
-    return cut_lineage(near.join(sets.select("node", "names"), "node").groupBy("key", "a", "b")
-                       .applyInArrow(_cell_links(threshold), "node binary, other binary").coalesce(wide)
-                       .distinct().coalesce(parts))
+    links = cut_lineage(_verified(pair, sets, threshold))
+    label = _connected(links, parts)
+    for candidates in (_finer, _prefix_pairs):
+        member = _open_members(large, label)
+        if member is None:
+            break
+        more = candidates(member, signed, sets, threshold)
+        more = cut_lineage(more.distinct().join(pair, ["num", "other"], "left_anti"))
+        links = cut_lineage(_verified(more, sets, threshold))
+        pair = pair.unionByName(more)
+        if not links.isEmpty():
+            label = _connected(label.filter("num <> comp").select("num", F.col("comp").alias("other")).unionByName(links), parts)
+    return label
 
 
-def _numbered(values: list[bytes]) -> np.ndarray:
-    number: dict[bytes, int] = {}
-    return np.array([number.setdefault(v, len(number)) for v in values], np.int64)
+def _open_members(large: DataFrame, label: DataFrame) -> DataFrame | None:
+    """(num, comp) of the members of large buckets that hold several classes; None if there are none."""
+    member = large.join(label, "num", "left").select("key", "num", F.coalesce("comp", "num").alias("comp"))
+    several = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    found = cut_lineage(member.join(several, "key").select("num", "comp").distinct())
+    return None if found.isEmpty() else found
 
 
-def _apart(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Class number of each member of a cell, and which pairs the cell compares."""
-    comp, block = _numbered(table.column("comp").to_pylist()), table.column("block").to_numpy()
-    apart = comp[:, None] != comp
-    if table.column("a")[0].as_py() != table.column("b")[0].as_py():
-        apart &= block[:, None] != block
-    return comp, apart
+def _ordered(pair: DataFrame) -> DataFrame:
+    return pair.filter("num <> other").select(F.least("num", "other").alias("num"), F.greatest("num", "other").alias("other"))
 
 
-def _cell_members(threshold: float):
-    """Members of a cell whose registers agree with those of a member of another class."""
-    def run(table: pa.Table) -> pa.Table:
-        _, apart = _apart(table)
-        sketch = np.stack([np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()])
-        agree = np.zeros(apart.shape, np.int16)
-        for register in sketch.T:
-            agree += register[:, None] == register
-        near = (apart & (agree >= (threshold - MARGIN) * sketch.shape[1])).any(axis=1)
-        return table.select(["key", "a", "b", "node", "comp", "block"]).filter(pa.array(near))
-    return run
+def _finer(member: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in buckets of two bands, whose members are likelier to be alike than those of one band: each member with
+    a hub of the least and one of the greatest class, if that isn't its own."""
+    width = F.size("bands")
+    fine = F.concat(*(F.transform("bands", lambda x, i: F.xxhash64(i, x, F.lit(step), F.get("bands", (i + step) % width)))
+                      for step in range(1, STEPS + 1)))
+    keyed = member.join(signed.select("num", "bands"), "num").select("num", "comp", F.explode(fine).alias("key"))
+    hubs = keyed.groupBy("key").agg(F.expr("min(struct(comp, xxhash64(num) AS h, num))").alias("low"),
+                                    F.expr("max(struct(comp, xxhash64(num) AS h, num))").alias("high")).filter("low.comp <> high.comp")
+    met = keyed.join(hubs, "key").select("num", "comp", F.explode(F.array("low", "high")).alias("hub"))
+    return _ordered(met.filter("comp <> hub.comp").select("num", F.col("hub.num").alias("other")))
+
+
+def _prefix_pairs(member: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different classes that share a shingle of their prefixes early enough to reach the threshold."""
+    spark = member.sparkSession
+    held = cut_lineage(member.join(sets.select("num", "names", "counts"), "num"))
+    table = spark.sparkContext.broadcast(_frequencies(held))
+    token = held.mapInArrow(_prefixes(table, threshold), "token long, num long, comp long, early boolean")
+    mine = token.filter("early").select("token", "num", "comp")
+    theirs = token.select("token", F.col("num").alias("other"), F.col("comp").alias("class"), F.col("early").alias("both"))
+    met = mine.join(theirs, "token").filter("comp <> class AND (NOT both OR num < other)")
+    return _ordered(met.select("num", "other"))
+
+
+def _frequencies(held: DataFrame) -> np.ndarray:
+    """Counts of shingles by their names modulo COUNTERS, added up in tasks and by slice of the table."""
+    slices = 16
 
+    def run(batches):
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for names in batch.column("names").to_pylist():
+                found += np.bincount(np.frombuffer(names, np.uint32) % COUNTERS, minlength=COUNTERS)
+        for i, part in enumerate(found.reshape(slices, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("data").to_pylist())
+        return pa.table({"slice": table.column("slice").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+    out = np.zeros((slices, COUNTERS // slices), np.int64)
+    for r in held.select("names").mapInArrow(run, "slice int, data binary").groupBy("slice").applyInArrow(add, "slice int, data binary").collect():
+        out[r["slice"]] = np.frombuffer(r["data"], np.int64)
+    return out.ravel()
+
+
+def _prefixes(table, threshold: float):
+    """Shingles of each text's prefix, from rare to common; early: two such texts may be alike if they meet there.
+
+    From a shingle on with a share s of the weight, the similarity is at most
+    1 / (1/s + 1/t - 1) for the other's share t: s is `threshold` or more for
+    any pair, and in one of the two texts 2 * threshold / (1 + threshold).
+    """
+    least, half = threshold - 1e-9, 2 * threshold / (1 + threshold) - 1e-9
 
-def _overlaps(names: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every two sets, where row < column."""
-    m = len(names)
-    owner = np.repeat(np.arange(m), [len(x) for x in names])
-    _, column, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    both = np.zeros((m, m), np.float32)
-    # names of many sets by matrix products, those of a few by their pairs
-    number = np.cumsum(count > DENSE) - 1
-    many = count[column] > DENSE
-    o, c = owner[many], number[column[many]]
-    order = np.argsort(c, kind="stable")
-    o, c = o[order], c[order]
-    for start in range(0, int((count > DENSE).sum()), 1024):
-        x, y = np.searchsorted(c, (start, start + 1024))
-        held = np.zeros((m, 1024), np.float32)
-        held[o[x:y], c[x:y] - start] = 1
-        both += held @ held.T
-    few = (count[column] > 1) & ~many
-    o, c = owner[few], column[few]
-    order = np.argsort(c, kind="stable")
-    o, c = o[order], c[order]
-    for step in range(1, DENSE):
-        at = np.flatnonzero(c[step:] == c[:-step])
-        if not len(at):
-            break
-        both += np.bincount(o[at] * m + o[at + step], minlength=m * m).reshape(m, m)
-    return both
-
-
-def _cell_links(threshold: float):
-    """Pairs of a cell at the threshold, as many as it takes to join their classes."""
-    def run(table: pa.Table) -> pa.Table:
-        comp, apart = _apart(table)
-        names = [np.frombuffer(x, np.uint32) for x in table.column("names").to_pylist()]
-        size = np.array([len(x) for x in names])
-        both = _overlaps(names)
-        i, j = np.nonzero(np.triu(apart & (both > 0), 1))
-        hit = both[i, j] >= threshold * (size[i] + size[j] - both[i, j].astype(np.int64)) - 1e-9
-        i, j = i[hit], j[hit]
-        pair = np.minimum(comp[i], comp[j]) * len(comp) + np.maximum(comp[i], comp[j])
-        one = np.unique(pair, return_index=True)[1]
-        parent, found, node = list(range(len(comp))), [], table.column("node").to_pylist()
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-        for x, y in zip(i[one].tolist(), j[one].tolist()):
-            p, q = root(comp[x]), root(comp[y])
-            if p != q:
-                parent[p] = q
-                found.append((min(node[x], node[y]), max(node[x], node[y])))
-        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["node", "other"])
+    def run(batches):
+        frequency = table.value
+        for batch in batches:
+            out = []
+            for num, comp, names, counts in zip(*(batch.column(c).to_pylist() for c in ("num", "comp", "names", "counts"))):
+                name, count = np.frombuffer(names, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)
+                order = np.lexsort((name, frequency[name % COUNTERS]))
+                rest = (count.sum() - np.cumsum(count[order]) + count[order]) / max(1, count.sum())
+                take = rest >= least
+                out.append((name[order][take].astype(np.int64), np.full(take.sum(), num), np.full(take.sum(), comp), rest[take] >= half))
+            if out:
+                token, num, comp, early = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"token": token, "num": num, "comp": comp, "early": early})
     return run
 
 
-def _relabelled(component: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """Labels for the next round: each class takes the least label that a new link leads to.
-
-    One hop: it only spares the next round pairs within a class. The classes
-    themselves come from all links at the end.
-    """
-    ends = links
-    for end in ("node", "other"):
-        of = component.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
-        ends = (ends.join(of, end, "left").coalesce(parts)
-                .withColumn(end, F.coalesce(f"{end}_comp", end)).drop(f"{end}_comp"))
-    ends = ends.filter("node <> other")
-    moved = (ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other")))
-             .groupBy("node").agg(F.min("other").alias("comp")).select("node", F.least("node", "comp").alias("comp"))
-             .coalesce(parts))
-    now = component.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("now")), "comp", "left").select(
-        "node", F.coalesce("now", "comp").alias("comp"))
-    fresh = moved.join(component, "node", "left_anti")
-    return cut_lineage(now.coalesce(parts).unionByName(fresh.coalesce(parts)))
+def _sets(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """num, sketch, names, counts of each node in a shared bucket: made where its first text is read."""
+    wanted = cut_lineage(wanted.select("num", "node", "sketch", F.xxhash64("first.id", "first.sub").alias("row")))
+    bloom = wanted.sparkSession.sparkContext.broadcast(_bloom(wanted))
 
-
-def _ordered(pair: DataFrame) -> DataFrame:
-    return pair.filter("node <> hub").select(F.least("node", "hub").alias("node"),
-                                             F.greatest("node", "hub").alias("other"))
+    def run(batches):
+        for batch in batches:
+            hit = _in_bloom(bloom.value, batch.column("row").to_numpy())
+            batch = batch.filter(pa.array(hit))
+            body, names, counts = batch.column("body").to_pylist(), [], []
+            for a, b in tv.chunked([len(t) for t in body]):
+                doc, name, count = shingles(tv.joined(body[a:b]), size)
+                # 32 bits tell the shingles of two texts apart; the order of the names stays
+                cut = np.searchsorted(doc, np.arange(1, b - a))
+                for n, c in zip(np.split((name >> np.uint64(32)).astype(np.uint32), cut), np.split(count.astype(np.uint32), cut)):
+                    new = np.append(True, n[1:] != n[:-1])[:len(n)]
+                    names.append(n[new].tobytes())
+                    counts.append(np.add.reduceat(c, np.flatnonzero(new)).astype(np.uint32).tobytes() if len(n) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(names, pa.binary()), pa.array(counts, pa.binary())],
+                                             names=["node", "names", "counts"])
+    made = texts.select("node", F.xxhash64("id", "sub").alias("row"), "body").mapInArrow(run, "node binary, names binary, counts binary")
+    return cut_lineage(made.join(wanted.select("node", "num", "sketch"), "node").dropDuplicates(["num"]).select("num", "sketch", "names", "counts"))
 
 
-def _sets(bucket: DataFrame, signed: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(node, shingle names) of each text in a shared bucket, once per node."""
-    wanted = (bucket.select("node").distinct().join(signed.select("node", "first", "sketch"), "node")
-              .select("node", "first.id", "first.sub", "sketch"))
-    one = texts.join(wanted, ["node", "id", "sub"]).select("node", "sketch", "body")
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """Bits of the wanted rows, packed. Beyond BLOOM_BITS it lets more rows pass, which the join drops."""
+    number = wanted.count()
+    bits = 1 << max(16, min(BLOOM_BITS, number * BITS_A_ROW).bit_length())
 
     def run(batches):
+        found = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            body, out = batch.column("body").to_pylist(), []
-            for a, b in tv.chunked([len(t) for t in body]):
-                doc, name, _ = shingles(tv.joined(body[a:b]), size)
-                # 32 bits tell the shingles of two texts apart; sorted again for the intersection
-                cut = np.searchsorted(doc, np.arange(1, b - a))
-                out.extend(np.unique((p >> np.uint64(32)).astype(np.uint32)).tobytes() for p in np.split(name, cut))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("sketch"), pa.array(out, pa.binary())],
-                                             names=["node", "sketch", "names"])
-    return cut_lineage(one.mapInArrow(run, "node binary, sketch binary, names binary").dropDuplicates(["node"]))
+            for at in _bloom_places(batch.column("row").to_numpy(), bits):
+                np.bitwise_or.at(found, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        for i, part in enumerate(found.reshape(16, -1)):
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "data": pa.array([part.tobytes()], pa.binary())})
+
+    def both(table: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("data").to_pylist()])
+        return pa.table({"slice": table.column("slice").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+    rows = wanted.select("row").mapInArrow(run, "slice int, data binary").groupBy("slice").applyInArrow(both, "slice int, data binary").collect()
+    out = np.zeros((16, bits // 128), np.uint8)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(r["data"], np.uint8)
+    return out.ravel()
+
+
+def _bloom_places(row: np.ndarray, bits: int):
+    name = row.view(np.uint64)
+    for k in range(3):
+        name = tv.mix(name + np.uint64(0x9E3779B97F4A7C15))
+        yield (name % np.uint64(bits)).astype(np.int64)
+
+
+def _in_bloom(packed: np.ndarray, row: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(row), bool)
+    for at in _bloom_places(row, len(packed) * 8):
+        hit &= (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def _agree(threshold: float):
@@ -377,54 +357,57 @@ def _agree(threshold: float):
     return test
 
 
-def _alike(threshold: float):
-    """Whether the Jaccard similarity of two sorted shingle sets is at the threshold."""
-    def test(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        if min(len(a), len(b)) < threshold * max(len(a), len(b)):
-            return False
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= threshold * (len(a) + len(b) - both) - 1e-9
-    return test
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """Of sorted names a and b with weights x and y."""
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    x, y = x.astype(float), y.astype(float)
+    ratio = np.concatenate((x[i] / y[j], np.full(len(a) - len(i), np.inf), np.zeros(len(b) - len(j))))
+    own = np.concatenate((x[i], np.delete(x, i), np.zeros(len(b) - len(j))))
+    other = np.concatenate((y[j], np.zeros(len(a) - len(i)), np.delete(y, j)))
+    # a term's maximum is x's share where the ratio x / y is at least its own, else y's
+    order = np.argsort(ratio, kind="stable")
+    above = np.append(np.cumsum(own[order][::-1])[::-1], 0.0)
+    below = np.append(0.0, np.cumsum(other[order]))
+    at = np.searchsorted(ratio[order], ratio[:len(i)], side="left")
+    return float((1.0 / (above[at] / x[i] + below[at] / y[j])).sum())
 
 
-def _verified(pair: DataFrame, sets: DataFrame, threshold: float, parts: int) -> DataFrame:
-    return _filtered(_filtered(pair, sets, "sketch", _agree(threshold), parts), sets, "names", _alike(threshold), parts)
-
+def _alike(threshold: float):
+    """Whether the similarity of two texts, given as names and counts, is at the threshold."""
+    def test(x, y) -> bool:
+        a, p, b, q = (np.frombuffer(v, np.uint32) for v in (x["names"], x["counts"], y["names"], y["counts"]))
+        if (len(p) and p.max() == 1) and (len(q) and q.max() == 1):  # sets
+            if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+                return False
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= threshold * (len(a) + len(b) - both) - 1e-9
+        return probability_jaccard(a, p, b, q) >= threshold - 1e-9
+    return test
 
-def _near_hubs(threshold: float):
-    """Pairs of a bucket's members with its hubs of other classes whose registers agree."""
-    test = _agree(threshold)
 
-    def run(batches):
-        for batch in batches:
-            found = set()
-            for node, comp, sketch, hubs in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "sketch", "hubs"))):
-                for hub in hubs:
-                    if hub["comp"] != comp and test(sketch, hub["sketch"]):
-                        found.add((min(node, hub["node"]), max(node, hub["node"])))
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)],
-                                             names=["node", "other"])
-    return run
+def _verified(pair: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    near = _filtered(pair, sets.select("num", "sketch"), "sketch", _agree(threshold))
+    return _filtered(near, sets.select("num", F.struct("names", "counts").alias("shingles")), "shingles", _alike(threshold))
 
 
-def _filtered(pair: DataFrame, sets: DataFrame, column: str, test, parts: int) -> DataFrame:
+def _filtered(pair: DataFrame, values: DataFrame, column: str, test) -> DataFrame:
     """Pairs whose two values of `column` pass the test."""
     def run(batches):
         for batch in batches:
             keep = [test(x, y) for x, y in zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("other")], names=["node", "other"]).filter(pa.array(keep, pa.bool_()))
-    mine = sets.select("node", F.col(column).alias("mine"))
-    theirs = sets.select(F.col("node").alias("other"), F.col(column).alias("theirs"))
-    return (pair.join(mine, "node").coalesce(parts).join(theirs, "other").coalesce(parts)
-            .select("node", "other", "mine", "theirs").mapInArrow(run, "node binary, other binary"))
+                [batch.column("num"), batch.column("other")], names=["num", "other"]).filter(pa.array(keep, pa.bool_()))
+    mine = values.select("num", F.col(column).alias("mine"))
+    theirs = values.select(F.col("num").alias("other"), F.col(column).alias("theirs"))
+    return (pair.join(mine, "num").join(theirs, "other")
+            .select("num", "other", "mine", "theirs").mapInArrow(run, "num long, other long"))
 
 
 def _connected(links: DataFrame, parts: int) -> DataFrame:
-    """(node, comp): min-label stars. Each turn hangs every neighbour on the least label seen, until nothing moves."""
-    edge, state = links.select(F.col("node").alias("a"), F.col("other").alias("b")), None
+    """(num, comp): min-label stars. Each turn hangs every neighbour on the least label seen, until nothing moves."""
+    edge, state = links.select(F.col("num").alias("a"), F.col("other").alias("b")), None
     while True:
         both = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).coalesce(parts)
@@ -438,6 +421,6 @@ def _connected(links: DataFrame, parts: int) -> DataFrame:
         state = tuple(edge.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == last:
             break
-    member = edge.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return cut_lineage(member.unionByName(edge.select(F.col("b").alias("node"), F.col("b").alias("comp")))
+    member = edge.select(F.col("a").alias("num"), F.col("b").alias("comp"))
+    return cut_lineage(member.unionByName(edge.select(F.col("b").alias("num"), F.col("b").alias("comp")))
                        .distinct().coalesce(parts))

@@ -47,22 +47,32 @@ def suffix_dedup(rows, length=400):
     return out
 
 
+def probability_jaccard(x, y):
+    """Of two Counters."""
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+
+
 def near_classes(rows, k=5, threshold=0.8):
     sets = {}
     for d, t in rows:
         w = space_words(t)
-        sets[d] = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+        sets[d] = Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) or Counter([tuple(w)] if w else [])
     text, parent = dict(rows), {d: d for d in sets}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
+
+    def alike(x, y):
+        both, once = len(x.keys() & y.keys()), max([*x.values(), *y.values()], default=1) == 1
+        if once or not both:
+            return both and both >= threshold * (len(x) + len(y) - both)
+        return probability_jaccard(x, y) >= threshold - 1e-9
     ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            both = len(sets[a] & sets[b])
-            if (text[a] or "") == (text[b] or "") or both and both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+            if (text[a] or "") == (text[b] or "") or alike(sets[a], sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}

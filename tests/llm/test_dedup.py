@@ -2,6 +2,7 @@
 
 import random
 import string
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,22 +158,36 @@ def test_pages_of_a_template_have_all_their_near_pairs(make_docs):
     assert {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()} == want
 
 
-def test_texts_that_differ_in_repeat_counts_are_near(make_docs):
+def test_repeat_counts_weigh(make_docs):
     rng, texts = random.Random(4), []
-    for times in (50, 200, 1000, 1000, 1000):
+    for times in (2, 3, 4, 50, 1000):
         menu, rest = rng.sample(VOCAB, 20), rng.sample(VOCAB, 80)
         texts += [" ".join(menu * n + rest) for n in (2, times)]
+    for n in (40, 41, 44):      # menus that repeat nearly alike
+        texts.append(" ".join(VOCAB[:20] * n + VOCAB[100:180]))
     want = brute.near_classes(list(enumerate(texts)))
-    assert len(set(want.values())) == 5
+    assert 5 < len(set(want.values())) < len(texts)
     assert {r.doc_id: r.class_id for r in near_dedup.classes(make_docs(texts)).collect()} == want
 
 
-def test_overlaps_of_sets():
+def test_probability_jaccard_of_counts():
     import numpy as np
-    rng = np.random.default_rng(2)
-    names = [np.unique(rng.integers(0, top, 60).astype(np.uint32)) for top in rng.choice([70, 300, 5000], 50)]
-    both = near_dedup._overlaps(names)
-    assert all(both[i, j] == len(np.intersect1d(names[i], names[j])) for j in range(50) for i in range(j))
+    rng = random.Random(6)
+    for _ in range(200):
+        x = Counter({i: rng.randrange(1, 9) for i in rng.sample(range(40), rng.randrange(1, 30))})
+        y = Counter({i: rng.choice([x[i] or 1, rng.randrange(1, 9)]) for i in rng.sample(range(40), rng.randrange(1, 30))})
+        a, b = (np.array(sorted(c), np.uint32) for c in (x, y))
+        got = near_dedup.probability_jaccard(a, np.array([x[i] for i in sorted(x)]), b, np.array([y[i] for i in sorted(y)]))
+        assert abs(got - brute.probability_jaccard(x, y)) < 1e-12
+        s, t = sum(x[i] for i in x if i in y) / sum(x.values()), sum(y[i] for i in y if i in x) / sum(y.values())
+        assert not s or got <= 1 / (1 / s + 1 / t - 1) + 1e-12      # the bound that prefixes rely on
+
+
+def test_prefix_pairs_find_what_hubs_miss(make_docs, monkeypatch):
+    """Without finer buckets the last step alone must find the near pairs of template pages."""
+    monkeypatch.setattr(near_dedup, "_finer", lambda member, signed, sets, threshold: near_dedup._ordered(
+        member.select("num", F.col("num").alias("other"))))
+    test_pages_of_a_template_have_all_their_near_pairs(make_docs)
 
 
 def test_keep_one_keeps_columns_and_one_row_each(make_docs, clashing, corpus):
