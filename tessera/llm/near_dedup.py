@@ -14,26 +14,27 @@ it is the Jaccard similarity of the sets.
    in a register with the probability Jaccard similarity.
 2. Banding. `m / rows` bands of `rows` registers; texts that share a band key
    are candidates. A bucket of up to `SMALL` texts gives all its pairs, a
-   larger one the pairs of each member with the bucket's hub.
+   larger one the pairs of each member with the bucket's hub: the member that has
+   most texts beside it in all its buckets, which is the likeliest to be near
+   the others.
 3. Verification. Candidates whose registers agree in less than `threshold`
    less MARGIN are far off (MARGIN is 4.9 standard deviations of the estimate
    at 0.8 and 96 registers); the others are linked if their similarity,
    computed from the shingles, is `threshold` or more. Shingles are made for
    texts with candidates only: a Bloom filter of bounded size tells their rows
    while the texts are read, so texts are never shuffled.
-4. Large buckets whose members are still in several classes get two more
-   steps, each once. First, members meet in buckets of two bands, and those of
-   another class than a hub are compared with it. Then what is left is finished
-   exactly: members of different classes that share a shingle of their
-   prefixes. Shingles are ordered from rare to common; if s and t are the
-   weight shares of x and y from their first shared shingle on, the similarity
-   is at most 1 / (1/s + 1/t - 1). So a prefix ends where the rest can't reach
-   the threshold, and of two texts that first meet late in both no pair arises:
-   pages of one template meet in what is theirs, not in the template. No pair
-   of a large bucket that is alike is left out, and no bucket is compared whole.
+4. Large buckets whose members are still in several classes are finished
+   exactly: members of different classes are compared if they share a shingle
+   of their prefixes. Shingles are ordered from rare to common; if s and t are
+   the weight shares of x and y from their first shared shingle on, the
+   similarity is at most 1 / (1/s + 1/t - 1). So a prefix ends where the rest
+   can't reach the threshold, and of two texts that first meet late no pair
+   arises: pages of one template meet in what is theirs, not in the template.
+   No pair of a large bucket that is alike is left out, and no bucket is
+   compared whole.
 5. Classes are the connected components of the links, found by min-label
    stars with reliable checkpoints; no link list reaches the driver. There are
-   three rounds of links, whatever the input.
+   two rounds of links, whatever the input.
 
 Equal texts are one node from the start, whatever their number.
 
@@ -56,7 +57,6 @@ from . import exchange as ex
 from . import textvec as tv
 
 SMALL = 8
-STEPS = 3
 MARGIN = 0.2
 NODES_A_PARTITION = 20_000
 #: Bits of the Bloom filter of wanted rows (at most), and bits for each of them.
@@ -181,28 +181,28 @@ def _signer(size: int, m: int, rows: int):
 def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
     """(num, comp) of the nodes that have a link."""
     band = signed.select("num", F.explode("bands").alias("key"))
-    shared = band.groupBy("key").agg(F.count("*").alias("n"), F.expr("min_by(num, xxhash64(num))").alias("hub")).filter("n > 1")
+    shared = band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     bucket = cut_lineage(band.join(shared, "key"))
+    # the texts that most others are near to lie in the largest buckets: those are the hubs
+    central = cut_lineage(bucket.groupBy("num").agg(F.struct(F.sum("n").alias("beside"), F.xxhash64("num").alias("h")).alias("central")))
     small = bucket.filter(F.col("n") <= SMALL).select("key", "num")
     pair = (small.join(small.withColumnRenamed("num", "other"), "key").filter("num < other").select("num", "other"))
-    large = bucket.filter(F.col("n") > SMALL).select("key", "num", "hub")
-    pair = cut_lineage(pair.unionByName(_ordered(large.select("num", F.col("hub").alias("other")))).distinct())
+    large = cut_lineage(bucket.filter(F.col("n") > SMALL).select("key", "num").join(central, "num"))
+    hub = large.groupBy("key").agg(F.max_by("num", "central").alias("other"))
+    pair = cut_lineage(pair.unionByName(_ordered(large.join(hub, "key").select("num", "other"))).distinct())
     sets = _sets(bucket.select("num").distinct().join(signed.select("num", "node", "first", "sketch"), "num"), texts, size)
     # what follows is about the nodes in shared buckets alone: its partitions are sized by their number
     parts = max(4, sets.count() // NODES_A_PARTITION)
     links = cut_lineage(_verified(pair, sets, threshold))
     label = _connected(links, parts)
-    for candidates in (_finer, _prefix_pairs):
-        member = _open_members(large, label)
-        if member is None:
-            break
-        more = candidates(member, signed, sets, threshold)
-        more = cut_lineage(more.distinct().join(pair, ["num", "other"], "left_anti"))
-        links = cut_lineage(_verified(more, sets, threshold))
-        pair = pair.unionByName(more)
-        if not links.isEmpty():
-            label = _connected(label.filter("num <> comp").select("num", F.col("comp").alias("other")).unionByName(links), parts)
-    return label
+    member = _open_members(large, label)
+    if member is None:
+        return label
+    more = _prefix_pairs(member, sets, threshold).distinct().join(pair, ["num", "other"], "left_anti")
+    links = cut_lineage(_verified(cut_lineage(more), sets, threshold))
+    if links.isEmpty():
+        return label
+    return _connected(label.filter("num <> comp").select("num", F.col("comp").alias("other")).unionByName(links), parts)
 
 
 def _open_members(large: DataFrame, label: DataFrame) -> DataFrame | None:
@@ -217,29 +217,19 @@ def _ordered(pair: DataFrame) -> DataFrame:
     return pair.filter("num <> other").select(F.least("num", "other").alias("num"), F.greatest("num", "other").alias("other"))
 
 
-def _finer(member: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs in buckets of two bands, whose members are likelier to be alike than those of one band: each member with
-    a hub of the least and one of the greatest class, if that isn't its own."""
-    width = F.size("bands")
-    fine = F.concat(*(F.transform("bands", lambda x, i: F.xxhash64(i, x, F.lit(step), F.get("bands", (i + step) % width)))
-                      for step in range(1, STEPS + 1)))
-    keyed = member.join(signed.select("num", "bands"), "num").select("num", "comp", F.explode(fine).alias("key"))
-    hubs = keyed.groupBy("key").agg(F.expr("min(struct(comp, xxhash64(num) AS h, num))").alias("low"),
-                                    F.expr("max(struct(comp, xxhash64(num) AS h, num))").alias("high")).filter("low.comp <> high.comp")
-    met = keyed.join(hubs, "key").select("num", "comp", F.explode(F.array("low", "high")).alias("hub"))
-    return _ordered(met.filter("comp <> hub.comp").select("num", F.col("hub.num").alias("other")))
-
-
-def _prefix_pairs(member: DataFrame, signed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different classes that share a shingle of their prefixes early enough to reach the threshold."""
     spark = member.sparkSession
     held = cut_lineage(member.join(sets.select("num", "names", "counts"), "num"))
     table = spark.sparkContext.broadcast(_frequencies(held))
-    token = held.mapInArrow(_prefixes(table, threshold), "token long, num long, comp long, early boolean")
-    mine = token.filter("early").select("token", "num", "comp")
-    theirs = token.select("token", F.col("num").alias("other"), F.col("comp").alias("class"), F.col("early").alias("both"))
-    met = mine.join(theirs, "token").filter("comp <> class AND (NOT both OR num < other)")
-    return _ordered(met.select("num", "other"))
+    token = held.mapInArrow(_prefixes(table, threshold), "token long, num long, comp long, rest double")
+    other = token.select("token", *(F.col(c).alias(f"other_{c}") for c in ("num", "comp", "rest")))
+    # the text with the larger share is on the left; there its share is past the half-way bound
+    mine = token.filter(F.col("rest") >= 2 * threshold / (1 + threshold) - 1e-9)
+    met = mine.join(other, "token").filter(
+        (F.col("comp") != F.col("other_comp")) & ((F.col("rest") > F.col("other_rest")) | ((F.col("rest") == F.col("other_rest")) & (F.col("num") < F.col("other_num"))))
+        & (1 / F.col("rest") + 1 / F.col("other_rest") <= 1 + 1 / threshold + 1e-9))
+    return _ordered(met.select("num", F.col("other_num").alias("other")))
 
 
 def _frequencies(held: DataFrame) -> np.ndarray:
@@ -265,14 +255,11 @@ def _frequencies(held: DataFrame) -> np.ndarray:
 
 
 def _prefixes(table, threshold: float):
-    """Shingles of each text's prefix, from rare to common; early: two such texts may be alike if they meet there.
+    """Shingles of each text's prefix, from rare to common, each with the share of the weight from it on.
 
-    From a shingle on with a share s of the weight, the similarity is at most
-    1 / (1/s + 1/t - 1) for the other's share t: s is `threshold` or more for
-    any pair, and in one of the two texts 2 * threshold / (1 + threshold).
+    If the first shingle that two texts share has the shares s and t, the
+    similarity is at most 1 / (1/s + 1/t - 1), so s and t are `threshold` or more.
     """
-    least, half = threshold - 1e-9, 2 * threshold / (1 + threshold) - 1e-9
-
     def run(batches):
         frequency = table.value
         for batch in batches:
@@ -281,11 +268,11 @@ def _prefixes(table, threshold: float):
                 name, count = np.frombuffer(names, np.uint32), np.frombuffer(counts, np.uint32).astype(np.int64)
                 order = np.lexsort((name, frequency[name % COUNTERS]))
                 rest = (count.sum() - np.cumsum(count[order]) + count[order]) / max(1, count.sum())
-                take = rest >= least
-                out.append((name[order][take].astype(np.int64), np.full(take.sum(), num), np.full(take.sum(), comp), rest[take] >= half))
+                take = rest >= threshold - 1e-9
+                out.append((name[order][take].astype(np.int64), np.full(take.sum(), num), np.full(take.sum(), comp), rest[take]))
             if out:
-                token, num, comp, early = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_pydict({"token": token, "num": num, "comp": comp, "early": early})
+                token, num, comp, rest = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"token": token, "num": num, "comp": comp, "rest": rest})
     return run
 
 

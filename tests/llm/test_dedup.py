@@ -183,11 +183,22 @@ def test_probability_jaccard_of_counts():
         assert not s or got <= 1 / (1 / s + 1 / t - 1) + 1e-12      # the bound that prefixes rely on
 
 
-def test_prefix_pairs_find_what_hubs_miss(make_docs, monkeypatch):
-    """Without finer buckets the last step alone must find the near pairs of template pages."""
-    monkeypatch.setattr(near_dedup, "_finer", lambda member, signed, sets, threshold: near_dedup._ordered(
-        member.select("num", F.col("num").alias("other"))))
-    test_pages_of_a_template_have_all_their_near_pairs(make_docs)
+def test_prefix_pairs_hold_every_near_pair(spark):
+    """Sets whose differences are partly common: no pair at the threshold may be lost, wherever the frequencies put it."""
+    import numpy as np
+    rng, rows, sets = random.Random(9), [], {}
+    base = rng.sample(range(10**6), 60)
+    for i in range(150):
+        x = Counter({w: 1 for w in base if rng.random() < 0.95} | {rng.randrange(2 * 10**6): 1 for _ in range(rng.randrange(6))})
+        for w in rng.sample(sorted(x), 3):
+            x[w] = rng.randrange(1, 4)
+        sets[i] = x
+        names = sorted(x)
+        rows.append((i, i, np.array(names, np.uint32).tobytes(), np.array([x[w] for w in names], np.uint32).tobytes()))
+    frame = spark.createDataFrame(rows, "num long, comp long, names binary, counts binary")
+    got = {tuple(r) for r in near_dedup._prefix_pairs(frame.select("num", "comp"), frame.drop("comp"), 0.8).distinct().collect()}
+    want = {(i, j) for j in sets for i in range(j) if brute.probability_jaccard(sets[i], sets[j]) >= 0.8}
+    assert want <= got and 50 < len(want) < len(got) < 150 * 149 // 2
 
 
 def test_keep_one_keeps_columns_and_one_row_each(make_docs, clashing, corpus):
