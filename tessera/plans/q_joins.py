@@ -3,13 +3,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..operators import joins as jn
 from ..operators import setops as so
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import grid_store as gs
 from .oracle_views import with_views
 from .registry import query
 
@@ -105,6 +109,21 @@ def join_month_bucket_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("sample_id", "cell_i", "cell_j", cal.month_key("month").alias("month"), "ppt_terra", "pet_terra")
 
 
+@query("join_month_stored", with_views("""
+SELECT s.sample_id, s.cell_i, s.cell_j, strftime(s.month, '%Y-%m') AS month, c.ppt AS ppt_terra, c.pet AS pet_terra
+FROM sc s LEFT JOIN v_climate c ON s.cell_i = c.cell_i AND s.cell_j = c.cell_j AND s.month = c.month""",
+                                       "v_sample", "v_climate", extra=[("sc", SAMPLE_CELLS_SQL)]))
+def join_month_stored_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 against the grid as a table partitioned by month and tile: only the samples' partitions are read."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/grid-{uuid.uuid4().hex}"
+    gs.write_grid(fx.climate(spark, sf_dir), path)
+    cells = _sample_cells(spark, sf_dir)
+    wanted = gs.wanted_partitions(cells, "month", F.lit(-35.0) + F.col("cell_i") * F.lit(0.5), F.lit(15.0) + F.col("cell_j") * F.lit(0.5))
+    g = gs.crop_to(gs.read_grid(spark, path), wanted).select("cell_i", "cell_j", "month", "ppt", "pet")
+    j = jn.month_bucket_join(cells, g, ["cell_i", "cell_j", "month"])
+    return j.select("sample_id", "cell_i", "cell_j", cal.month_key("month").alias("month"), "ppt_terra", "pet_terra")
+
+
 @query("alignment_check", with_views("""
 SELECT count(a.sample_id) AS n_left, count(b.sample_id) AS n_right,
        count(*) FILTER (WHERE a.sample_id IS NOT NULL AND b.sample_id IS NOT NULL) AS n_matched,

@@ -225,6 +225,19 @@ def scene_reduce_q(spark: SparkSession, sf_dir: str) -> DataFrame:
                      r6(F.col("clear_fraction")).alias("clear_fraction"), "n_pixels", "n_clear")
 
 
+@query("scene_reduce_tiles", with_views(
+    "SELECT site_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, "
+    + ", ".join(f"round({c}, 6) AS {c}" for c in SCENE_COLS)
+    + ", round(clear_fraction, 6) AS clear_fraction, n_pixels, n_clear FROM sc",
+    "v_pixel", extra=[("sc", SCENE_STATS_SQL)]))
+def scene_reduce_tiles_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 where scenes are array tiles."""
+    keys = ["site_id", "scene_ts"]
+    sc = ra.tile_reduce(ra.tile_scenes(fx.pixels(spark, sf_dir), keys, BANDS), keys, BANDS)
+    return sc.select("site_id", cal.iso_day("scene_ts").alias("scene_day"), *[r6(F.col(c)).alias(c) for c in SCENE_COLS],
+                     r6(F.col("clear_fraction")).alias("clear_fraction"), "n_pixels", "n_clear")
+
+
 @query("scene_derived", with_views("SELECT site_id, strftime(scene_ts, '%Y-%m-%d') AS scene_day, "
                                    + ", ".join(f"round({c}, 6) AS {c}" for c in DERIVED)
                                    + f" FROM (SELECT site_id, scene_ts, {DERIVED_SQL} FROM sc) d",

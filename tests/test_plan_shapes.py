@@ -78,3 +78,23 @@ def test_merge_joins_share_the_id_partitioning(no_broadcast):
     plan = _plan(ft.merged_table(no_broadcast, SF))
     # samples, API and official sources are each shuffled once on sample_id
     assert plan.count("hashpartitioning(sample_id") == 3
+
+
+def test_tiles_are_reduced_within_the_row(spark):
+    import random
+
+    from tessera.operators import raster as ra
+    rng = random.Random(5)
+    px = spark.createDataFrame([(i % 7, rng.choice([None, 0.0, 65535.0, float(rng.randrange(1, 9000))]), float(rng.randrange(1, 50)), rng.choice([0, 1, 2, 8, 64, None]))
+                                for i in range(500)], "site long, green double, red double, qa int").where("site <> 6 OR qa = 2")
+    tiles = ra.tile_scenes(px, ["site"], ["green", "red"])
+    rows = ra.tile_reduce(tiles, ["site"], ["green", "red"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1   # of building the tiles
+    want = {r.site: r for r in ra.scene_reduce(px, ["site"], ["green", "red"]).collect()}
+    got = {r.site: r for r in rows.collect()}
+    assert got.keys() == want.keys()
+    for site, r in got.items():
+        for c in rows.columns:
+            a, b = r[c], want[site][c]
+            assert a == b or abs(a - b) < 1e-9, (site, c, a, b)

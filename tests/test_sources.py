@@ -5,9 +5,10 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources import grid_store as gs
 from tessera.sources import incremental as inc
 from tessera.sources import tables as tb
-from tessera.streaming.incremental_stream import start_extract_stream
+from tessera.streaming.incremental_stream import start_extract_stream, write_epoch
 
 SCHEMA = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("ppt", T.DoubleType())])
 
@@ -77,12 +78,39 @@ def test_streaming_extract_exactly_once(spark, tmpdir_path):
     ck = os.path.join(tmpdir_path, "stream_ck")
     spark.range(0, 30).withColumnRenamed("id", "sample_id").write.parquet(src)
     schema = T.StructType([T.StructField("sample_id", T.LongType())])
-    ext = lambda d: d.withColumn("v", F.col("sample_id") + 1)
+    seen = []
+
+    def ext(d):
+        seen.append(d)
+        return d.withColumn("v", F.col("sample_id") + 1)
     start_extract_stream(spark, src, schema, "sample_id", out, ck, ext).awaitTermination()
     spark.range(20, 50).withColumnRenamed("id", "sample_id").write.mode("append").parquet(src)
     start_extract_stream(spark, src, schema, "sample_id", out, ck, ext).awaitTermination()
     res = spark.read.parquet(out)
     assert res.count() == 50 and res.select("sample_id").distinct().count() == 50
+    assert {r["epoch"]: r["count"] for r in res.groupBy("epoch").count().collect()} == {0: 30, 1: 20}
+    # a replayed epoch writes its folder anew; the state, not the output, says what is new
+    write_epoch(out, ext)(spark.range(30, 50).withColumnRenamed("id", "sample_id"), 1)
+    assert spark.read.parquet(out).count() == 50
+    assert all("stream_out" not in d._jdf.queryExecution().toString() for d in seen)
+
+
+def test_grid_lookup_reads_the_samples_partitions_only(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "grid")
+    grid = spark.range(24 * 400).select(
+        F.make_date(F.lit(2010) + F.floor(F.col("id") % 24 / 12).cast("int"), (F.col("id") % 12 + 1).cast("int"), F.lit(1)).alias("month"),
+        (F.floor(F.col("id") / 24) % 20 - 30.0).alias("lat"), (F.floor(F.col("id") / 480) + 15.0).alias("lon"), F.col("id").cast("double").alias("ppt"))
+    gs.write_grid(grid, path)
+    store = gs.read_grid(spark, path)
+    assert store.select("month_key", "tile").distinct().count() == 24 * 16 and store.count() == grid.distinct().count()
+    samples = spark.createDataFrame([(1, -29.0, 16.0, "2010-03-01"), (2, -28.5, 17.0, "2010-03-01"), (3, None, 17.0, "2010-03-01"), (4, 5.0, 5.0, "2010-03-01")],
+                                    "sid long, lat double, lon double, day string").withColumn("month", F.col("day").cast("date"))
+    got = gs.crop_to(store, gs.wanted_partitions(samples, "month", F.col("lat"), F.col("lon")))
+    rows = got.collect()
+    assert len(rows) == 25 and {(r.month.year, r.month.month) for r in rows} == {(2010, 3)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert got.columns == ["month", "lat", "lon", "ppt"]
 
 
 def test_write_metrics_appends(spark, tmpdir_path):
