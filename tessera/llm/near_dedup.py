@@ -30,6 +30,8 @@ it is the Jaccard similarity of the sets.
    similarity is at most 1 / (1/s + 1/t - 1). So a prefix ends where the rest
    can't reach the threshold, and of two texts that first meet late no pair
    arises: pages of one template meet in what is theirs, not in the template.
+   The same bound holds for the shares without the shingles that the other
+   surely lacks, which bitmaps of the shingles tell.
    No pair of a large bucket that is alike is left out, and no bucket is
    compared whole.
 5. Classes are the connected components of the links, found by min-label
@@ -49,7 +51,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.session import cut_lineage
 
@@ -63,6 +65,8 @@ NODES_A_PARTITION = 20_000
 BLOOM_BITS, BITS_A_ROW = 1 << 28, 16
 #: Counters of the table by whose counts shingles are ordered; any order is exact, a truer one leaves fewer pairs.
 COUNTERS = 1 << 20
+#: 64-bit words of the bitmap that tells shingles which another text lacks.
+WORDS = 16
 
 
 def classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, m: int = 96, rows: int = 4) -> DataFrame:
@@ -182,12 +186,12 @@ def _components(signed: DataFrame, texts: DataFrame, size: int, threshold: float
     """(num, comp) of the nodes that have a link."""
     band = signed.select("num", F.explode("bands").alias("key"))
     shared = band.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    bucket = cut_lineage(band.join(shared, "key"))
     # the texts that most others are near to lie in the largest buckets: those are the hubs
-    central = cut_lineage(bucket.groupBy("num").agg(F.struct(F.sum("n").alias("beside"), F.xxhash64("num").alias("h")).alias("central")))
+    beside = F.sum("n").over(Window.partitionBy("num"))
+    bucket = cut_lineage(band.join(shared, "key").withColumn("central", F.struct(beside.alias("beside"), F.xxhash64("num").alias("h"))))
     small = bucket.filter(F.col("n") <= SMALL).select("key", "num")
     pair = (small.join(small.withColumnRenamed("num", "other"), "key").filter("num < other").select("num", "other"))
-    large = cut_lineage(bucket.filter(F.col("n") > SMALL).select("key", "num").join(central, "num"))
+    large = bucket.filter(F.col("n") > SMALL).select("key", "num", "central")
     hub = large.groupBy("key").agg(F.max_by("num", "central").alias("other"))
     pair = cut_lineage(pair.unionByName(_ordered(large.join(hub, "key").select("num", "other"))).distinct())
     sets = _sets(bucket.select("num").distinct().join(signed.select("num", "node", "first", "sketch"), "num"), texts, size)
@@ -222,13 +226,20 @@ def _prefix_pairs(member: DataFrame, sets: DataFrame, threshold: float) -> DataF
     spark = member.sparkSession
     held = cut_lineage(member.join(sets.select("num", "names", "counts"), "num"))
     table = spark.sparkContext.broadcast(_frequencies(held))
-    token = held.mapInArrow(_prefixes(table, threshold), "token long, num long, comp long, rest double")
-    other = token.select("token", *(F.col(c).alias(f"other_{c}") for c in ("num", "comp", "rest")))
+    token = held.mapInArrow(_prefixes(table, threshold), "token long, num long, comp long, rest double, total long, bits array<long>")
+    other = token.select("token", *(F.col(c).alias(f"other_{c}") for c in ("num", "comp", "rest", "total", "bits")))
     # the text with the larger share is on the left; there its share is past the half-way bound
     mine = token.filter(F.col("rest") >= 2 * threshold / (1 + threshold) - 1e-9)
+
+    def lacking(x: str, y: str):
+        """Shingles of x, at least, that y lacks: bits that only x has. Each weighs 1 or more."""
+        return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(WORDS)), F.lit(0))
+    within = 1 + 1 / threshold + 1e-9
+    shared = F.least(F.col("rest"), 1 - lacking("bits", "other_bits") / F.col("total"))
+    other_shared = F.least(F.col("other_rest"), 1 - lacking("other_bits", "bits") / F.col("other_total"))
     met = mine.join(other, "token").filter(
         (F.col("comp") != F.col("other_comp")) & ((F.col("rest") > F.col("other_rest")) | ((F.col("rest") == F.col("other_rest")) & (F.col("num") < F.col("other_num"))))
-        & (1 / F.col("rest") + 1 / F.col("other_rest") <= 1 + 1 / threshold + 1e-9))
+        & (1 / F.col("rest") + 1 / F.col("other_rest") <= within) & (1 / shared + 1 / other_shared <= within))
     return _ordered(met.select("num", F.col("other_num").alias("other")))
 
 
@@ -255,7 +266,8 @@ def _frequencies(held: DataFrame) -> np.ndarray:
 
 
 def _prefixes(table, threshold: float):
-    """Shingles of each text's prefix, from rare to common, each with the share of the weight from it on.
+    """Shingles of each text's prefix, from rare to common, each with the share of the weight from it on, the text's
+    weight and a bitmap of its shingles.
 
     If the first shingle that two texts share has the shares s and t, the
     similarity is at most 1 / (1/s + 1/t - 1), so s and t are `threshold` or more.
@@ -269,10 +281,15 @@ def _prefixes(table, threshold: float):
                 order = np.lexsort((name, frequency[name % COUNTERS]))
                 rest = (count.sum() - np.cumsum(count[order]) + count[order]) / max(1, count.sum())
                 take = rest >= threshold - 1e-9
-                out.append((name[order][take].astype(np.int64), np.full(take.sum(), num), np.full(take.sum(), comp), rest[take]))
+                mask = np.zeros(64 * WORDS, np.uint8)
+                mask[tv.mix(name.astype(np.uint64)) % np.uint64(64 * WORDS)] = 1
+                some = int(take.sum())
+                out.append((name[order][take].astype(np.int64), np.full(some, num), np.full(some, comp), rest[take], np.full(some, count.sum()),
+                            np.tile(np.packbits(mask).view(np.int64), (some, 1))))
             if out:
-                token, num, comp, rest = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_pydict({"token": token, "num": num, "comp": comp, "rest": rest})
+                token, num, comp, rest, total, bits = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"token": token, "num": num, "comp": comp, "rest": rest, "total": total,
+                                                  "bits": pa.array(list(bits), pa.list_(pa.int64()))})
     return run
 
 
@@ -375,8 +392,9 @@ def _alike(threshold: float):
 
 
 def _verified(pair: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    near = _filtered(pair, sets.select("num", "sketch"), "sketch", _agree(threshold))
-    return _filtered(near, sets.select("num", F.struct("names", "counts").alias("shingles")), "shingles", _alike(threshold))
+    near, alike = _agree(threshold), _alike(threshold)
+    return _filtered(pair, sets.select("num", F.struct("sketch", "names", "counts").alias("text")), "text",
+                     lambda x, y: near(x["sketch"], y["sketch"]) and alike(x, y))
 
 
 def _filtered(pair: DataFrame, values: DataFrame, column: str, test) -> DataFrame:
