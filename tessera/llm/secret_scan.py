@@ -6,15 +6,25 @@ Known kinds (leftmost, non-overlapping per kind; failing matches are dropped):
 
 Kind `random`: every maximal run of 16+ characters of base64 that has a letter
 and a digit is a candidate. Its encoding is inferred (hex, base32, base36,
-base64) and three tests ask whether it could be uniform over that alphabet:
-chi-squared of the symbol counts (upper tail), runs above and below the middle
-of the alphabet, and lag-1 serial correlation (two-sided). Thrice the least p
-is the candidate's p. Within each class of encoding and length, the
-Benjamini-Hochberg rule at `fdr` rejects candidates as not random, so a longer
-string isn't judged by the many short ones; the rest is reported if it could
-hold `least_bits` bits. The rule needs only counts per class and p bin (bins
-of 1/20 decade, at most 64 classes), so what reaches the driver has a fixed
-bound whatever the corpus.
+base64). Two questions decide:
+
+* Could it be uniform over that alphabet? Chi-squared of the symbol counts
+  (upper tail), runs above and below the middle of the alphabet, and lag-1
+  serial correlation (two-sided); thrice the least p must be `alpha` or more,
+  so a random key is lost here with that chance at most.
+* Could it be an identifier? The null model writes identifiers: letters, case,
+  digits and separators follow one another as in names, letters as often as in
+  words (`KINDS_AFTER`, `VOWELS_AFTER`, `LETTERS`). The ratio of the model's
+  likelihood to the uniform one exceeds no level 1/x with a chance above x
+  (Markov), so it is a p value that holds at every length. Within each class of
+  encoding and length, the Benjamini-Hochberg rule at `fdr` rejects that null,
+  and only rejected candidates are reported: `fdr` bounds the expected share of
+  identifiers among what a class reports, and a longer string isn't judged by
+  the many short ones.
+
+A candidate must also be able to hold `least_bits` bits. The rule needs only
+counts per class and p bin (bins of 1/20 decade, at most 128 classes), so what
+reaches the driver has a fixed bound whatever the corpus.
 
 Positions are code points, end exclusive; they come from the lengths between
 matches, within the row, so no document is shuffled.
@@ -45,14 +55,25 @@ ALPHABETS = {
 }
 BINS_PER_DECADE, MAX_BIN = 20, 240
 
+# model of identifiers: chance of the next kind (lower, upper, digit, separator), by the kind before it
+KINDS_AFTER = {
+    "": (0.60, 0.25, 0.10, 0.05), "lower": (0.86, 0.06, 0.04, 0.04), "upper": (0.50, 0.44, 0.03, 0.03),
+    "digit": (0.12, 0.10, 0.65, 0.13), "separator": (0.60, 0.20, 0.17, 0.03),
+}
+# chance that a letter is a vowel, after no letter, a vowel, a consonant
+VOWELS_AFTER = (0.30, 0.15, 0.55)
+# fixed values: letters per hundred letters of English text
+LETTERS = dict(zip(_LOWER, (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0,
+                            6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)))
+
 
-def scan(docs: DataFrame, fdr: float = 0.05, least_bits: float = 80.0) -> DataFrame:
+def scan(docs: DataFrame, fdr: float = 0.05, alpha: float = 0.01, least_bits: float = 80.0) -> DataFrame:
     """row (struct of the input), spans: array of (start, rank, end, kind), sorted by start, then kind."""
     limits = rejection_limits(docs, fdr)
     tested = _located(docs).select("row", "known", F.transform("runs", lambda r: F.struct(
         r.alias("span"), _battery(F.substring("body", r["start"] + 1, r["end"] - r["start"])).alias("test"))).alias("runs"))
     added = F.transform(
-        F.filter("runs", lambda r: _reported(r["test"], limits, least_bits)
+        F.filter("runs", lambda r: _reported(r["test"], limits, alpha, least_bits)
                  & ~F.exists("known", lambda k: (k["start"] <= r["span"]["start"]) & (k["end"] >= r["span"]["end"]))),
         lambda r: r["span"])
     return tested.select("row", F.array_sort(F.concat("known", added)).alias("spans"))
@@ -132,7 +153,7 @@ def _tail(z: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """Struct: encoding, length class, p bin, bits."""
+    """Struct: encoding, length class, p of uniformity, bin of the identifier p, bits."""
     encoding = (F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32")
                 .when(token.rlike("^[a-z0-9]+$"), "base36").otherwise("base64"))
     plain = F.when(encoding == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
@@ -167,13 +188,44 @@ def _tested(g: Column) -> Column:
         p = 3 * F.least(p_chi, 2 * _tail(F.abs(z_runs)), 2 * _tail(F.abs(z_serial)))
         return F.struct(
             g["encoding"].alias("encoding"), F.least(F.floor(2 * F.log2(n)).cast("int"), F.lit(31)).alias("length"),
-            F.least(F.floor(-F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) * BINS_PER_DECADE).cast("int"),
+            p.alias("uniform"),
+            F.least(F.floor(F.greatest(-n * F.log10(k) - _as_identifier(g["chars"]), F.lit(0.0)) * BINS_PER_DECADE).cast("int"),
                     F.lit(MAX_BIN)).alias("bin"), (n * F.log2(k)).alias("bits"))
     return F.element_at(F.transform(F.array(both), closed), 1)
 
 
+def _as_identifier(chars: Column) -> Column:
+    """log10 of the chance that the model of identifiers writes these characters.
+
+    A character's state is its kind and whether it is a vowel; both steps are read
+    from tables of (state before, character).
+    """
+    symbols = _LOWER + _UPPER + _DIGITS + "+/"
+    kind = [next(i for i, group in enumerate((_LOWER, _UPPER, _DIGITS, "+/")) if c in group) for c in symbols]
+    vowel = [c.lower() in "aeiou" for c in symbols]
+    # states: start, lower consonant, lower vowel, upper consonant, upper vowel, digit, separator
+    state = [1 + 2 * k + v if k < 2 else 3 + k for k, v in zip(kind, vowel)]
+    before = [("", 0), ("lower", 2), ("lower", 1), ("upper", 2), ("upper", 1), ("digit", 0), ("separator", 0)]
+    weight = {v: sum(w for c, w in LETTERS.items() if (c in "aeiou") == v) for v in (False, True)}
+
+    def chance(last: tuple[str, int], c: str, k: int, v: bool) -> float:
+        p = KINDS_AFTER[last[0]][k]
+        if k >= 2:
+            return p / (10 if k == 2 else 2)
+        vowels = VOWELS_AFTER[last[1]]
+        return p * (vowels if v else 1 - vowels) * LETTERS[c.lower()] / weight[v]
+    table = F.array(*(F.lit(math.log10(chance(last, c, k, v))) for last in before for c, k, v in zip(symbols, kind, vowel)))
+    states = F.array(*(F.lit(x) for x in state))
+    walked = F.aggregate(
+        F.transform(chars, lambda c: F.position(c, F.lit(symbols))),
+        F.struct(F.lit(0).alias("state"), F.lit(0.0).alias("sum")),
+        lambda s, at: F.struct(F.element_at(states, at).alias("state"),
+                               (s["sum"] + F.element_at(table, s["state"] * len(symbols) + at)).alias("sum")))
+    return walked["sum"]
+
+
 def rejection_limits(docs: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
-    """Per class (encoding, length): the least p bin whose candidates are rejected as random."""
+    """Per class (encoding, length): the least p bin whose candidates are rejected as identifiers."""
     text = F.col("text").cast("string")
     token = (docs.select(text.alias("body")).filter(F.col("body").rlike(CANDIDATE))
              .select(F.explode(F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0))).alias("token")))
@@ -192,9 +244,9 @@ def rejection_limits(docs: DataFrame, fdr: float) -> dict[tuple[str, int], int]:
     return out
 
 
-def _reported(test: Column, limits: dict[tuple[str, int], int], least_bits: float) -> Column:
+def _reported(test: Column, limits: dict[tuple[str, int], int], alpha: float, least_bits: float) -> Column:
     limit = F.lit(MAX_BIN + 1)
     if limits:
         known = F.create_map(*(F.lit(x) for (e, n), b in sorted(limits.items()) for x in (f"{e}:{n}", b)))
         limit = F.coalesce(F.element_at(known, F.concat_ws(":", test["encoding"], test["length"].cast("string"))), limit)
-    return (test["bin"] < limit) & (test["bits"] >= least_bits)
+    return (test["bin"] >= limit) & (test["uniform"] >= alpha) & (test["bits"] >= least_bits)

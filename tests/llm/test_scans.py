@@ -142,6 +142,68 @@ def test_battery_finds_random_strings_and_leaves_names(make_docs):
     assert sum(bool(got[100 + i]) for i in range(200)) <= 10
 
 
+WORDS = ("account address archive balance buffer cache channel client config cursor customer default device element error "
+         "event factory field filter format gateway handler header history image index internal invoice key layer limit list "
+         "manager message network node number object offset option order packet parser payment policy process profile query "
+         "record region request response result schema sender server session status stream string table target thread "
+         "timeout token transaction update user value vector version window worker").split()
+
+
+def test_share_of_identifiers_among_what_is_reported(make_docs):
+    """Names in four styles, one to three digits each, against keys in four encodings."""
+    rng = random.Random(3)
+
+    def name(style):
+        words = [rng.choice(WORDS) for _ in range(rng.choice([3, 4, 5]))]
+        digits = str(rng.randrange(1, 1000))
+        if style == "camel":
+            words = [words[0], *(w.title() for w in words[1:])]
+            words.insert(rng.randrange(1, len(words) + 1), digits)
+            return "".join(words)
+        sep = {"snake": "_", "path": "/", "constant": "_"}[style]
+        out = sep.join([*words, digits])
+        return out.upper() if style == "constant" else out
+    names = [name("camel") for _ in range(300)] + [name(s) for s in ("snake", "path", "constant") for _ in range(100)]
+    names = [n for n in names if len(n) >= 16]
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/",
+                 string.ascii_lowercase + string.digits, "0123456789ABCDEF"]
+    keys = []
+    while len(keys) < 240:
+        k = "".join(rng.choices(alphabets[len(keys) % 4], k=rng.choice([20, 24, 32])))
+        if any(c.isdigit() for c in k) and any(c.isalpha() for c in k) and k[0] not in "+/":
+            keys.append(k)
+    texts = {i: f"see {t} here" for i, t in enumerate(keys + names)}
+    got = {r.row.doc_id for r in secret_scan.scan(make_docs(texts)).collect() if any(s.kind == "random" for s in r.spans)}
+    false = sum(d >= len(keys) for d in got)
+    assert false <= 0.05 * len(got)
+    assert len(got) - false >= 0.9 * len(keys)
+
+
+def test_identifier_model_sums_to_one_and_equals_plain_sum(spark):
+    for row in secret_scan.KINDS_AFTER.values():
+        assert abs(sum(row) - 1) < 1e-9
+    import math
+
+    def plain(token):
+        total, kind, letter = 0.0, "", 0
+        weight = {v: sum(w for c, w in secret_scan.LETTERS.items() if (c in "aeiou") == v) for v in (False, True)}
+        for c in token:
+            now = "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "separator"
+            p = secret_scan.KINDS_AFTER[kind][("lower", "upper", "digit", "separator").index(now)]
+            vowel = c.lower() in "aeiou"
+            if c.isalpha():
+                v = secret_scan.VOWELS_AFTER[letter]
+                p *= (v if vowel else 1 - v) * secret_scan.LETTERS[c.lower()] / weight[vowel]
+            else:
+                p /= 10 if c.isdigit() else 2
+            total, kind, letter = total + math.log10(p), now, (1 if vowel else 2) if c.isalpha() else 0
+        return total
+    tokens = ["getUserById2", "Zx9/qQ+0aA", "a", "AEIOUbcd019", "+//+"]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string")
+    got = df.select("t", secret_scan._as_identifier(F.filter(F.split("t", ""), lambda c: c != "")).alias("p")).collect()
+    assert all(abs(r.p - plain(r.t)) < 1e-9 for r in got) and len(got) == len(tokens)
+
+
 def test_rejection_rule():
     """The limit is the largest p whose bin satisfies the Benjamini-Hochberg bound."""
     from collections import Counter
