@@ -52,9 +52,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
               .withColumn("n_blocks", F.greatest(F.round(F.col("tokens") / block), F.signum("tokens")).cast("long"))
               .withColumn("votes", F.when(F.col("tokens") > 0,
                                           F.col("target") / F.col("source_size") * F.col("n_blocks")).otherwise(0.0)))
-    quota = apportion(cut_lineage(shards)).select("source", "shard", "tokens", "n_blocks", F.least(
-        "quota", (F.col("n_blocks") * ceiling).cast("long")).alias("quota"))
-    return _taken(dealt, quota)
+    parties = cut_lineage(shards.withColumn("cap", F.floor(F.col("n_blocks") * ceiling).cast("long")))
+    return _taken(dealt, apportion(parties).select("source", "shard", "tokens", "n_blocks", "quota"))
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
@@ -85,17 +84,27 @@ def numbered(sorted_rows: DataFrame, name: str) -> DataFrame:
 
 
 def _seats(votes: Column, divisor) -> Column:
-    """Quotients votes / (2k + 1) that are `divisor` or more."""
-    return F.floor((votes / divisor + 1) / 2).cast("long")
+    """Quotients votes / (2k + 1), k below the party's cap, that are `divisor` or more."""
+    return F.least(F.floor((votes / divisor + 1) / 2).cast("long"), F.col("cap"))
 
 
 def apportion(parties: DataFrame) -> DataFrame:
-    """parties (source, shard, votes, ...) with `quota`: round(sum of votes) seats by highest quotients."""
-    total, count, most = parties.agg(F.sum("votes"), F.count("*"), F.max("votes")).first()
-    seats = int((total or 0.0) + 0.5)
+    """parties (source, shard, votes, ...) with `quota`: round(sum of votes) seats by highest quotients.
+
+    With a column `cap`, a party at its cap has no further quotients, so what it
+    can't take goes to the next highest ones; caps bound the seats in all.
+    """
+    given_columns = parties.columns
+    wanted = int((parties.agg(F.sum("votes")).first()[0] or 0.0) + 0.5)
+    parties = parties.withColumn("cap", F.least("cap", F.lit(wanted)) if "cap" in given_columns else F.lit(wanted).cast("long"))
+    caps, most, least = parties.agg(
+        F.sum(F.when(F.col("votes") > 0, F.col("cap"))), F.max("votes"),
+        F.min(F.when((F.col("votes") > 0) & (F.col("cap") > 0), F.col("votes") / (2 * F.col("cap") + 1)))).first()
+    seats = min(wanted, caps or 0)
     if not seats:
-        return parties.withColumn("quota", F.lit(0).cast("long"))
-    low, high = total / (2 * seats + count) * 0.999, most * 1.001
+        return parties.withColumn("quota", F.lit(0).cast("long")).select(*given_columns, "quota")
+    # at `low` every party is at its cap, at `high` no party has a seat
+    low, high = least * 0.999, most * 1.001
     given, reach = 0, None
     while high / low > 1 + 1e-12 and (reach is None or reach - given > 1000):
         tries = [low * (high / low) ** (k / (PROBES + 1)) for k in range(1, PROBES + 1)]
@@ -114,7 +123,7 @@ def apportion(parties: DataFrame) -> DataFrame:
              .filter(F.col("place") < seats - given).groupBy("source", "shard").agg(F.count("*").alias("more")))
     return (sure.alias("p").join(extra.alias("e"), F.expr("p.source <=> e.source and p.shard = e.shard"), "left")
             .select("p.*", F.coalesce("e.more", F.lit(0)).alias("more"))
-            .withColumn("quota", F.col("quota") + F.col("more")).drop("more"))
+            .withColumn("quota", F.col("quota") + F.col("more")).select(*given_columns, "quota"))
 
 
 def _taken(dealt: DataFrame, quota: DataFrame) -> DataFrame:

@@ -191,6 +191,23 @@ def test_apportionment_is_sainte_lague(spark):
         assert sorted(got.values())[-3:] == sorted(want.values())[-3:]
 
 
+def test_seats_above_a_cap_go_to_the_next_quotients(spark):
+    rng = random.Random(5)
+    for case in range(4):
+        votes = {f"s{i}": rng.choice([0.0, 1.9, 7.9, rng.random() * 300]) for i in range(25)}
+        cap = {s: int(v) + rng.choice([0, 0, 1, 40] if case < 3 else [0]) for s, v in votes.items()}
+        parties = spark.createDataFrame([(s, 0, v, cap[s]) for s, v in votes.items()],
+                                        "source string, shard long, votes double, cap long")
+        got = {r.source: r.quota for r in mixing.apportion(parties).collect()}
+        # the definition, seat by seat
+        want = Counter()
+        for _ in range(min(int(sum(votes.values()) + 0.5), sum(c for s, c in cap.items() if votes[s]))):
+            want[max((s for s in votes if want[s] < cap[s] and votes[s]), key=lambda s: votes[s] / (2 * want[s] + 1))] += 1
+        assert sum(got.values()) == sum(want.values()) and all(got[s] <= cap[s] for s in got)
+        held = min(votes[s] / (2 * q - 1) for s, q in got.items() if q)
+        assert held >= max([votes[s] / (2 * q + 1) for s, q in got.items() if q < cap[s]], default=0) - 1e-12
+
+
 def test_mixing_of_nothing(make_docs):
     assert mixing.mix(make_docs([])).count() == 0
     assert [r.taken for r in mixing.mix(make_docs(["", None])).collect()] == [0, 0]
@@ -232,6 +249,48 @@ def test_pipeline_stages(spark, tmp_path):
         assert abs(sum(r.taken for r in out if r.source == s) - t) <= 0.01 * t + 10
 
 
+def test_pipeline_edge_rows(spark, tmp_path):
+    """Null in every column, empty, very long, repeated and tied rows, and columns named like the operators' own."""
+    rng = random.Random(12)
+    kind = ("doc_id long, text string, lang string, source string, n_chars long, row string, body string, spans string, "
+            "words long, class_id string, size long, shard string")
+    extra = ("r", "b", "s", 3, "c", 4, None)
+    long = speak(rng, "en", 40_000)
+    again = speak(rng, "en", 80)
+    rows = [(i, speak(rng, "en", 90), "en", f"s{i % 2}", 5) for i in range(12)]
+    rows += [(None, None, None, None, None), (100, None, "en", "s0", None), (101, "", "en", None, 0), (102, " \n\t ", None, "s1", 4),
+             (103, long, "en", "s0", len(long)), (104, again, "en", "s0", 1), (104, again, "en", "s0", 1), (105, again, "en", "s1", 1),
+             (None, speak(rng, "en", 90), "en", "s1", 7), (106, speak(rng, "en", 90), None, None, None)]
+    spark.createDataFrame([r + extra for r in rows], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "...")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, at, str(tmp_path))
+        assert done.dtypes == at.dtypes
+        done.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        out = at.collect()
+        assert all(tuple(r)[5:] == extra for r in out)
+        kept.append(out)
+    for out in kept:
+        texts = Counter(r.text for r in out)
+        assert {r[1] for r in rows[:12]} <= set(texts) and texts[long] == 1 and texts[again] >= 1
+        assert texts[rows[-2][1]] == texts[rows[-1][1]] == 1
+    assert Counter(r.text for r in kept[0])[again] == 3 and Counter(r.text for r in kept[1])[again] == 1
+    assert len(kept[1]) == len(kept[2]) == len(kept[3])
+    mixed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in mixed) == sorted(str(r.doc_id) for r in kept[3])
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"] and out.count() == 0
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     for n in range(1, 11):
