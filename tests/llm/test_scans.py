@@ -256,6 +256,100 @@ def test_license_rules(text, labels):
     assert {d.label for d in license_scan.detect(license_scan.normalised(text.encode()).decode())} == labels
 
 
+BSD_HEAD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+            "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+            "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+            "with the distribution. ")
+BSD_THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+             "products derived from this software without specific prior written permission. ")
+BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+MIT_HEAD = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software ")
+
+
+@pytest.mark.parametrize("text, labels", [
+    (MIT_HEAD, {"mit"}),
+    ("Copyright (c) 2011 X. All rights reserved.\n\n" + MIT_HEAD, {"mit"}),
+    (MIT_HEAD + "... The Software shall be used for Good, not Evil.", {"json"}),
+    (BSD_HEAD + BSD_TAIL, {"bsd-2"}),
+    (BSD_HEAD + BSD_THIRD + BSD_TAIL, {"bsd-3"}),
+    ("Copyright 2009 X.\nAll rights reserved.\n" + BSD_HEAD + BSD_THIRD + BSD_TAIL, {"bsd-3"}),
+    (BSD_HEAD + "3. All advertising materials mentioning features or use of this software must display the following "
+     "acknowledgement: ... 4. " + BSD_THIRD, {"bsd-4", "bsd-3"}),
+    ("Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "
+     "\"AS IS\" BASIS,", {"apache-2"}),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+     "License.", {"apache-2"}),
+    ("it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the "
+     "License, or (at your option) any later version.", {"gpl-2"}),
+    ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 "
+     "of the License, or (at your option) any later version.", {"lgpl-2"}),
+    ("the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+     {"agpl-3"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+     {"0bsd"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+     "provided that the above copyright notice and this permission notice appear in all copies.", {"isc"}),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+     "and redistribute it freely", {"zlib"}),
+    ("This is free and unencumbered software released into the public domain.", {"unlicense"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+     {"cc-by-nc-sa"}),
+    ("licensed under the Creative Commons Attribution 4.0 International License", {"cc-by"}),
+    ("Unauthorized copying of this file, via any medium is strictly prohibited", {"proprietary"}),
+    ("Copyright 2020. All rights reserved.", {"proprietary"}),
+    ("redistribution of wealth and use of binary forms is permitted", set()),
+    ("the software was granted free of charge to a person", set()),
+])
+def test_license_texts_and_notices(text, labels):
+    found = license_scan.detect(license_scan.normalised(text.encode()).decode())
+    assert {d.label for d in found if not d.base} | {d.label for d in found if d.base} == labels
+
+
+def spelled(items):
+    """Every text a signature's words stand for, fillers left empty."""
+    out = [""]
+    for op, value in items:
+        name = str(op)
+        if name == "LITERAL":
+            ends = [chr(value)]
+        elif name == "BRANCH":
+            ends = [t for branch in value[1] for t in spelled(branch)]
+        elif name == "SUBPATTERN":
+            ends = spelled(value[3])
+        elif name == "MAX_REPEAT":
+            ends = [""] * (value[0] == 0) + spelled(value[2])
+        elif name == "IN":
+            ends = [chr(v) if str(o) == "LITERAL" else "1" for o, v in value]
+        else:
+            assert name == "ASSERT_NOT"
+            ends = [""]
+        out = [a + b for a in out for b in ends]
+    return out
+
+
+def test_every_signature_matches_its_own_words_behind_its_keyword():
+    import re
+    for label, keyword, words in license_scan.SIGNATURES:
+        for text in spelled(re._parser.parse(re.sub(r" \{\d+\} ", " ", words))):
+            assert keyword in f" {text} ", (label, keyword, text)
+            found = license_scan.detect(license_scan.normalised(text.encode()).decode())
+            assert label in {d.label for d in found if d.weight == 0.95}, (label, text, found)
+
+
+def test_signatures_keep_to_linear_time():
+    """A long text that opens a signature again and again, never closing it."""
+    import time
+    once = license_scan.normalised(("redistribution and use in source and binary forms " * 4000
+                                    + "all advertising materials mentioning features to endorse or promote products").encode()).decode()
+    start = time.time()
+    license_scan.detect(once)
+    assert time.time() - start < 20
+
+
 def test_suppression_against_plain_search():
     reach, rng, taken = license_scan._Reach(50), random.Random(0), []
     for _ in range(300):
