@@ -3,9 +3,11 @@ weighted blends and the blend-weight scan (M10, M11, M16-M18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.metrics import profile_estimate
+
 # Fixed per-target blend weights of the three base learners (reference values).
 TARGET_BLEND_WEIGHTS = {"ta": (0.4, 0.4, 0.2), "ec": (0.35, 0.4, 0.25), "drp": (0.2, 0.2, 0.6)}
 
@@ -98,3 +100,23 @@ def macro_scan(scan: DataFrame, other_scores: DataFrame, score: str = "r2") -> D
     # one row of fixed scores beside a (variants x weights)-row scan
     return (scan.join(F.broadcast(other_scores), F.lit(True))
             .withColumn("avg_spatial", total / F.lit(float(len(others) + 1))).drop(*others))
+
+
+def estimated_scan(scan: DataFrame, other_scores: DataFrame, anchors: DataFrame, feature_count: int,
+                   target: str = "drp", digits: int = 9) -> DataFrame:
+    """M18 whole: the scan of `target` with the macro average, the estimate of
+    the public score from `anchors` (A23) and `place`, the row's number by
+    average, target score and estimate (highest first; what is equal to
+    `digits` digits goes by variant and weight).
+
+    `other_scores` is one row, `r2_<target>` of each other target. The rank is
+    one window over the scan's own grid of variants and weights, whose size the
+    call sets; the data was read once by `blend_scan`.
+    """
+    others = other_scores.columns
+    mean = sum((F.col(c) for c in others), F.col(f"r2_{target}")) / F.lit(float(len(others) + 1))
+    row = (scan.withColumnRenamed("r2", f"r2_{target}").join(F.broadcast(other_scores), F.lit(True))
+           .withColumn("avg_spatial", mean).withColumn("feature_count", F.lit(feature_count)))
+    keys = [F.round(c, digits).desc_nulls_last() for c in ("avg_spatial", f"r2_{target}", "estimate")]
+    return (profile_estimate(row, anchors).withColumn("place", F.row_number().over(Window.orderBy(*keys, "variant", "weight")))
+            .drop("feature_count", *others))

@@ -87,6 +87,12 @@ def _gram_input_spark(spark, sf_dir) -> DataFrame:
         "w", F.lit(1.0) - F.col("days_offset_filled") / F.lit(61.0) * F.lit(0.18))
 
 
+GRAM_VIEW = ("d", """
+SELECT a.blue / 10000.0 AS blue, a.green / 10000.0 AS green, a.red / 10000.0 AS red, a.nir08 / 10000.0 AS nir08, s.ta,
+       1.0 - least(greatest(coalesce(a.days_offset, 61.0), 0.0), 61.0) / 61.0 * 0.18 AS w
+FROM v_api a JOIN v_sample s ON a.sample_id = s.sample_id WHERE a.blue IS NOT NULL""")
+
+
 def _gram_sql() -> str:
     names = ["_one"] + GRAM_X
     col = {n: ("1.0" if n == "_one" else n) for n in names}
@@ -95,10 +101,7 @@ def _gram_sql() -> str:
         for b in names[i:]:
             parts.append(f"SELECT '{a}' AS i, '{b}' AS j, round(sum(w * {col[a]} * {col[b]}), 6) AS value FROM d")
         parts.append(f"SELECT '{a}' AS i, 'y' AS j, round(sum(w * {col[a]} * ta), 6) AS value FROM d")
-    return with_views(" UNION ALL ".join(parts), "v_api", "v_sample", extra=[("d", """
-SELECT a.blue / 10000.0 AS blue, a.green / 10000.0 AS green, a.red / 10000.0 AS red, a.nir08 / 10000.0 AS nir08, s.ta,
-       1.0 - least(greatest(coalesce(a.days_offset, 61.0), 0.0), 61.0) / 61.0 * 0.18 AS w
-FROM v_api a JOIN v_sample s ON a.sample_id = s.sample_id WHERE a.blue IS NOT NULL""")])
+    return with_views(" UNION ALL ".join(parts), "v_api", "v_sample", extra=[GRAM_VIEW])
 
 
 @query("ridge_gram", _gram_sql())
@@ -114,6 +117,20 @@ def ridge_fit_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in coef.items()], "term string, coef double")
 
 
+@query("ridge_equation", with_views(" UNION ALL ".join(
+    f"SELECT '{n}' AS term, round(sum(w * {'1.0' if n == '_one' else n} * ta), 3) AS value FROM d" for n in ["_one"] + GRAM_X),
+    "v_api", "v_sample", extra=[GRAM_VIEW]))
+def ridge_equation_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: the fitted coefficients solve X'W(Xb) + alpha b = X'Wy (the intercept isn't penalised); the left side by term."""
+    d = _gram_input_spark(spark, sf_dir)
+    coef = li.ridge_fit(d, GRAM_X, "ta", "w", alpha=1.0)
+    fitted = li.ridge_predict(d.where(F.col("ta").isNotNull()).dropna(subset=GRAM_X), coef)
+    left = [F.struct(F.lit(n).alias("term"), F.round(
+        F.sum(F.col("w") * (F.lit(1.0) if n == "_one" else F.col(n)) * F.col("prediction"))
+        + F.lit(0.0 if n == "_one" else float(b)), 3).alias("value")) for n, b in coef.items()]
+    return fitted.agg(F.array(*left).alias("left")).select(F.explode("left").alias("x")).select("x.*")
+
+
 # ------------------------------------------------------------------ fitted models (rows-only)
 def spatial_folds(spark, sf_dir) -> DataFrame:
     """Group -> fold table computed from the sample points alone (the group

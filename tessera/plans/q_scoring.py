@@ -326,6 +326,47 @@ def blend_scan_macro_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("variant", "weight", r6(F.col("r2")).alias("drp_r2"), r6(F.col("avg_spatial")).alias("avg_spatial"))
 
 
+SCAN_FEATURES = 39  # Fixed value: features of the scanned blend.
+
+
+def _estimated_sql() -> str:
+    terms = ("((c.avg_spatial - a.avg_spatial) / 0.018) ** 2 + ((c.feature_count - a.feature_count) / 10.0) ** 2"
+             + "".join(f" + ((c.r2_{t} - a.r2_{t}) / {s}) ** 2" for t, s in me.TARGET_SCALE.items()))
+    weight = f"(1.0 / (sqrt({terms}) + 1e-6) * CASE WHEN a.public_score >= 0.34 THEN 1.15 ELSE 1.0 END)"
+    same = ("abs(c.avg_spatial - a.avg_spatial) < 1e-4 AND c.feature_count = a.feature_count"
+            + "".join(f" AND abs(c.r2_{t} - a.r2_{t}) <= 1e-4" for t in TARGETS))
+    return with_views("""
+SELECT variant, weight, round(r2_drp, 6) AS drp_r2, round(avg_spatial, 6) AS avg_spatial, round(estimate, 6) AS estimate,
+       CAST(row_number() OVER (ORDER BY round(avg_spatial, 9) DESC, round(r2_drp, 9) DESC, round(estimate, 9) DESC, variant, weight)
+            AS INTEGER) AS place
+FROM est""", "v_sample", "v_sub", extra=PROFILES_SQL + DRP_SCAN_SQL + [
+        ("cand", f"""SELECT variant, weight, r2 AS r2_drp, ta_r2 AS r2_ta, ec_r2 AS r2_ec, (ta_r2 + ec_r2 + r2) / 3 AS avg_spatial,
+                     {SCAN_FEATURES} AS feature_count FROM scan, other"""),
+        ("est", f"""SELECT c.variant, c.weight, c.r2_drp, c.avg_spatial, coalesce(
+                      min_by(a.public_score, a.run) FILTER (WHERE {same}),
+                      least(greatest(sum({weight} * a.public_score) / sum({weight})
+                        - greatest(c.feature_count - max(a.feature_count), 0) * 0.0015
+                        + CASE WHEN c.r2_drp >= 0.17 THEN 0.006 ELSE 0.0 END + CASE WHEN c.r2_ec >= 0.32 THEN 0.006 ELSE 0.0 END
+                        + CASE WHEN c.r2_ta >= 0.40 THEN 0.004 ELSE 0.0 END + CASE WHEN c.r2_drp < 0.10 THEN -0.010 ELSE 0.0 END,
+                        0.0), 1.0)) AS estimate
+                    FROM cand c CROSS JOIN prof a GROUP BY ALL"""
+         .replace("GROUP BY ALL", "GROUP BY c.variant, c.weight, c.r2_drp, c.r2_ec, c.r2_ta, c.avg_spatial, c.feature_count"))])
+
+
+@query("blend_scan_estimate", _estimated_sql())
+def blend_scan_estimate_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M18 with the estimate of the public score and the order by all three figures; anchors are the runs' profiles."""
+    truth = fx.samples(spark, sf_dir).select("sample_id", *[F.col(t).alias(f"y_{t}") for t in TARGETS])
+    runs = fx.submissions(spark, sf_dir)
+    wide = truth.join(runs.groupBy("sample_id").pivot("run", MODELS).agg(F.first("drp")), "sample_id")
+    base = truth.join(runs.where(F.col("run") == "m1").select("sample_id", "ta", "ec"), "sample_id")
+    others = base.agg(*[me.regression_metrics(f"y_{t}", t)[1].alias(f"r2_{t}") for t in ("ta", "ec")])
+    out = bl.estimated_scan(bl.blend_scan(wide, "y_drp", "m1", VARIANTS, SCAN_WEIGHTS), others,
+                            run_profiles(spark, sf_dir), SCAN_FEATURES)
+    return out.select("variant", "weight", r6(F.col("r2_drp")).alias("drp_r2"), r6(F.col("avg_spatial")).alias("avg_spatial"),
+                      r6(F.col("estimate")).alias("estimate"), "place")
+
+
 @query("best_per_group", with_views("""
 SELECT variant, weight, round(r2, 6) AS r2 FROM (
   SELECT *, row_number() OVER (PARTITION BY variant ORDER BY r2 DESC, weight) AS rn FROM scan) x WHERE rn = 1""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.models import blend as bl
 from tessera.models import folds as fo
 from tessera.models import linear as li
+from tessera.operators import metrics as me
 
 
 def test_group_kfold_groups_intact_and_balanced(spark):
@@ -96,3 +97,52 @@ def test_blend_scan_ignores_rows_with_a_missing_value(spark):
     assert got == want
     none = bl.blend_scan(spark.createDataFrame(gaps, kind), "y", "base", ["v"], [0.5]).collect()
     assert [(r.r2, r.rmse) for r in none] == [(None, None)]
+
+
+ANCHOR = "run string, avg_spatial double, feature_count int, public_score double, r2_ta double, r2_ec double, r2_drp double"
+
+
+def test_estimate_from_anchors_of_their_own(spark):
+    """Against the rule written out, with anchors that have no target scores and a strong one."""
+    anchors = [("a", 0.25, 29, 0.27, 0.40, 0.23, 0.12), ("b", 0.29, 41, 0.28, 0.41, 0.28, 0.17), ("c", 0.27, 41, 0.276, None, None, None),
+               ("d", 0.31, 46, 0.35, 0.41, 0.33, 0.18), ("e", 0.30, 45, None, 0.4, 0.3, 0.2), ("f", 0.30, 44, 0.34, 0.41, None, 0.2)]
+    cands = [(1, 0.30, 39, 0.41, 0.33, 0.16), (2, 0.28, 60, 0.39, 0.30, 0.09), (3, 0.25, 29, 0.40, 0.23, 0.12), (4, 0.26, 40, None, None, None),
+             (5, 0.27, 41, 0.4, 0.3, 0.11), (6, 0.25, 29, 0.41, 0.23, 0.12), (7, 0.9, 12, 0.9, 0.9, 0.9), (8, 0.30, 40, 0.41, None, 0.2)]
+
+    def want(c):
+        _, avg, n, *scores = c
+        known = [a for a in anchors if a[3] is not None]
+        mine = None not in scores
+        for a in known:
+            both = mine and None not in a[4:]
+            if abs(avg - a[1]) < 1e-4 and n == a[2] and (not both or all(abs(x - y) <= 1e-4 for x, y in zip(scores, a[4:]))):
+                return a[3]
+        w = []
+        for a in known:
+            both = mine and None not in a[4:]
+            d = ((avg - a[1]) / 0.018) ** 2 + ((n - a[2]) / 10) ** 2
+            if both:
+                d += sum(((x - y) / s) ** 2 for x, y, s in zip(scores, a[4:], (0.03, 0.03, 0.025)))
+            w.append(1 / (d ** 0.5 + 1e-6) * (1.15 if both and a[3] >= 0.34 else 1))
+        out = sum(x * a[3] for x, a in zip(w, known)) / sum(w) - max(n - max(a[2] for a in known), 0) * 0.0015
+        if mine:
+            ta, ec, drp = scores
+            out += 0.006 * (drp >= 0.17) + 0.006 * (ec >= 0.32) + 0.004 * (ta >= 0.40) - 0.010 * (drp < 0.10)
+        return min(max(out, 0.0), 1.0)
+    a = spark.createDataFrame(anchors, ANCHOR)
+    c = spark.createDataFrame(cands, "id int, avg_spatial double, feature_count int, r2_ta double, r2_ec double, r2_drp double")
+    got = {r.id: r.estimate for r in me.profile_estimate(c, a).collect()}
+    assert set(got) == {x[0] for x in cands}
+    assert all(abs(got[x[0]] - want(x)) < 1e-12 for x in cands)
+    assert got[3] == 0.27
+    assert [r.estimate for r in me.profile_estimate(c.limit(1), a.limit(0)).collect()] == [None]
+    assert me.profile_estimate(c.limit(0), a).count() == 0
+
+
+def test_estimated_scan_orders_by_three_figures(spark):
+    scan = spark.createDataFrame([("u", 0.1, 0.2), ("u", 0.2, 0.3), ("v", 0.1, 0.3), ("v", 0.2, None)], "variant string, weight double, r2 double")
+    others = spark.createDataFrame([(0.4, 0.3)], "r2_ta double, r2_ec double")
+    anchors = spark.createDataFrame([("a", 0.3, 39, 0.33, 0.4, 0.3, 0.2)], ANCHOR)
+    out = bl.estimated_scan(scan, others, anchors, 39).orderBy("place").collect()
+    assert [(r.place, r.variant, r.weight) for r in out] == [(1, "u", 0.2), (2, "v", 0.1), (3, "u", 0.1), (4, "v", 0.2)]
+    assert abs(out[0].avg_spatial - 1.0 / 3) < 1e-12 and out[2].estimate == 0.33
