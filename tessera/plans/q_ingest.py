@@ -129,10 +129,10 @@ def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue search by extent: scenes that overlap the box around a sample within the window, after the
     filter (cloud, platform)."""
     cat = fx.footprints(spark, sf_dir).where((F.col("cloud_cover") < 10) & F.col("platform").isin("landsat-8", "landsat-9"))
-    cat = cat.withColumnRenamed("site_id", "scene_site")
+    cat = cat.withColumnRenamed("site_id", "scene_site").withColumn("scene_day", cal.iso_day("scene_ts"))
     s = fx.samples(spark, sf_dir).select("sample_id", "lat", "lon", "sample_ts")
     j = footprint_join(s, cat, lat="lat", lon="lon", sample_ts="sample_ts", scene_ts="scene_ts", size=SEARCH_BOX, days=SEARCH_DAYS)
-    return j.select("sample_id", "scene_site", cal.iso_day("scene_ts").alias("scene_day"), "cloud_cover", "platform", "days_offset")
+    return j.select("sample_id", "scene_site", "scene_day", "cloud_cover", "platform", "days_offset")
 
 
 # ------------------------------------------------------------------ S9
