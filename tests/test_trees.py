@@ -123,3 +123,23 @@ def test_search_space_covers_its_ranges():
     assert {d["depth"] for d in draws} == {3, 4, 5, 6} and all(0.01 <= d["rate"] <= 0.2 for d in draws)
     assert 0.4 < sum(d["rate"] < 0.0447 for d in draws) / 400 < 0.6  # half of a log-uniform draw lies below the geometric mean
     assert min(d["iterations"] for d in draws) < 230 and max(d["iterations"] for d in draws) > 770
+
+
+def test_forest_fits_stay_in_memory_and_equal_plain_ones(rows, monkeypatch):
+    d = tr.prepare(rows, FEATS, "ta")
+    learner, seen = tr.rf_regressor("ta", num_trees=5), []
+    plain = {f: learner.fit(d.where(F.col("fold") != f)) for f in range(4)}
+    fit = type(learner).fit
+    monkeypatch.setattr(type(learner), "fit", lambda self, *a: (seen.append(self.getCacheNodeIds()), fit(self, *a))[1])
+    for a_core, cached in ((750_000, True), (10, False)):  # 180 rows a fit
+        monkeypatch.setattr(tr, "FOREST_ROWS_A_CORE", a_core)
+        seen.clear()
+        assert {f: m.toDebugString.split("\n")[1:] for f, m in tr.fit_folds(d, learner, "fold").items()} == {
+            f: m.toDebugString.split("\n")[1:] for f, m in plain.items()}
+        assert seen == [cached] * 4
+    assert not learner.getCacheNodeIds()
+
+
+def test_large_forest_fits_run_one_after_another():
+    assert tr.fits_at_once(720_000, 12, 5) == 5 and tr.fits_at_once(7_200_000, 12, 5) == 1
+    assert tr.fits_at_once(3_000_000, 12, 5) == 3 and tr.fits_at_once(0, 4, 0) == 1
