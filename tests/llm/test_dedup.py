@@ -76,6 +76,25 @@ def test_suffix_dedup_cuts_inside_characters(make_docs):
     assert got == brute.suffix_dedup(list(rows.items()))
 
 
+def test_passages_are_judged_by_bytes_not_words(make_docs):
+    rng = random.Random(7)
+
+    def words(n):
+        return " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(n))
+    passages = [words(n) for n in range(51, 121)] + [words(90)[:399], words(90)[:400]]
+    texts = {}
+    for i, p in enumerate(passages):  # nothing beside the passage is shared
+        texts[2 * i] = f"{words(rng.randint(5, 400))}\n{p}\n{words(30)}"
+        texts[2 * i + 1] = f"{words(rng.randint(5, 400))}\t{p}\t{words(30)}"
+    texts |= {1000 + i: words(rng.randint(5, 500)) for i in range(60)}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept)))
+           for r in suffix_dedup.remove_repeats(make_docs(texts)).collect()}
+    assert got == brute.suffix_dedup(list(texts.items()))
+    size = {i: len(passages[i // 2]) if i < 1000 else 0 for i in texts}
+    assert {i: v[1] for i, v in got.items()} == {i: n if n >= 400 else 0 for i, n in size.items()}
+    assert 10 < sum(0 < n < 400 for n in size.values()) < sum(n >= 400 for n in size.values())
+
+
 def test_windows_of_a_shared_line_are_dealt_out(make_docs):
     from tessera.llm import exchange
     rng = random.Random(6)
