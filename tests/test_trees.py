@@ -143,3 +143,12 @@ def test_forest_fits_stay_in_memory_and_equal_plain_ones(rows, monkeypatch):
 def test_large_forest_fits_run_one_after_another():
     assert tr.fits_at_once(720_000, 12, 5) == 5 and tr.fits_at_once(7_200_000, 12, 5) == 1
     assert tr.fits_at_once(3_000_000, 12, 5) == 3 and tr.fits_at_once(0, 4, 0) == 1
+
+
+def test_boosted_rows_are_dealt_out_before_they_are_predicted(spark):
+    """Many rows in one partition would go through every tree in one task."""
+    df = spark.range(40_000).selectExpr("id as sample_id", "cast(id % 2 as int) as fold", "id % 13 * 1.0 as ta", "1.0D as sample_weight",
+                                        "repeat(sha2(cast(id as string), 256), 2) as pad").coalesce(1)
+    out = tr.spread(df)
+    assert df.rdd.getNumPartitions() == 1 and out.rdd.getNumPartitions() > 1
+    assert out.count() == 40_000 and out.groupBy("sample_id").count().where("count > 1").count() == 0
